@@ -1,0 +1,103 @@
+"""Trailing windows over keys of any size.
+
+A window partitioned by a key puts all rows of the key into one task.  Keys with
+more rows than ``rows_per_segment`` are therefore cut into time segments at
+approximate quantiles; each segment also gets copies of the last rows before it
+(its halo), so that a window over the segment sees what a window over the whole
+key would have seen.  Equal order values never fall into different segments.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+ROWS_PER_SEGMENT = 2_000_000
+MAX_SEGMENTS = 256  # per key
+MAX_SPLIT_KEYS = 1024  # largest keys first; the bounds table stays below 2 MB
+
+SEGMENT, HALO = "_segment", "_halo"
+
+
+@dataclass
+class Segments:
+    """Rows with a segment number, and the bounds of the keys that were cut."""
+
+    rows: DataFrame
+    key: str
+    bounds: DataFrame | None
+
+    @property
+    def partition(self) -> list[str]:
+        return [self.key, SEGMENT]
+
+
+def cut_into_segments(df: DataFrame, key: str, order: str, rows_per_segment: int = ROWS_PER_SEGMENT) -> Segments:
+    """Number the segments of ``df``; ``order`` is a bigint column."""
+    spark = df.sparkSession
+    large = (
+        df.groupBy(key)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") > rows_per_segment)
+        .orderBy(F.col("n").desc(), key)
+        .limit(MAX_SPLIT_KEYS)
+        .collect()
+    )
+    if not large:
+        return Segments(df.withColumn(SEGMENT, F.lit(0)), key, None)
+    parts = min(MAX_SEGMENTS, max(-(-row["n"] // rows_per_segment) for row in large))
+    shares = [i / parts for i in range(1, parts)]
+    found = (
+        df.where(F.col(key).isin([row[key] for row in large]))
+        .groupBy(key)
+        .agg(F.percentile_approx(order, shares, parts * 20).alias("bounds"))
+        .collect()
+    )
+    # Literal bounds: every use of the segment number sees the same ones.
+    rows = [(row[key], sorted(set(row["bounds"]))) for row in found]
+    schema = T.StructType(
+        [T.StructField(key, df.schema[key].dataType), T.StructField("_bounds", T.ArrayType(T.LongType()))]
+    )
+    bounds = spark.createDataFrame(rows, schema)
+    number = F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(order))), F.lit(0))
+    # At most MAX_SPLIT_KEYS rows of MAX_SEGMENTS numbers.
+    cut = df.join(F.broadcast(bounds), key, "left").withColumn(
+        SEGMENT, F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(number)
+    )
+    return Segments(cut.drop("_bounds"), key, bounds)
+
+
+def with_halo(segments: Segments, order: list[str], n: int, counts: Column | None = None) -> DataFrame:
+    """Rows of all segments plus, marked ``_halo``, the last n rows before each.
+
+    With ``counts`` only rows that satisfy it are candidates for a halo.
+    """
+    rows = segments.rows.withColumn(HALO, F.lit(False))
+    if segments.bounds is None:
+        return rows
+    key = segments.key
+    down = [F.col(c).desc() for c in order]
+    candidates = segments.rows.join(F.broadcast(segments.bounds), key)
+    if counts is not None:
+        candidates = candidates.where(counts)
+    rank = F.row_number().over(Window.partitionBy(*segments.partition).orderBy(*down))
+    # From here on at most n rows per segment.
+    tails = candidates.withColumn("_rank", rank).where(F.col("_rank") <= n)
+    columns = [c for c in segments.rows.columns if c not in (key, SEGMENT)]
+    by_key = Window.partitionBy(key).orderBy(SEGMENT, *order)
+    ends = (
+        tails.withColumn("_last", F.collect_list(F.struct(*columns)).over(by_key.rowsBetween(1 - n, 0)))
+        .where("_rank = 1")
+        .withColumn("_next", F.lead(SEGMENT).over(Window.partitionBy(key).orderBy(SEGMENT)))
+        .withColumn("_upto", F.coalesce("_next", F.size("_bounds")))
+        .where(F.col("_upto") > F.col(SEGMENT))
+    )
+    halo = (
+        ends.withColumn(SEGMENT, F.explode(F.sequence(F.col(SEGMENT) + 1, F.col("_upto"))))
+        .select(key, SEGMENT, F.explode("_last").alias("_row"))
+        .select(key, SEGMENT, "_row.*", F.lit(True).alias(HALO))
+    )
+    return rows.unionByName(halo)
