@@ -131,7 +131,7 @@ register(
 )
 register(
     "f12_clean_text",
-    r"""SELECT doc_id, md5(trim(regexp_replace(text, '[\x00-\x08\x0B-\x1F]', '', 'g'), E' \t\n\u0085  　')) AS text_md5,
+    r"""SELECT doc_id, md5(trim(regexp_replace(text, '[\x00-\x08\x0B-\x1F]', '', 'g'), '""" + P.WHITESPACE + r"""')) AS text_md5,
           'a' || lang || E'\n' || source AS dirty FROM documents""",
     "documents",
     "doc_id",

@@ -125,18 +125,17 @@ def file_errors(spark, folder):
 @query(
     "g7_validate_and_enrich",
     f"""WITH {RECORDS} SELECT record_id, CAST(jurisdiction = '' AS INTEGER) + CAST(case_number = '' AS INTEGER) AS n_errors,
-          4 AS cleaned_count, 21 AS column_count, md5(search_text) AS text_md5 FROM records""",
+          5 AS cleaned_count, 21 AS column_count, md5(search_text) AS text_md5 FROM records""",
 )
 def validate_enrich(spark, folder):
     # Lines split without cleaning: the pipeline itself has to clean them.
     raw = lines(spark, folder).select("o_orderkey", F.split(F.btrim("value", F.lit(" \r")), "\t").alias("columns"))
     rows = validate_and_enrich(to_records(raw).withColumn("case_metadata", _clean_parties(spark)))
     real = F.filter("validation_errors", lambda m: m.contains("cannot be empty"))
-    changed = F.col("cleaned_count") - F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(1)
     return rows.select(
         "record_id",
         F.size(real).alias("n_errors"),
-        changed.alias("cleaned_count"),
+        "cleaned_count",
         "column_count",
         F.md5(F.col("searchable_text").cast("binary")).alias("text_md5"),
     )

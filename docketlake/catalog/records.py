@@ -78,4 +78,4 @@ def lines(spark, folder):
 
 
 def records(spark, folder):
-    return to_records(split_court_lines(lines(spark, folder)))
+    return to_records(split_court_lines(lines(spark, folder)), rule=None)

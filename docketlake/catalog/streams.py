@@ -132,7 +132,7 @@ AT = "2024-01-31 00:00:00"
 
 @query(
     "l6_audit_events",
-    f"""WITH {RECORDS}, {MANIFEST}, ready AS (SELECT dataset_id, bool_or(status = 'error') AS bad, bool_and(status = 'parsed') AS parsed, count(*) AS n FROM manifest GROUP BY dataset_id)
+    f"""WITH {RECORDS}, {MANIFEST}, ready AS (SELECT dataset_id, bool_or(status = 'error') AS bad, bool_and(status = 'parsed') AS parsed, bool_and(status = 'downloaded') AS downloaded, count(*) AS n FROM manifest GROUP BY dataset_id)
         SELECT 'RecordValidationFailed' AS event_type, record_id AS aggregate_id,
           '[' || CASE WHEN jurisdiction = '' THEN '"Court jurisdiction cannot be empty"' ELSE '' END ||
                  CASE WHEN jurisdiction = '' AND case_number = '' THEN ',' ELSE '' END ||
@@ -140,7 +140,7 @@ AT = "2024-01-31 00:00:00"
         FROM records WHERE jurisdiction = '' OR case_number = ''
         UNION ALL SELECT 'QueryExecuted', record_id, CASE WHEN contains(lower(jurisdiction), 'asia') THEN 'True' ELSE 'False' END FROM records
         UNION ALL SELECT 'DataValidationFailed', dataset_id, CASE WHEN bad THEN 'Dataset contains files with errors' ELSE 'Not all files have been downloaded' END
-        FROM ready WHERE NOT parsed
+        FROM ready WHERE NOT parsed AND NOT downloaded
         UNION ALL SELECT 'DataParsingCompleted', dataset_id, CAST(n AS VARCHAR) FROM ready WHERE parsed
         UNION ALL SELECT 'DataDownloadRequested', source, 'https://example.org/' || source FROM (SELECT DISTINCT source FROM documents)""",
 )

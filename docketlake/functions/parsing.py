@@ -83,9 +83,16 @@ def parse_datetime(c: Column, wrapped: bool = True, offsets: bool = True) -> Col
     return F.when(v.rlike(DATETIME), v.try_cast("timestamp_ntz"))
 
 
+def literal_pattern(separator: str) -> str:
+    """A regular expression for the text itself, short enough for the fast splitter."""
+    if len(separator) == 1:
+        return separator if separator not in ".$|()[{^?*+\\" else "\\" + separator
+    return "\\Q" + separator + "\\E"
+
+
 def parse_list(c: Column, separator: str = ",") -> Column:
     """Separated items, stripped, empty ones dropped; blank gives an empty array."""
-    pieces = F.split(F.coalesce(c, F.lit("")), "\\Q" + separator + "\\E", -1)
+    pieces = F.split(F.coalesce(c, F.lit("")), literal_pattern(separator), -1)
     return F.filter(F.transform(pieces, strip), lambda x: x != "")
 
 

@@ -78,6 +78,11 @@ def changed_positions(before: Column, after: Column) -> Column:
     return F.size(F.filter(F.arrays_zip(before.alias("b"), after.alias("a")), lambda p: ~p["b"].eqNullSafe(p["a"])))
 
 
+def present(*messages: Column) -> Column:
+    """Array of the messages that are not NULL, without a lambda."""
+    return F.array_except(F.array(*messages), F.array(F.lit(None).cast("string")))
+
+
 def join_present(*parts: Column) -> Column:
     """Join with single spaces, leaving out NULL and empty parts."""
     return F.concat_ws(" ", *[F.nullif(p, F.lit("")) for p in parts])

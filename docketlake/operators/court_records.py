@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketlake.functions.text import CleaningRule, changed_positions, clean_columns, parties
+from docketlake.functions.text import CleaningRule, changed_positions, clean_columns, parties, present
 from docketlake.operators.predicates import RecordQuery
 from docketlake.schemas import STANDARD_MAPPING
 
@@ -28,30 +28,32 @@ def _at(columns: Column, position: int, default: str | None = None) -> Column:
     return F.when(F.size(columns) > position, value).otherwise(F.lit(default))
 
 
-def mapped_values(columns: Column, mapping: dict[int, str], rule: CleaningRule = CleaningRule()) -> Column:
-    """Map of field name to value for the positions a record has."""
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("key"),
-                (rule.apply(_at(columns, i)) if rule.start <= i <= rule.end else _at(columns, i)).alias("value"),
-                F.lit(i).alias("position"),
-            )
-            for i, name in mapping.items()
-        ]
+def mapped_values(columns: Column, mapping: dict[int, str], rule: CleaningRule | None = CleaningRule()) -> Column:
+    """Map of field name to value, in position order, for the positions a record has.
+
+    Pass no rule for columns that are clean already.
+    """
+    names = F.array(*[F.lit(mapping.get(i)).cast("string") for i in range(max(mapping) + 1)])
+    cells = F.transform(
+        columns,
+        lambda v, i: F.struct(
+            F.get(names, i).alias("key"),
+            (F.when(i.between(rule.start, rule.end), rule.apply(v)).otherwise(v) if rule else v).alias("value"),
+        ),
     )
-    present = F.filter(pairs, lambda p: p["position"] < F.size(columns))
-    return F.map_from_entries(F.transform(present, lambda p: F.struct(p["key"], p["value"])))
+    return F.map_from_entries(F.filter(cells, lambda c: c["key"].isNotNull()))
 
 
 def to_records(
     lines: DataFrame,
     mapping: dict[int, str] | None = None,
     compat_parties: bool = False,
-    rule: CleaningRule = CleaningRule(),
+    rule: CleaningRule | None = CleaningRule(),
 ) -> DataFrame:
     """Court record structs from ``columns: array<string>`` plus ``errors``.
 
+    ``rule`` cleans the mapped values; lines read by this package are clean
+    already and need none.
     Rows with an empty id, jurisdiction, court name or case number are not
     records; they are kept with the reason in ``errors``.
     """
@@ -77,7 +79,7 @@ def to_records(
             "parsed_data": mapped_values(c, mapping or STANDARD_MAPPING, rule),
         }
     ).withColumnRenamed("columns", "column_data")
-    return out.withColumn("errors", F.filter(F.array(*_empty_checks()), lambda m: m.isNotNull()))
+    return out.withColumn("errors", present(*_empty_checks()))
 
 
 def _empty_checks() -> list[Column]:
@@ -112,7 +114,7 @@ def column_errors(columns: Column) -> Column:
 
 def record_errors() -> Column:
     """All validation messages of a record: empty fields first, then columns."""
-    empty = F.filter(F.array(*_empty_checks()), lambda m: m.isNotNull())
+    empty = present(*_empty_checks())
     return F.concat(empty, F.coalesce(column_errors(F.col("column_data")), F.array().cast("array<string>")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketlake.functions import parsing as P
+from docketlake.functions.text import present
 from docketlake.schemas import (
     KIND_TYPES,
     NEGATIVE_DEPTH_MESSAGE,
@@ -121,19 +122,22 @@ def project(raw: DataFrame, data_type: str, dialect: str | Dialect = "backtick")
             parsed = F.coalesce(parsed, F.lit(f.default))
         typed[f.name] = parsed.cast(KIND_TYPES[f.kind])
     extra = [c for c in available if c.startswith("_") and c != CORRUPT]
-    shape = F.when(F.col(CORRUPT).isNotNull(), F.lit("Malformed record")) if CORRUPT in available else None
+    conversion_errors = list(conversions.values())
+    if CORRUPT in available:
+        conversion_errors.append(F.when(F.col(CORRUPT).isNotNull(), F.lit("Malformed record")))
     out = raw.select(
         *[c.alias(n) for n, c in typed.items()],
         *extra,
-        F.array(*([shape] if shape is not None else []), *conversions.values(), F.lit(None).cast("string")).alias(
-            "_conversions"
-        ),
+        *[c.alias(f"_error_{i}") for i, c in enumerate(conversion_errors)],
     )
-    converted = F.filter("_conversions", lambda m: m.isNotNull())
-    constraint = F.filter(F.array(*required_errors(e)), lambda m: m.isNotNull())
+    names = [f"_error_{i}" for i in range(len(conversion_errors))]
+    constraint = present(*required_errors(e))
+    if not names:
+        return out.withColumn("errors", constraint)
     # A value that failed to convert is reported once, not also as missing.
-    errors = F.when(F.size(converted) > 0, converted).otherwise(constraint)
-    return out.withColumn("errors", errors).drop("_conversions")
+    failed = F.coalesce(*[F.col(n) for n in names]).isNotNull()
+    errors = F.when(failed, present(*[F.col(n) for n in names])).otherwise(constraint)
+    return out.withColumn("errors", errors).drop(*names)
 
 
 def good(projected: DataFrame) -> DataFrame:

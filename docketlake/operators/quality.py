@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docketlake.functions.text import present
 from docketlake.schemas import entity
 from docketlake.sources.bulk import read_header
 
@@ -140,7 +141,7 @@ def reject_unknown_codes(df: DataFrame, column: str, codes: list[str]) -> DataFr
 def file_errors() -> Column:
     """Messages of one manifest row."""
     blank = F.lit("")
-    checks = F.array(
+    return present(
         F.when(F.coalesce("path", blank) == "", F.lit(EMPTY_PATH)),
         F.when(
             (F.col("status") == "error") & (F.coalesce("error_message", blank) != ""),
@@ -148,7 +149,6 @@ def file_errors() -> Column:
         ),
         F.when(F.col("size") == 0, F.lit(EMPTY_FILE)),
     )
-    return F.filter(checks, lambda m: m.isNotNull())
 
 
 def file_error_rows(manifest: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def dataset_checks(manifest: DataFrame, datasets: DataFrame | None = None) -> Da
             .fillna(False, ["download_complete", "parsing_complete", "has_errors"])
         )
     no_files, big = F.col("files") == 0, F.col("total_size") > MAX_DATASET_BYTES
-    messages = F.array(F.when(no_files, F.lit(NO_FILES)), F.when(big, F.lit(TOO_LARGE)))
+    messages = present(F.when(no_files, F.lit(NO_FILES)), F.when(big, F.lit(TOO_LARGE)))
     reason = (
         F.when(no_files, NO_FILES_REASON)
         .when(F.col("has_errors"), ERROR_FILES_REASON)
@@ -189,7 +189,7 @@ def dataset_checks(manifest: DataFrame, datasets: DataFrame | None = None) -> Da
         .when(big, TOO_LARGE)
     )
     return per.withColumns(
-        {"dataset_errors": F.filter(messages, lambda m: m.isNotNull()), "not_ready_reason": reason}
+        {"dataset_errors": messages, "not_ready_reason": reason}
     ).withColumn("ready", F.col("not_ready_reason").isNull())
 
 

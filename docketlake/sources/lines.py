@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlake.functions.parsing import strip
+from docketlake.functions.parsing import literal_pattern, strip
 from docketlake.functions.text import CleaningRule, clean_columns
 
 
@@ -21,8 +21,11 @@ def split_court_lines(
         F.regexp_replace(F.make_valid_utf8(column), "\ufffd", "")
     )
     stripped = lines.withColumn(column, strip(decoded)).where(F.col(column) != "")
-    pieces = F.split(column, "\\Q" + delimiter + "\\E", -1)
-    return stripped.withColumn("columns", clean_columns(pieces, rule)).drop(column)
+    pieces = F.split(column, literal_pattern(delimiter), -1)
+    # Exploding an array of one evaluates the cleaning once per line: everything
+    # built on the columns would otherwise repeat it.
+    once = F.explode(F.array(clean_columns(pieces, rule)))
+    return stripped.withColumn("columns", once).drop(column)
 
 
 def read_court_lines(spark: SparkSession, path: str | list[str], delimiter: str = "\t") -> DataFrame:

@@ -153,7 +153,8 @@ def throughput(rows: DataFrame, ts: str, key: str, width: str = "1 hour", delay:
     """Records per key and time window; works on batches and on streams."""
     w = F.window(ts, width)
     return (
-        rows.withWatermark(ts, delay)
+        rows.withColumn(ts, F.col(ts).cast("timestamp"))  # watermarks need an instant
+        .withWatermark(ts, delay)
         .groupBy(w.alias("window"), key)
         .agg(F.count(F.lit(1)).alias("records"))
         .select(F.col("window.start").alias("window_start"), key, "records")
