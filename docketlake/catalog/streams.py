@@ -168,9 +168,8 @@ def audit_events(spark, folder):
     f"""WITH {RECORDS} SELECT 'ColumnCleaningApplied' AS event_type, record_id AS aggregate_id, '12-18' AS column_range, '7' AS cleaned_count FROM records""",
 )
 def cleaning_events(spark, folder):
-    rows = records(spark, folder).withColumn(
-        "column_data", F.transform("column_data", lambda v, i: F.when(i == 17, F.concat(v, F.lit(" "))).otherwise(v))
-    )
+    dirty = F.transform("column_data", lambda v, i: F.when(i == 17, F.concat(v, F.lit(" "))).otherwise(v))
+    rows = records(spark, folder).withColumn("column_data", dirty).drop("cleaned_data")
     events = audit.record_events(validate_and_enrich(rows), F.lit(AT).cast("timestamp_ntz"))
     return events.where("event_type = 'ColumnCleaningApplied'").select(
         "event_type", "aggregate_id", "payload.column_range", "payload.cleaned_count"

@@ -19,10 +19,26 @@ WHITESPACE = (
 )
 TRUE_WORDS = ("true", "t", "1", "yes", "y")
 
-INTEGER = r"^[+-]?\d+$"
-FLOAT = r"(?i)^[+-]?(\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?$|^[+-]?(inf|infinity|nan)$"
-DATE = r"^\d{4}-\d{1,2}-\d{1,2}$"
-DATETIME = r"^\d{4}-\d{1,2}-\d{1,2}( \d{1,2}:\d{1,2}:\d{1,2}(\.\d{1,6})?)?$"
+_SPACE = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE) + "]*"
+_DAY = r"\d{4}-\d{1,2}-\d{1,2}"
+_TIME = r" \d{1,2}:\d{1,2}:\d{1,2}(?:\.\d{1,6})?"
+
+
+def _between_spaces(pattern: str, tail: str = "") -> str:
+    """Group 1 is the pattern alone; white space around it and the tail are not."""
+    return f"^{_SPACE}({pattern}){tail}{_SPACE}\\z"
+
+
+INTEGER = _between_spaces(r"[+-]?\d+")
+FLOAT = "(?i)" + _between_spaces(r"[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf|infinity|nan)")
+DATE = _between_spaces(_DAY)
+DATETIME = _between_spaces(f"{_DAY}(?:{_TIME})?")
+OFFSET_DATETIME = _between_spaces(f"{_DAY}(?:{_TIME})?", r"(?:\+[\s\S]*|Z)?")
+
+
+def _matched(c: Column, pattern: str) -> Column:
+    """The value when it has the right form, else '', which converts to NULL."""
+    return F.regexp_extract(c, pattern, 1)
 
 
 def strip(c: Column) -> Column:
@@ -52,13 +68,11 @@ def parse_string(c: Column, wrapped: bool = True) -> Column:
 
 
 def parse_integer(c: Column, wrapped: bool = True) -> Column:
-    v = strip(bare(c, wrapped))
-    return F.when(v.rlike(INTEGER), v.try_cast("bigint"))
+    return _matched(bare(c, wrapped), INTEGER).try_cast("bigint")
 
 
 def parse_float(c: Column, wrapped: bool = True) -> Column:
-    v = strip(bare(c, wrapped))
-    return F.when(v.rlike(FLOAT), v.try_cast("double"))
+    return _matched(bare(c, wrapped), FLOAT).try_cast("double")
 
 
 def parse_boolean(c: Column, wrapped: bool = True) -> Column:
@@ -67,20 +81,14 @@ def parse_boolean(c: Column, wrapped: bool = True) -> Column:
 
 def parse_date(c: Column, wrapped: bool = True, times: bool = False) -> Column:
     """Year-month-day; with ``times`` also a timestamp, whose time is dropped."""
-    v = strip(bare(c, wrapped))
     if times:
-        return F.when(v.rlike(DATETIME), v.try_cast("timestamp_ntz").try_cast("date"))
-    return F.when(v.rlike(DATE), v.try_cast("date"))
+        return _matched(bare(c, wrapped), DATETIME).try_cast("timestamp_ntz").try_cast("date")
+    return _matched(bare(c, wrapped), DATE).try_cast("date")
 
 
 def parse_datetime(c: Column, wrapped: bool = True, offsets: bool = True) -> Column:
     """Local time; with ``offsets`` a ``+offset`` text or a final Z is discarded."""
-    v = strip(bare(c, wrapped))
-    if offsets:
-        v = F.when(v.contains("+"), F.split_part(v, F.lit("+"), F.lit(1))).otherwise(
-            F.regexp_replace(v, "Z$", "")
-        )
-    return F.when(v.rlike(DATETIME), v.try_cast("timestamp_ntz"))
+    return _matched(bare(c, wrapped), OFFSET_DATETIME if offsets else DATETIME).try_cast("timestamp_ntz")
 
 
 def literal_pattern(separator: str) -> str:

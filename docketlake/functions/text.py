@@ -75,7 +75,8 @@ def clean_columns(columns: Column, rule: CleaningRule = CleaningRule(), compat:
 
 def changed_positions(before: Column, after: Column) -> Column:
     """How many positions differ between two versions of a record."""
-    return F.size(F.filter(F.arrays_zip(before.alias("b"), after.alias("a")), lambda p: ~p["b"].eqNullSafe(p["a"])))
+    differing = F.filter(F.transform(before, lambda v, i: v.eqNullSafe(F.get(after, i))), lambda same: ~same)
+    return F.when(before.eqNullSafe(after), F.lit(0)).otherwise(F.size(differing))
 
 
 def present(*messages: Column) -> Column:

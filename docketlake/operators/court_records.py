@@ -28,19 +28,10 @@ def _at(columns: Column, position: int, default: str | None = None) -> Column:
     return F.when(F.size(columns) > position, value).otherwise(F.lit(default))
 
 
-def mapped_values(columns: Column, mapping: dict[int, str], rule: CleaningRule | None = CleaningRule()) -> Column:
-    """Map of field name to value, in position order, for the positions a record has.
-
-    Pass no rule for columns that are clean already.
-    """
+def mapped_values(columns: Column, mapping: dict[int, str]) -> Column:
+    """Map of field name to value, in position order, for the positions a record has."""
     names = F.array(*[F.lit(mapping.get(i)).cast("string") for i in range(max(mapping) + 1)])
-    cells = F.transform(
-        columns,
-        lambda v, i: F.struct(
-            F.get(names, i).alias("key"),
-            (F.when(i.between(rule.start, rule.end), rule.apply(v)).otherwise(v) if rule else v).alias("value"),
-        ),
-    )
+    cells = F.transform(columns, lambda v, i: F.struct(F.get(names, i).alias("key"), v.alias("value")))
     return F.map_from_entries(F.filter(cells, lambda c: c["key"].isNotNull()))
 
 
@@ -52,11 +43,14 @@ def to_records(
 ) -> DataFrame:
     """Court record structs from ``columns: array<string>`` plus ``errors``.
 
-    ``rule`` cleans the mapped values; lines read by this package are clean
-    already and need none.
-    Rows with an empty id, jurisdiction, court name or case number are not
-    records; they are kept with the reason in ``errors``.
+    Mapped values are cleaned, ``column_data`` is not; ``cleaned_data`` holds its
+    cleaned form for later steps.  Lines read by this package are clean already
+    and need no ``rule``.  Rows with an empty id, jurisdiction, court name or
+    case number are not records; they are kept with the reason in ``errors``.
     """
+    # Exploding an array of one cleans each record once.
+    cleaned = F.explode(F.array(clean_columns(F.col("columns"), rule))) if rule else F.col("columns")
+    lines = lines.withColumn("cleaned_data", cleaned)
     c = F.col("columns")
     has_parties = F.size(c) > 13
     empty_id = F.md5(F.array_join(c, "\t").cast("binary"))
@@ -76,7 +70,7 @@ def to_records(
                 _at(c, 11).alias("status"),
             ),
             "raw_data": F.create_map().cast("map<string,string>"),
-            "parsed_data": mapped_values(c, mapping or STANDARD_MAPPING, rule),
+            "parsed_data": mapped_values(F.col("cleaned_data"), mapping or STANDARD_MAPPING),
         }
     ).withColumnRenamed("columns", "column_data")
     return out.withColumn("errors", present(*_empty_checks()))
@@ -97,25 +91,30 @@ def _empty_checks() -> list[Column]:
 def column_errors(columns: Column) -> Column:
     """Messages for NULL values, NUL bytes and too many control characters."""
 
+    control = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
+
     def check(v: Column, i: Column) -> Column:
         label = F.concat(F.lit("Column "), i.cast("string"))
-        controls = F.length(v) - F.length(F.regexp_replace(v, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""))
-        return F.array(
+        controls = F.length(v) - F.length(F.regexp_replace(v, control, ""))
+        excess = controls > F.length(v) * CONTROL_SHARE
+        messages = present(
             F.when(v.isNull(), F.concat(label, F.lit(" is None"))),
             F.when(v.contains("\x00"), F.concat(label, F.lit(" contains null bytes"))),
-            F.when(
-                controls > F.length(v) * CONTROL_SHARE,
-                F.concat(label, F.lit(" contains excessive control characters")),
-            ),
+            F.when(excess, F.concat(label, F.lit(" contains excessive control characters"))),
         )
+        return F.when(F.coalesce(v.rlike(control), F.lit(True)), messages)
 
-    return F.filter(F.flatten(F.transform(columns, check)), lambda m: m.isNotNull())
+    found = F.flatten(F.filter(F.transform(columns, check), lambda m: m.isNotNull()))
+    # One look at the whole record spares clean ones the check of every column;
+    # NULL values count as a NUL here.
+    suspect = F.array_join(columns, "", "\x00").rlike(control)
+    return F.when(suspect, found).otherwise(F.array().cast("array<string>"))
 
 
 def record_errors() -> Column:
     """All validation messages of a record: empty fields first, then columns."""
     empty = present(*_empty_checks())
-    return F.concat(empty, F.coalesce(column_errors(F.col("column_data")), F.array().cast("array<string>")))
+    return F.concat(empty, column_errors(F.col("column_data")))
 
 
 def record_text(rule: CleaningRule = CleaningRule()) -> Column:
@@ -128,16 +127,17 @@ def record_text(rule: CleaningRule = CleaningRule()) -> Column:
         F.coalesce("case_metadata.parties", blank),
         F.coalesce("case_metadata.case_type", blank),
     )
-    outside = F.filter("column_data", lambda v, i: ~i.between(rule.start, rule.end))
-    return F.array_join(F.concat(head, F.map_values("parsed_data"), outside), " ")
+    before = F.slice("column_data", 1, rule.start)
+    after = F.slice("column_data", F.lit(rule.end + 2), F.size("column_data"))
+    return F.array_join(F.concat(head, F.map_values("parsed_data"), before, after), " ")
 
 
 def clean_records(records: DataFrame, rule: CleaningRule = CleaningRule()) -> DataFrame:
     """Clean the troublesome columns and count the changed ones."""
-    cleaned = records.withColumn("_before", F.col("column_data")).withColumn(
-        "column_data", clean_columns(F.col("column_data"), rule)
-    )
-    return cleaned.withColumn("cleaned_count", changed_positions(F.col("_before"), F.col("column_data"))).drop("_before")
+    if "cleaned_data" not in records.columns:
+        records = records.withColumn("cleaned_data", F.explode(F.array(clean_columns(F.col("column_data"), rule))))
+    counted = records.withColumn("cleaned_count", changed_positions(F.col("column_data"), F.col("cleaned_data")))
+    return counted.withColumn("column_data", F.col("cleaned_data")).drop("cleaned_data")
 
 
 def enrich_records(records: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def inverted_index(df: DataFrame, id_column: str = "id", fields: list[str] | Non
     flat = postings(df, id_column, fields)
     return (
         flat.groupBy("field", "value", _block(df.schema[id_column].dataType).alias("id_block"))
-        .agg(F.array_sort(F.collect_set("id")).alias("ids"))
+        .agg(F.sort_array(F.collect_set("id")).alias("ids"))
         .withColumn("n_ids", F.size("ids"))
     )
 

@@ -95,7 +95,7 @@ def nest(
         .withColumn(page, F.when(F.col(pages) == 1, 0).otherwise(F.pmod(F.xxhash64(child_id), F.col(pages))).cast("int"))
     )
     item = F.struct(child_id, *[c for c in child.columns if c not in (key, child_id)])
-    collected = members.groupBy(key, page, pages).agg(F.array_sort(F.collect_list(item)).alias(name))
+    collected = members.groupBy(key, page, pages).agg(F.sort_array(F.collect_list(item)).alias(name))
     empty = {name: F.coalesce(name, F.array().cast(collected.schema[name].dataType))}
     return (
         expand(parent, collected, key)
@@ -205,7 +205,7 @@ def enhanced_text(records: DataFrame, opinions: DataFrame, page_rows: int = PAGE
     """The enhanced search text per record, in pages of at most that many opinions."""
     parts = enhanced_parts(records, opinions)
     paged = nest(records.select("record_id"), parts, "record_id", "part", "parts", page_rows)
-    texts = F.transform("parts", lambda p: p["text"])
+    texts = F.col("parts")["text"]
     return paged.select(
         "record_id", "parts_page", "parts_pages", F.array_join(F.filter(texts, lambda t: t != ""), " ").alias("text")
     )

@@ -113,11 +113,9 @@ def _parse(records: DataFrame, d: Dialect, schema: T.StructType, header: list[st
     is_header = (F.coalesce(F.col("record"), F.lit(1)) == 1) & (bare == ",".join(header))
     ddl = ", ".join(f"`{f.name}` string" for f in schema)
     parsed = F.from_csv("value", ddl, {"columnNameOfCorruptRecord": CORRUPT, **d.options()})
-    return (
-        records.where(~is_header & (F.col("value") != ""))
-        .select(F.col("file").alias("_file"), parsed.alias("row"))
-        .select("_file", "row.*")
-    )
+    # Inlining an array of one parses each record once, whatever is built on its columns.
+    rows = records.where(~is_header & (F.col("value") != ""))
+    return rows.select(F.col("file").alias("_file"), F.inline(F.array(parsed)))
 
 
 def _reread_damaged(

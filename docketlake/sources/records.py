@@ -5,8 +5,9 @@ the file is read line by line in splits, and quote parity decides which lines
 open a record: a line starts a record when the number of unescaped quotes
 before it in the file is even.  Counts inside a split are a window over that
 split (bounded by ``spark.sql.files.maxPartitionBytes``); counts before a split
-come from one summary row per split.  Only records that cross a split border
-are shuffled a second time.
+come from one summary row per split.  Lines are then grouped by record; keeping
+whole records of a split out of that second shuffle was tried and was slower,
+because both branches had to sort the split again.
 """
 
 from __future__ import annotations
@@ -57,35 +58,19 @@ def stitch_records(
         blocks.withColumn("base_quotes", F.coalesce(F.sum("block_quotes").over(by_file), F.lit(0)))
         .withColumn("starts", F.when(odd_base, F.col("starts_odd")).otherwise(F.col("starts_even")))
         .withColumn("base_record", F.coalesce(F.sum("starts").over(by_file), F.lit(0)))
-        .withColumn("open_end", (F.col("base_quotes") + F.col("block_quotes")) % 2 == 1)
-        .select("file", "block", "base_quotes", "base_record", "starts", "open_end")
+        .select("file", "block", "base_quotes", "base_record")
     )
 
     opens = ((F.col("base_quotes") + F.col("before")) % 2 == 0).cast("int")
     numbered = counted.join(offsets, ["file", "block"]).withColumn(
         "record", F.col("base_record") + F.sum(opens).over(in_block)
     )
-    crosses = (F.col("record") == F.col("base_record")) | (
-        F.col("open_end") & (F.col("record") == F.col("base_record") + F.col("starts"))
-    )
-    pieces = numbered.groupBy("file", "block", "record").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda p: p["value"]), joiner
-        ).alias("value"),
-        F.first(crosses).alias("crosses"),
-    )
-    whole = pieces.where(~F.col("crosses")).select("file", "record", "value")
-    crossing = (
-        pieces.where("crosses")
-        .groupBy("file", "record")
-        .agg(
-            F.array_join(
-                F.transform(F.array_sort(F.collect_list(F.struct("block", "value"))), lambda p: p["value"]),
-                joiner,
-            ).alias("value")
-        )
+    lines_of = F.sort_array(F.collect_list(F.struct("block", "pos", "value")))
+    return (
+        numbered.groupBy("file", "record")
+        .agg(F.array_join(lines_of["value"], joiner).alias("value"))
+        .withColumn("value", F.regexp_replace("value", r"\r\z", ""))
     )
-    return whole.unionByName(crossing).withColumn("value", F.regexp_replace("value", r"\r\z", ""))
 
 
 def separated_records(spark: SparkSession, path: str | list[str], quote: str, header: str) -> DataFrame:
