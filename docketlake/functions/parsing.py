@@ -19,7 +19,9 @@ WHITESPACE = (
 )
 TRUE_WORDS = ("true", "t", "1", "yes", "y")
 
-_SPACE = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE) + "]*"
+# The same characters as a class of a regular expression, without the tab.
+SPACE_CLASS = r"\n-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE = rf"[\t{SPACE_CLASS}]*"
 _DAY = r"\d{4}-\d{1,2}-\d{1,2}"
 _TIME = r" \d{1,2}:\d{1,2}:\d{1,2}(?:\.\d{1,6})?"
 

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlake.functions.parsing import WHITESPACE, literal_pattern, strip
+from docketlake.functions.parsing import SPACE_CLASS, literal_pattern, strip
 from docketlake.functions.text import CONTROL_CHARACTERS, CleaningRule, clean_columns
 
 
@@ -22,17 +22,16 @@ def split_court_lines(
     decoded = F.when(F.is_valid_utf8(column), F.col(column)).otherwise(
         F.regexp_replace(F.make_valid_utf8(column), "\ufffd", "")
     )
-    stripped = lines.withColumn(column, strip(decoded)).where(F.col(column) != "")
+    # Exploding an array of one evaluates its content once per line; filters and
+    # later columns would otherwise repeat it.
+    stripped = lines.withColumn(column, F.explode(F.array(strip(decoded)))).where(F.col(column) != "")
     pieces = F.split(column, literal_pattern(delimiter), -1)
     # One look at the line spares clean ones the work on every column.  The
     # encoding was repaired above, for the whole line.
-    spaces = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE if c != delimiter) + "]"
     edge = f"\\Q{delimiter}\\E"
-    dirty = F.col(column).rlike(rf"{CONTROL_CHARACTERS}|{spaces}{edge}|{edge}{spaces}")
+    dirty = F.col(column).rlike(rf"{CONTROL_CHARACTERS}|{edge}[{SPACE_CLASS}]|(?<=[{SPACE_CLASS}]){edge}")
     tidy = F.when(dirty, clean_columns(pieces, replace(rule, encoding_fix=False))).otherwise(pieces)
-    # Exploding an array of one evaluates this once per line: everything built
-    # on the columns would otherwise repeat it.
-    standard = not (rule.remove_patterns or rule.replace_patterns)
+    standard = delimiter == "\t" and not (rule.remove_patterns or rule.replace_patterns)
     once = F.explode(F.array(tidy if standard else clean_columns(pieces, rule)))
     return stripped.withColumn("columns", once).drop(column)
 
