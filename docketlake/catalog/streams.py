@@ -9,7 +9,6 @@ from docketlake.operators.court_records import validate_and_enrich
 from docketlake.operators.entities import good, project, rejected
 from docketlake.operators.predicates import RecordQuery
 from docketlake.operators.quality import dataset_checks
-from docketlake.operators.tables import read_table
 from docketlake.session import scratch_path
 from docketlake.streaming import audit, ingest as S
 
@@ -37,6 +36,7 @@ def _ingested(spark, folder):
     inbox, root = scratch_path(spark, "inbox"), scratch_path(spark, "lake")
     write_dump(_clusters(spark, folder, "first"), f"{inbox}/a", "bzip2")
     S.ingest(spark, f"{inbox}/*", "opinion_clusters", root, HEADER)
+    S.compact(spark, root, "opinion_clusters")
     write_dump(_clusters(spark, folder, "second").where("docket_id < '5'"), f"{inbox}/b")
     S.ingest(spark, f"{inbox}/*", "opinion_clusters", root, HEADER)
     return root
@@ -50,7 +50,7 @@ def _ingested(spark, folder):
 )
 def resumable_ingest(spark, folder):
     root = _ingested(spark, folder)
-    return read_table(spark, S.IngestPaths(root).table("opinion_clusters")).select("id", "docket_id", "case_name")
+    return S.ingested(spark, root, "opinion_clusters").select("id", "docket_id", "case_name")
 
 
 @query(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketlake.functions.parsing import strip
+from docketlake.plans.paging import page
 from docketlake.schemas import Entity, entity
 from docketlake.sources.records import separated_records, stitch_records
 
@@ -97,7 +98,7 @@ def read_bulk(
     rows = rows.drop("_file")
     if partitions:
         rows = rows.repartition(partitions)
-    return rows.limit(limit) if limit else rows
+    return page(rows, [], limit) if limit else rows
 
 
 def _multiline(spark: SparkSession, path: str | list[str], d: Dialect, schema: T.StructType) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from docketlake.operators.entities import good, project, rejected
-from docketlake.operators.tables import upsert
+from docketlake.operators.tables import latest_rows, merge, read_table, upsert
 from docketlake.schemas import entity
 from docketlake.sources.bulk import CORRUPT, DIALECTS, drop_blank_keys
 
@@ -45,13 +45,19 @@ def stream_bulk(
 
 @dataclass(frozen=True)
 class IngestPaths:
-    """Where an ingest keeps its table, rejects, state and stream checkpoint."""
+    """Where an ingest keeps its table, changes, rejects, state and stream checkpoint."""
 
     root: str
 
     def table(self, data_type: str) -> str:
         return f"{self.root}/tables/{data_type}"
 
+    def changes(self, data_type: str) -> str:
+        return f"{self.root}/changes/{data_type}"
+
+    def folded(self, data_type: str) -> str:
+        return f"{self.root}/folded/{data_type}"
+
     def rejects(self, data_type: str) -> str:
         return f"{self.root}/rejects/{data_type}"
 
@@ -64,7 +70,7 @@ class IngestPaths:
 
 
 def batch_writer(paths: IngestPaths, data_type: str, dialect: str) -> Callable[[DataFrame, int], None]:
-    """Good rows into the table, rejected ones and the counts beside it."""
+    """Good rows as changes, rejected ones and the counts beside them."""
     e = entity(data_type)
     key = list(e.key)
 
@@ -73,8 +79,8 @@ def batch_writer(paths: IngestPaths, data_type: str, dialect: str) -> Callable[[
         typed = project(drop_blank_keys(batch, e), data_type, dialect).withColumn("_seq", seq)
         typed.persist()
         try:
-            fresh = good(typed)
-            upsert(paths.table(data_type), fresh, key, [F.col("_seq").desc()], drop=("_seq",))
+            fresh = latest_rows(good(typed), key, [F.col("_seq").desc()]).drop("_seq")
+            fresh.write.mode("overwrite").parquet(f"{paths.changes(data_type)}/batch_id={batch_id}")
             rejected(typed).drop("_seq").write.mode("overwrite").parquet(
                 f"{paths.rejects(data_type)}/batch_id={batch_id}"
             )
@@ -115,6 +121,47 @@ def ingest(
     return query
 
 
+def _folded_upto(spark: SparkSession, paths: IngestPaths, data_type: str) -> int:
+    """Last batch that the table already holds, -1 before the first compaction."""
+    table = read_table(spark, paths.folded(data_type))
+    return -1 if table is None else table.head()["upto"]
+
+
+def _open_changes(spark: SparkSession, paths: IngestPaths, data_type: str) -> DataFrame:
+    """Changes that are not in the table yet; folders of other batches are not read."""
+    changes = spark.read.parquet(paths.changes(data_type))
+    return changes.where(F.col("batch_id") > _folded_upto(spark, paths, data_type))
+
+
+def ingested(spark: SparkSession, root: str, data_type: str) -> DataFrame:
+    """The current records: the table with the newer changes put in their place."""
+    paths = IngestPaths(root)
+    key, newest = list(entity(data_type).key), [F.col("batch_id").desc()]
+    changes = _open_changes(spark, paths, data_type)
+    return merge(read_table(spark, paths.table(data_type)), changes, key, newest).drop("batch_id")
+
+
+def compact(spark: SparkSession, root: str, data_type: str) -> DataFrame:
+    """Fold the changes into the table.
+
+    The mark of what is folded is written last.  Should the job die in between,
+    the same changes are folded again, which leaves the same newest rows.
+    """
+    paths = IngestPaths(root)
+    changes = _open_changes(spark, paths, data_type)
+    last = changes.agg(F.max("batch_id").alias("upto")).head()["upto"]
+    if last is None:
+        return read_table(spark, paths.table(data_type))
+    key, newest = list(entity(data_type).key), [F.col("batch_id").desc()]
+    # Batches that arrive meanwhile wait for the next compaction.
+    table = upsert(
+        paths.table(data_type), changes.where(F.col("batch_id") <= last), key, newest, drop=("batch_id",)
+    )
+    mark = spark.createDataFrame([(0, int(last))], "id int, upto bigint")
+    upsert(paths.folded(data_type), mark, ["id"])
+    return table
+
+
 def ingest_state(spark: SparkSession, root: str) -> DataFrame:
     """All recorded batches of all entities."""
     reader = spark.read.schema(STATE_SCHEMA).option("recursiveFileLookup", "true")

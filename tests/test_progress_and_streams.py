@@ -107,13 +107,19 @@ def test_ingest_resumes_and_keeps_rejects(spark, tmp_path):
     (inbox / "2.csv").write_text(dump([("1", "c", "new, name", "d"), ("3", "c", "x", "d"), (" ", "", "", "")], HEADER))
     (inbox / "3.csv").write_text(dump([("4", "c", "y", "d"), ("4", "c", "z", "d")], HEADER))
     run()
-    table = read_table(spark, S.IngestPaths(root).table("dockets"))
+    table = S.ingested(spark, root, "dockets")
     assert {r.id: r.case_name for r in table.collect()} == {1: "new, name", 3: "x", 4: "z"}
-    assert "_seq" not in table.columns
+    assert not {"_seq", "batch_id"} & set(table.columns)
+    assert read_table(spark, S.IngestPaths(root).table("dockets")) is None
+    assert S.compact(spark, root, "dockets").count() == 3
+    assert S.compact(spark, root, "dockets").count() == 3  # nothing left to fold
+    (inbox / "4.csv").write_text(dump([("3", "c", "last", "d")], HEADER))
+    run()
+    assert {r.id: r.case_name for r in S.ingested(spark, root, "dockets").collect()} == {1: "new, name", 3: "last", 4: "z"}
     rejects = spark.read.parquet(S.IngestPaths(root).rejects("dockets"))
     assert [(r.id, r.errors) for r in rejects.collect()] == [(2, ["Case name is required"])]
     state = S.ingest_positions(S.ingest_state(spark, root)).head()
-    assert (state.last_batch, state.processed, state.imported, state.errors, state.last_id) == (2, 6, 5, 1, "4")
+    assert (state.last_batch, state.processed, state.imported, state.errors, state.last_id) == (3, 7, 6, 1, "3")
 
 
 def test_a_repeated_batch_changes_nothing(spark, tmp_path):
@@ -123,7 +129,7 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
         write(batch, 0)
     state = S.ingest_positions(S.ingest_state(spark, str(tmp_path))).head()
     assert (state.processed, state.imported, state.errors) == (2, 1, 1)
-    assert read_table(spark, S.IngestPaths(str(tmp_path)).table("dockets")).count() == 1
+    assert S.ingested(spark, str(tmp_path), "dockets").count() == 1
     assert spark.read.parquet(S.IngestPaths(str(tmp_path)).rejects("dockets")).count() == 1
 
 
