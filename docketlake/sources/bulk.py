@@ -63,7 +63,7 @@ def read_bulk(
     path: str | list[str],
     data_type: str,
     dialect: str | Dialect = "backtick",
-    method: str = "parity",
+    method: str = "auto",
     limit: int | None = None,
     join_lines: str = "\n",
     fallback_share: float | None = None,
@@ -73,8 +73,10 @@ def read_bulk(
 
     ``method``: ``parity`` splits one file over many tasks, ``multiline`` is
     Spark's own reader (one task per file), ``separator`` cuts records at
-    quote-newline-quote.  With ``fallback_share`` set, files of which more than
-    that share of records is malformed are read again with ``separator``.
+    quote-newline-quote; ``auto`` is ``multiline`` when all files are .gz, which
+    cannot be split, and ``parity`` otherwise.  With ``fallback_share`` set, files
+    of whose text more than that share is malformed are read again with
+    ``separator``.
     Plain, .gz and .bz2 files are told apart by their extension; ``partitions``
     spreads the rows of a file that cannot be split.
     """
@@ -84,6 +86,9 @@ def read_bulk(
     if not header:
         header = e.columns
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*header, CORRUPT]])
+    if method == "auto":
+        files = spark.read.text(path).inputFiles()
+        method = "multiline" if files and all(f.endswith(".gz") for f in files) else "parity"
     if method == "multiline":
         rows = _multiline(spark, path, d, schema)
     elif method == "separator":
@@ -95,7 +100,7 @@ def read_bulk(
         raise ValueError(f"Unknown read method: {method}")
     if fallback_share is not None and method == "parity":
         rows = _reread_damaged(spark, rows, d, schema, header, fallback_share)
-    rows = rows.drop("_file")
+    rows = rows.drop("_file", "_chars")
     if partitions:
         rows = rows.repartition(partitions)
     return page(rows, [], limit) if limit else rows
@@ -116,17 +121,23 @@ def _parse(records: DataFrame, d: Dialect, schema: T.StructType, header: list[st
     parsed = F.from_csv("value", ddl, {"columnNameOfCorruptRecord": CORRUPT, **d.options()})
     # Inlining an array of one parses each record once, whatever is built on its columns.
     rows = records.where(~is_header & (F.col("value") != ""))
-    return rows.select(F.col("file").alias("_file"), F.inline(F.array(parsed)))
+    return rows.select(
+        F.col("file").alias("_file"), F.length("value").alias("_chars"), F.inline(F.array(parsed))
+    )
 
 
 def _reread_damaged(
     spark: SparkSession, rows: DataFrame, d: Dialect, schema: T.StructType, header: list[str], share: float
 ) -> DataFrame:
-    """Swap files with too many malformed records for their separator reading."""
+    """Swap files with too much malformed text for their separator reading.
+
+    Text counts, not records: one stray quote can turn the rest of a file into
+    a single malformed record.
+    """
     bad = [
         r["_file"]  # one row per damaged file
         for r in rows.groupBy("_file")
-        .agg((F.count_if(F.col(CORRUPT).isNotNull()) / F.count(F.lit(1))).alias("share"))
+        .agg((F.sum(F.when(F.col(CORRUPT).isNotNull(), F.col("_chars"))) / F.sum("_chars")).alias("share"))
         .where(F.col("share") > share)
         .select("_file")
         .collect()

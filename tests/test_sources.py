@@ -103,6 +103,29 @@ def test_stray_quotes_fall_back_to_separators(spark, tmp_path):
     assert good(again).count() + rejected(again).count() == 199
 
 
+def test_a_run_behind_a_stray_quote_is_cut_and_kept(spark, tmp_path, small_splits):
+    rows = [(str(i), "020lead", f"text {i} " + "x" * 100, "s", "1") for i in range(1, 3000)]
+    text = dump(rows, OPINION_HEADER).replace("`text 3 ", "`te`xt 3 ")
+    (tmp_path / "run.csv").write_text(text)
+    path = str(tmp_path / "run.csv")
+    # Unmarked, the run is one record as long as the file.
+    whole = stitch_records(spark, path).agg(F.max(F.length("value"))).head()[0]
+    assert whole > 300_000
+    cut = stitch_records(spark, path, max_record_bytes=40_000)
+    assert cut.agg(F.max(F.length("value"))).head()[0] < 100_000
+    assert cut.agg(F.sum(F.length("value") + 1)).head()[0] == len(text)
+    again = project(read_bulk(spark, path, "opinions", fallback_share=0.01), "opinions")
+    assert good(again).count() >= 2997
+
+
+def test_gzip_files_use_the_multi_line_reader(spark, tmp_path):
+    with gzip.open(tmp_path / "c.csv.gz", "wt") as f:
+        f.write("id,full_name\n`a`,`A\nB`\n")
+    raw = read_bulk(spark, str(tmp_path / "c.csv.gz"), "courts")
+    assert raw.head().full_name == "A\nB"
+    assert "Window" not in raw._jdf.queryExecution().executedPlan().toString()
+
+
 def test_limit_unknown_type_and_header(spark, tmp_path):
     (tmp_path / "c.csv").write_text("id,full_name\n`a`,`A`\n`b`,`B`\n")
     assert read_bulk(spark, str(tmp_path / "c.csv"), "courts", limit=1).count() == 1
