@@ -129,7 +129,8 @@ def file_errors(spark, folder):
 )
 def validate_enrich(spark, folder):
     # Lines split without cleaning: the pipeline itself has to clean them.
-    raw = lines(spark, folder).select("o_orderkey", F.split(F.btrim("value", F.lit(" \r")), "\t").alias("columns"))
+    split = F.explode(F.array(F.split(F.btrim("value", F.lit(" \r")), "\t")))
+    raw = lines(spark, folder).select("o_orderkey", split.alias("columns"))
     rows = validate_and_enrich(to_records(raw).withColumn("case_metadata", _clean_parties(spark)))
     real = F.filter("validation_errors", lambda m: m.contains("cannot be empty"))
     return rows.select(
