@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketlake.llm.embedding_dedup import near_duplicates
 from docketlake.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +27,8 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
 def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counted = token_counts(table(spark, folder, "documents", "doc_id", "text"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+@query
+def op3_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "embeddings", "vec_id", "embedding"))
