@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketlake.llm.embedding_dedup import near_duplicates
+from docketlake.llm.html_extraction import extract_text
 from docketlake.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +33,8 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "embeddings", "vec_id", "embedding"))
+
+
+@query
+def op5_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_text(table(spark, folder, "pages", "page_id", "url", "html"))
