@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docketlake.llm.embedding_dedup import near_duplicates
 from docketlake.llm.html_extraction import extract_text
+from docketlake.llm.packing import pack
 from docketlake.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +39,8 @@ def op3_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return extract_text(table(spark, folder, "pages", "page_id", "url", "html"))
+
+
+@query
+def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents", "doc_id", "text"))

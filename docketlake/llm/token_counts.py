@@ -28,11 +28,11 @@ VOCABULARY = "word_bpe_49k.json"
 #: Pre-tokens whose counts are broadcast; a bound of some megabytes, independent of the corpus.
 HEAD = 1 << 18
 
-# The splitting rule of the vocabulary file for characters below U+0250,
+# The splitting rule of the vocabulary file for characters below U+0180,
 # all of which are their own normal form: letters, numbers, white space.
-_LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-ɏ"
+_LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-ſ"
 _NUMBERS = "0-9²³¹¼-¾"
-_SPACES = "\t-\r \u0085 "
+_SPACES = r"\t-\r \x85\xa0"
 
 
 class PreTokens:
@@ -48,7 +48,7 @@ class PreTokens:
         self.simple = re.compile(
             rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+"
         )
-        self.beyond = re.compile("[^\u0000-ɏ]")
+        self.beyond = re.compile("[^\u0000-ſ]")
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(plain)]
         self.byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
