@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docketlake.llm.embedding_dedup import near_duplicates
 from docketlake.llm.html_extraction import extract_text
 from docketlake.llm.packing import pack
+from docketlake.llm.quality import quality_rules
 from docketlake.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +45,11 @@ def op5_html_text(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents", "doc_id", "text"))
+
+
+@query
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    found = quality_rules(docs, table(spark, folder, "labels", "doc_id", "quality"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return found.select("doc_id", *counts, "base_failed", "kept", "llr")
