@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from docketlake.llm.embedding_dedup import near_duplicates
 from docketlake.llm.html_extraction import extract_text
+from docketlake.llm.language_id import identify_language
 from docketlake.llm.packing import pack
 from docketlake.llm.quality import quality_rules
 from docketlake.llm.token_counts import token_counts
+from docketlake.llm.toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +55,16 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     found = quality_rules(docs, table(spark, folder, "labels", "doc_id", "quality"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return found.select("doc_id", *counts, "base_failed", "kept", "llr")
+
+
+@query
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    found = score_toxicity(docs, table(spark, folder, "labels", "doc_id", "toxic"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    found = identify_language(table(spark, folder, "documents", "doc_id", "lang", "text"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
