@@ -12,6 +12,7 @@ from docketlake.llm.html_extraction import extract_text
 from docketlake.llm.language_id import identify_language
 from docketlake.llm.packing import pack
 from docketlake.llm.quality import quality_rules
+from docketlake.llm.substring_dedup import remove_repeats
 from docketlake.llm.token_counts import token_counts
 from docketlake.llm.toxicity import score_toxicity
 
@@ -68,3 +69,9 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     found = identify_language(table(spark, folder, "documents", "doc_id", "lang", "text"))
     return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = remove_repeats(table(spark, folder, "documents", "doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
