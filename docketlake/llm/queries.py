@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docketlake.llm.embedding_dedup import near_duplicates
 from docketlake.llm.html_extraction import extract_text
+from docketlake.llm.jaccard_join import jaccard_groups
 from docketlake.llm.language_id import identify_language
 from docketlake.llm.packing import pack
 from docketlake.llm.quality import quality_rules
@@ -75,3 +76,8 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cut = remove_repeats(table(spark, folder, "documents", "doc_id", "text"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_groups(table(spark, folder, "documents", "doc_id", "text"))
