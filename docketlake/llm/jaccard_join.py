@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import id_cells, materialise, shuffle_partitions, with_ids
+from docketlake.llm.common import id_cells, materialise, shuffle_partitions, with_ids, without_ids
 from docketlake.llm.components import components
 from docketlake.llm.shingle_sets import mix, set_hash, shingle_sets, signatures
 
@@ -242,3 +242,17 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, hot: int = HOT) -> D
     named = rows.join(names, "component", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return named.select(*[f"`{c}`" for c in others], F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``docs`` without documents whose component has a smaller ``doc_id``, and without repeated rows.
+
+    Only documents that go, or may go, are shuffled.
+    """
+    groups = materialise(jaccard_groups(docs.select("doc_id", "text"), percent).where("component_id is not null"))
+    gone = groups.where("doc_id is null or doc_id <> component_id").select("doc_id").distinct()
+    again = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    gone = materialise(gone)
+    cells = materialise(id_cells(gone.union(again), "doc_id"))
+    checked = with_ids(docs, "doc_id", cells).join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return without_ids(docs, "doc_id", cells).unionByName(checked.dropDuplicates(["doc_id"]))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketlake.llm.embedding_dedup import near_duplicates
 from docketlake.llm.html_extraction import extract_text
 from docketlake.llm.jaccard_join import jaccard_groups
 from docketlake.llm.language_id import identify_language
+from docketlake.llm.mixing import mix_sources
 from docketlake.llm.packing import pack
 from docketlake.llm.quality import quality_rules
 from docketlake.llm.substring_dedup import remove_repeats
@@ -81,3 +82,16 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_groups(table(spark, folder, "documents", "doc_id", "text"))
+
+
+def domain_of(source: str) -> Column:
+    """The tables name no domain; this puts each source into one of three."""
+    number = F.pmod(F.crc32(F.col(source).cast("binary")), F.lit(3))
+    return F.element_at(F.array(F.lit("books"), F.lit("reference"), F.lit("web")), (number + 1).cast("int"))
+
+
+@query
+def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text", "lang", "source")
+    mixed = mix_sources(docs, domain_of("source"))
+    return mixed.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")

@@ -208,13 +208,13 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, most_contexts: int =
 
 
 def _kept(window: int):
-    @F.pandas_udf("struct<n_removed: long, n_spans: long, kept: binary>")
+    @F.pandas_udf("struct<n_removed: long, n_spans: long, kept: binary, kept_text: string>")
     def apply(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
         out = []
         for text, own in zip(texts, spans, strict=True):
             data = (text or "").encode("utf-8", "surrogatepass")
             if own is None or not len(own):
-                out.append((0, 0, data))
+                out.append((0, 0, data, text or ""))
                 continue
             edge = np.zeros(len(data) + 1, np.int32)
             for s in own:
@@ -222,14 +222,17 @@ def _kept(window: int):
                 edge[s["start"] + s["count"] + window - 1] -= 1
             gone = np.cumsum(edge)[:-1] > 0
             n_spans = int(np.count_nonzero(np.diff(np.r_[False, gone].astype(np.int8)) == 1))
-            out.append((int(gone.sum()), n_spans, np.frombuffer(data, np.uint8)[~gone].tobytes()))
-        return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept"])
+            kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
+            out.append((int(gone.sum()), n_spans, kept, kept.decode("utf-8", "ignore")))
+        return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept", "kept_text"])
 
     return apply
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
-    """``docs`` (any columns, among them ``doc_id, text``) with ``n_bytes, n_removed, n_spans`` and the ``kept`` bytes.
+    """``docs`` (any columns, among them ``doc_id, text``) with ``n_bytes, n_removed, n_spans``, the ``kept`` bytes and ``kept_text``.
+
+    ``kept_text`` leaves out bytes of characters that were cut apart.
 
     A byte goes if a ``window``-byte string over it also starts earlier: at a
     smaller ``doc_id``, or earlier in the same document.  Matches never cross
@@ -239,7 +242,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, most_contexts: int = M
     none to the other; texts that differ under one id are cut only where they
     repeat other ids.  Columns named like new ones are replaced.
     """
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept").withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "kept_text").withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
     found = repeated_windows(docs.select(F.col("_id").alias("id"), "text"), window, most_contexts)
     spans = found.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("start", "count")).alias("_spans"))
     spans = materialise(spans)
@@ -250,7 +253,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, most_contexts: int = M
     return out.withColumns(
         {
             "n_bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"),
-            **{c: F.col(f"_kept.{c}") for c in ("n_removed", "n_spans", "kept")},
+            **{c: F.col(f"_kept.{c}") for c in ("n_removed", "n_spans", "kept", "kept_text")},
         }
     ).drop("_id", "_spans", "_kept")
 
