@@ -27,8 +27,8 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def distinct_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that occur earlier; documents of which nothing is left go."""
-    cut = remove_repeats(docs).where("n_bytes = 0 or trim(kept_text) <> ''")
-    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    cut = remove_repeats(docs, as_text=True).where("n_bytes = 0 or trim(kept) <> ''")
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return cut.withColumns({c: v for c, v in new.items() if c in docs.columns}).select(docs.columns)
 
 

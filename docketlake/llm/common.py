@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Cells of the id filter of ``with_ids``; what is broadcast never exceeds this many rows.
 ID_CELLS = 1 << 18
+#: Rows of an Arrow batch where the session has Spark's default.
+BATCH_ROWS = 1_000
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -26,6 +28,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches than Spark's default, unless the session sets a size: texts may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import id_cells, materialise, shuffle_partitions, with_ids, without_ids
+from docketlake.llm.common import bound_batches, id_cells, materialise, shuffle_partitions, with_ids, without_ids
 from docketlake.llm.components import components
 from docketlake.llm.shingle_sets import mix, set_hash, shingle_sets, signatures
 
@@ -27,7 +27,7 @@ PERCENT = 75
 #: Frequent shingles that steer the choice of segments; broadcast, whatever the corpus size.
 HOT = 1 << 18
 #: Shingles counted at once for that, and uses among them from which one is reported.
-COUNTED = 2_000_000
+COUNTED = 1_000_000
 REPORTED = 3
 BUCKET_BYTES = 1 << 23
 _FILED = np.dtype([("sig", "<u8"), ("cls", "<i8")])
@@ -201,6 +201,7 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, hot: int = HOT) -> D
     if percent < PERCENT:
         raise ValueError(f"signatures are complete from {PERCENT} percent")
     spark = docs.sparkSession
+    bound_batches(spark)
     rest = docs.drop("n_shingles", "component_id", "_cls")
     others = [c for c in rest.columns if c != "text"]
     # A row's identity outlives this job: rows with equal ids and equal texts are interchangeable.

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketlake.llm.common import bound_batches
 from docketlake.llm.toxicity import held_out
 
 BUCKETS = 1 << 14
@@ -176,6 +177,7 @@ def identify_language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Data
     enters a prediction.  Repeated rows are predicted alike; columns named like
     new ones are replaced.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "held_out")
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
     model = fit(docs.select("doc_id", "lang", "text"), per_language)

@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import materialise, shuffle_partitions
+from docketlake.llm.common import bound_batches, materialise, shuffle_partitions
 
 VOCABULARY = "byte_bpe_50k"
 CAPACITY = 1024
 END_ID = 2
 #: Pre-tokens whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Patterns the fit chooses from.
 PATTERNS = 20_000
 
@@ -209,6 +209,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path:
     rows give no rows.  Columns named like the new ones are replaced.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     slices = shuffle_partitions(spark)
     pieces = cut_pieces(docs.drop("sequence_id", "offset"), capacity, end_id, path)
     pieces = materialise(pieces.withColumn("_row", F.monotonically_increasing_id()))

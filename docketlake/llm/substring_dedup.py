@@ -23,16 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import id_cells, materialise, shuffle_partitions, with_ids, without_ids
+from docketlake.llm.common import bound_batches, id_cells, materialise, shuffle_partitions, with_ids, without_ids
 from docketlake.llm.repeat_index import GRAM, earlier_windows, gram_hashes, parse
 
 WINDOW = 100
 MOST_CONTEXTS = 5_000
 #: Bytes of text parsed at once, segments collapsed at once, and text bytes behind a bucket of segments.
-CHUNK = 1 << 20
-FLUSH = 1_000_000
+CHUNK = 1 << 19
+FLUSH = 300_000
 BUCKET_BYTES = 1 << 23
-BUCKET_CONTEXTS = 20_000
+BUCKET_CONTEXTS = 4_000
 
 _SEGMENT = np.dtype([("key", "<u8"), ("content", "<u8"), ("id", "<i8"), ("start", "<i8"), ("count", "<i2"), ("again", "?")])
 _MARK = "id long, start long, count int, key long, kind int"
@@ -122,18 +122,21 @@ def _resolve(most_contexts: int):
 
 def _contexts(window: int):
     """Bytes of the wanted segments of a document."""
+    kinds = {"id": pa.int64(), "start": pa.int64(), "count": pa.int32(), "key": pa.int64(), "kind": pa.int32(), "context": pa.binary()}
+    schema = pa.schema(list(kinds.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [[], [], [], [], [], []]
+            rows = []
             for doc, text, wanted in zip(*(batch.column(n).to_pylist() for n in ("id", "text", "wanted")), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 for w in wanted:
                     context = data[w["start"] : w["start"] + w["count"] + window - 1]
-                    for c, v in zip(columns, (doc, w["start"], w["count"], w["key"], w["kind"], context), strict=True):
-                        c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["id", "start", "count", "key", "kind", "context"])
+                    rows.append({**w, "id": doc, "context": context})
+                if len(rows) > 20_000:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows = []
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
     return run
 
@@ -207,14 +210,14 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, most_contexts: int =
     return found
 
 
-def _kept(window: int):
-    @F.pandas_udf("struct<n_removed: long, n_spans: long, kept: binary, kept_text: string>")
+def _kept(window: int, as_text: bool):
+    @F.pandas_udf(f"struct<n_removed: long, n_spans: long, kept: {'string' if as_text else 'binary'}>")
     def apply(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
         out = []
         for text, own in zip(texts, spans, strict=True):
             data = (text or "").encode("utf-8", "surrogatepass")
             if own is None or not len(own):
-                out.append((0, 0, data, text or ""))
+                out.append((0, 0, (text or "") if as_text else data))
                 continue
             edge = np.zeros(len(data) + 1, np.int32)
             for s in own:
@@ -223,16 +226,16 @@ def _kept(window: int):
             gone = np.cumsum(edge)[:-1] > 0
             n_spans = int(np.count_nonzero(np.diff(np.r_[False, gone].astype(np.int8)) == 1))
             kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-            out.append((int(gone.sum()), n_spans, kept, kept.decode("utf-8", "ignore")))
-        return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept", "kept_text"])
+            out.append((int(gone.sum()), n_spans, kept.decode("utf-8", "ignore") if as_text else kept))
+        return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept"])
 
     return apply
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
-    """``docs`` (any columns, among them ``doc_id, text``) with ``n_bytes, n_removed, n_spans``, the ``kept`` bytes and ``kept_text``.
+def remove_repeats(docs: DataFrame, window: int = WINDOW, most_contexts: int = MOST_CONTEXTS, as_text: bool = False) -> DataFrame:
+    """``docs`` (any columns, among them ``doc_id, text``) with ``n_bytes, n_removed, n_spans`` and the ``kept`` bytes.
 
-    ``kept_text`` leaves out bytes of characters that were cut apart.
+    With ``as_text``, ``kept`` is a string without the bytes of characters that were cut apart.
 
     A byte goes if a ``window``-byte string over it also starts earlier: at a
     smaller ``doc_id``, or earlier in the same document.  Matches never cross
@@ -242,18 +245,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, most_contexts: int = M
     none to the other; texts that differ under one id are cut only where they
     repeat other ids.  Columns named like new ones are replaced.
     """
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "kept_text").withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    bound_batches(docs.sparkSession)
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept").withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
     found = repeated_windows(docs.select(F.col("_id").alias("id"), "text"), window, most_contexts)
     spans = found.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("start", "count")).alias("_spans"))
     spans = materialise(spans)
     cells = materialise(id_cells(spans, "_id"))
     whole = without_ids(docs, "_id", cells).withColumn("_spans", F.lit(None).cast(spans.schema["_spans"].dataType))
     cut = with_ids(docs, "_id", cells).join(spans, "_id", "left").select(whole.columns)
-    out = whole.unionByName(cut).withColumn("_kept", _kept(window)("text", "_spans"))
+    out = whole.unionByName(cut).withColumn("_kept", _kept(window, as_text)("text", "_spans"))
     return out.withColumns(
         {
             "n_bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"),
-            **{c: F.col(f"_kept.{c}") for c in ("n_removed", "n_spans", "kept", "kept_text")},
+            **{c: F.col(f"_kept.{c}") for c in ("n_removed", "n_spans", "kept")},
         }
     ).drop("_id", "_spans", "_kept")
 

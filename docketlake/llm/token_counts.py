@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import materialise
+from docketlake.llm.common import bound_batches, materialise
 
 VOCABULARY = "word_bpe_49k.json"
 #: Pre-tokens whose counts are broadcast; a bound of some megabytes, independent of the corpus.
@@ -85,7 +85,7 @@ def _frequencies(path: str | None):
             for text in batch.column(0).to_pylist():
                 if text:
                     counts.update(splitter.split(text)[0])
-            if len(counts) > 400_000:
+            if len(counts) > 250_000:
                 yield flush()
         yield flush()
 
@@ -141,6 +141,7 @@ def token_counts(docs: DataFrame, path: str | None = None, head: int = HEAD) ->
     empty table.  Columns named ``n_bytes`` or ``n_tokens`` are replaced.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     texts = docs.drop("n_bytes", "n_tokens")
     table = materialise(piece_table(texts, path))
     top = table.orderBy(F.desc("uses"), "part").limit(head).select("part", "pieces")

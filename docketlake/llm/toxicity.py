@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import materialise
+from docketlake.llm.common import bound_batches, materialise
 
 #: Labelled rows of each kind that the model is fitted on, the first by hash.
 LABELLED = 8_000
@@ -228,6 +228,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) ->
     score.  A row labelled both ways is toxic.  Repeated rows are scored alike,
     columns named like new ones are replaced.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.drop("held_out", "predicted")
     out = _scored(docs, fit(docs, labels, bound)).withColumn("held_out", held_out(F.col("doc_id")))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
