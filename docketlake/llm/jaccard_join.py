@@ -4,10 +4,12 @@ Documents with equal sets are one class; only classes are joined.  A class
 files itself under segment subsets of its set, chosen by cost (see
 ``signatures``), and two classes that share one are candidates.
 
-Candidates are not expanded into all pairs of a list.  First every class of a
-list is compared with one of them; after components are known, only classes of
-a list that are still in different components are compared, which loses no
-link that could join two components.
+Candidates are not expanded into all pairs of a list.  Every class of a list is
+paired with one of them.  Of these pairs, each class's most promising one is
+verified first, then those that are still in different components, and last all
+pairs of a list across components.  That loses no link that could join two
+components.  Bitmaps of the sets bound what two sets can share and rule most
+other pairs out; whole sets are only sent for the rest.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from docketlake.llm.common import bound_batches, id_cells, materialise, shuffle_partitions, with_ids, without_ids
 from docketlake.llm.components import components
-from docketlake.llm.shingle_sets import mix, set_hash, shingle_sets, signatures
+from docketlake.llm.shingle_sets import mix, most_common, set_hash, shingle_sets, signatures, sketch
 
 PERCENT = 75
 #: Frequent shingles that steer the choice of segments; broadcast, whatever the corpus size.
@@ -37,9 +39,10 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Set size and class of every document (kind 0), and shingles that are frequent where they were counted (kind 1)."""
     kept, size = [], 0
 
-    def rows(kind: int, row, cls, n) -> pa.RecordBatch:
+    def rows(kind: int, row, cls, n, bits=None) -> pa.RecordBatch:
         columns = [np.full(len(cls), kind, np.int32), row, np.asarray(cls, np.int64), np.asarray(n, np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "row", "cls", "n"])
+        bits = pa.nulls(len(cls), pa.binary()) if bits is None else pa.array(bits, pa.binary())
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), bits], ["kind", "row", "cls", "n", "bits"])
 
     def frequent() -> pa.RecordBatch:
         value, uses = np.unique(np.concatenate(kept), return_counts=True)
@@ -47,13 +50,14 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return rows(1, np.zeros(int(at.sum()), np.int64), value[at].view(np.int64), uses[at])
 
     for batch in batches:
-        cls, n = [], []
+        cls, n, bits = [], [], []
         for shingles in shingle_sets(batch.column(1).to_pylist()):
             cls.append(set_hash(shingles))
             n.append(len(shingles))
+            bits.append(sketch(shingles))
             kept.append(shingles)
             size += len(shingles)
-        yield rows(0, batch.column(0).to_numpy(), cls, n)
+        yield rows(0, batch.column(0).to_numpy(), cls, n, bits)
         if size >= COUNTED:
             yield frequent()
             kept, size = [], 0
@@ -94,11 +98,11 @@ def _file(hot, buckets: int):
     return run
 
 
-_LISTED = "list long, u long, v long"
+_LISTED = "list long, u long, v long, n long"
 
 
 def _lists(group: pa.Table) -> pa.Table:
-    """Star pairs of each list of classes (``list`` null), and the members of lists of three or more."""
+    """Star pairs of the lists of classes (``list`` null) with the number of lists, and the members of lists of three or more."""
     rows = np.unique(np.frombuffer(b"".join(group["rows"].to_pylist()), _FILED))
     fresh = np.r_[True, rows["sig"][1:] != rows["sig"][:-1]]
     starts = np.flatnonzero(fresh)
@@ -106,7 +110,7 @@ def _lists(group: pa.Table) -> pa.Table:
     several = np.repeat(sizes > 1, sizes)
     cls, number = rows["cls"][several], np.repeat(np.arange(len(sizes)), sizes)[several]
     if not len(cls):
-        return pa.table({n: pa.array([], pa.int64()) for n in ("list", "u", "v")})
+        return pa.table({n: pa.array([], pa.int64()) for n in ("list", "u", "v", "n")})
     begin = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
     size = np.diff(np.r_[begin, len(cls)])
     # Lists with the same members are one list.
@@ -116,7 +120,7 @@ def _lists(group: pa.Table) -> pa.Table:
     chosen[first] = True
     at = np.repeat(chosen, size)
     pivot = np.repeat(cls[begin], size)
-    pairs = np.unique(np.stack([pivot, cls], axis=1)[at & (pivot != cls)], axis=0)
+    pairs, shared = np.unique(np.stack([pivot, cls], axis=1)[pivot != cls], axis=0, return_counts=True)
     longer = at & np.repeat(size > 2, size)
     lists = np.repeat(name, size)[longer]
     none = pa.nulls(len(pairs), pa.int64())
@@ -125,6 +129,7 @@ def _lists(group: pa.Table) -> pa.Table:
             "list": pa.concat_arrays([none, pa.array(lists)]),
             "u": np.r_[pairs[:, 0], cls[longer]],
             "v": np.r_[pairs[:, 1], cls[longer]],
+            "n": np.r_[shared, np.zeros(len(lists), np.int64)],
         }
     )
 
@@ -151,23 +156,37 @@ def _verify(percent: int):
     return run
 
 
+def _may_link(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("a", "na", "b", "nb"))
+            keep = []
+            for a, na, b, nb in zip(*columns, strict=True):
+                common = most_common(a, na, b, nb)
+                keep.append(100 * common >= percent * (na + nb - common))
+            yield batch.select(["u", "v", "n"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 class _Classes:
-    """Set sizes of classes, and their shingles for the candidates."""
+    """Set sizes and bitmaps of classes, and their shingles for the candidates."""
 
     def __init__(self, docs: DataFrame, described: DataFrame, percent: int) -> None:
         self.docs, self.percent = docs, percent
-        self.sizes = materialise(described.groupBy("cls").agg(F.min("n").alias("n"), F.min("id").alias("id")))
+        self.sizes = materialise(described.groupBy("cls").agg(F.min("n").alias("n"), F.min("id").alias("id"), F.min("bits").alias("bits")))
 
     def possible(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes allow the similarity."""
-        a = self.sizes.select(F.col("cls").alias("u"), F.col("n").alias("nu"))
-        b = self.sizes.select(F.col("cls").alias("v"), F.col("n").alias("nv"))
-        fits = 100 * F.least("nu", "nv") >= self.percent * F.greatest("nu", "nv")
-        return pairs.join(a, "u").join(b, "v").where(fits).select("u", "v")
+        """Pairs ``u, v, n`` whose sizes and bitmaps allow the similarity."""
+        a = self.sizes.select(F.col("cls").alias("u"), F.col("n").alias("na"), F.col("bits").alias("a"))
+        b = self.sizes.select(F.col("cls").alias("v"), F.col("n").alias("nb"), F.col("bits").alias("b"))
+        fits = 100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")
+        both = pairs.join(a, "u").join(b, "v").where(fits)
+        return materialise(both.mapInArrow(_may_link(self.percent), "u long, v long, n long"))
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs that reach the similarity, by their whole sets."""
-        pairs = materialise(pairs)
+        pairs = materialise(pairs.select("u", "v"))
         used = pairs.select(F.col("u").alias("cls")).union(pairs.select("v")).distinct()
         wanted = materialise(self.sizes.join(used, "cls").select("cls", "id"))
         texts = with_ids(self.docs, "id", materialise(id_cells(wanted, "id")))
@@ -207,9 +226,9 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, hot: int = HOT) -> D
     # A row's identity outlives this job: rows with equal ids and equal texts are interchangeable.
     keyed = rest.withColumn("_id", F.xxhash64("doc_id", "text"))
     plain = keyed.select(F.col("_id").alias("id"), "text")
-    described = plain.mapInArrow(_describe, "kind int, row long, cls long, n long")
+    described = plain.mapInArrow(_describe, "kind int, row long, cls long, n long, bits binary")
     described = materialise(described)
-    own = described.where("kind = 0").select(F.col("row").alias("id"), "cls", "n")
+    own = described.where("kind = 0").select(F.col("row").alias("id"), "cls", "n", "bits")
 
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(shuffle_partitions(spark), -(-size // BUCKET_BYTES))
@@ -218,8 +237,16 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, hot: int = HOT) -> D
     listed = materialise(filed.groupBy("bucket").applyInArrow(_lists, _LISTED))
 
     classes = _Classes(plain, own, percent)
-    stars = materialise(classes.possible(listed.where("list is null").select("u", "v").distinct()))
-    links = classes.linked(stars)
+    stars = classes.possible(listed.where("list is null").groupBy("u", "v").agg(F.sum("n").alias("n")))
+    best = stars.groupBy("v").agg(F.max(F.struct("n", "u")).alias("best")).select("best.u", "v")
+    links = classes.linked(best)
+    joined = materialise(components(links))
+    # Pairs inside a component cannot join anything.
+    rest = stars.select("u", "v")
+    for end in ("u", "v"):
+        group = joined.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
+        rest = rest.join(group, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+    links = links.unionByName(classes.linked(rest.where("cu <> cv")))
     joined = materialise(components(links))
 
     members = listed.where("list is not null").select("list", F.col("u").alias("cls")).distinct()
@@ -233,11 +260,12 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, hot: int = HOT) -> D
     fits = 100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")
     across = left.join(right, "list").where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & fits)
     # Stars point from the smallest class of a list, so both orders of a pair are u < v.
-    across = across.select("u", "v").distinct().join(stars, ["u", "v"], "left_anti")
-    links = links.unionByName(classes.linked(across))
+    across = across.select("u", "v", F.lit(1).cast("long").alias("n")).distinct()
+    across = across.join(stars.select("u", "v"), ["u", "v"], "left_anti")
+    links = links.unionByName(classes.linked(classes.possible(across)))
     joined = components(links).withColumnRenamed("id", "cls")
 
-    rows = keyed.select(*[f"`{c}`" for c in others], F.col("_id").alias("id")).join(own.dropDuplicates(["id"]), "id")
+    rows = keyed.select(*[f"`{c}`" for c in others], F.col("_id").alias("id")).join(own.drop("bits").dropDuplicates(["id"]), "id")
     rows = materialise(rows.join(joined, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
     names = rows.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = rows.join(names, "component", "left")

@@ -63,6 +63,22 @@ def set_hash(shingles: np.ndarray) -> int:
     return int(mix(total)[0].view(np.int64))
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """A bitmap of about four bits a shingle; its length is a power of two."""
+    bits = 4 << max(1, int(len(shingles) - 1).bit_length())
+    at = np.zeros(bits, np.uint8)
+    at[(mix(shingles ^ _M1) & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(at, bitorder="little").tobytes()
+
+
+def most_common(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
+    """An upper bound of the shingles two sets share: a bit that only one has stands for one it does not share."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))
+    x, y = np.bitwise_or.reduce(x.reshape(-1, size)), np.bitwise_or.reduce(y.reshape(-1, size))
+    return min(n_a - int(np.bitwise_count(x & ~y).sum()), n_b - int(np.bitwise_count(y & ~x).sum()))
+
+
 def _subset_signatures(shingles: np.ndarray, segments: int, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Signature of each non-empty segment, and its shingles' order and bounds in it."""
     spread = mix(shingles + np.array([salt], np.uint64) * _M2)
