@@ -130,7 +130,7 @@ def dockets_by_case_name(spark, folder):
 
 @query("k6_opinions_by_text", "SELECT doc_id + 1 AS id FROM documents WHERE contains(lower(text || ' ' || source), 'tion') ORDER BY doc_id LIMIT 100")
 def opinions_by_text(spark, folder):
-    return searcher(spark, folder).opinions_by_text("tion").select("id")
+    return searcher(spark, folder).opinions_by_text("tion", limit=100).select("id")
 
 
 @query("k7_person_by_name", f"WITH {PEOPLE} SELECT id FROM people WHERE contains(lower(concat_ws(' ', name_first, nullif(name_middle, ''), name_last, dob_city)), 'blue') AND contains(lower(concat_ws(' ', name_first, nullif(name_middle, ''), name_last, dob_city)), 'bolt')")

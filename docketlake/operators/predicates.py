@@ -26,7 +26,6 @@ OPERATORS = (
 RECORD_OPERATORS = "equals contains starts_with ends_with regex".split()
 
 FUZZY_DISTANCE = 2
-INLINE_LIST = 1000  # longer IN lists become a join
 
 
 @dataclass(frozen=True)
@@ -40,10 +39,6 @@ class Filter:
         if self.operator not in OPERATORS:
             raise ValueError(f"Unknown operator: {self.operator}")
 
-    @property
-    def is_long_list(self) -> bool:
-        return self.operator in ("in", "not_in") and len(self.value) > INLINE_LIST
-
 
 def java_pattern(pattern: str) -> str | None:
     """A Python-style pattern in Java syntax; None when it does not compile."""
@@ -53,6 +48,7 @@ def java_pattern(pattern: str) -> str | None:
         return None
     pattern = re.sub(r"\(\?P<(\w+)>", r"(?<\1>", pattern)
     pattern = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern)
+    pattern = re.sub(r"(?<!\\)\{,(\d+)\}", r"{0,\1}", pattern)
     return pattern.replace(r"\Z", r"\z")
 
 
@@ -123,7 +119,7 @@ def _regex(text: Column, f: Filter) -> Column:
     pattern = java_pattern(value_text(f.value))
     if pattern is None:
         return F.lit(False)
-    return text.rlike(pattern if f.case_sensitive else f"(?iu){pattern}")
+    return text.rlike(f"(?U){pattern}" if f.case_sensitive else f"(?iuU){pattern}")
 
 
 def fuzzy_match(text: Column, pattern: str | Column, distance: int = FUZZY_DISTANCE) -> Column:
@@ -145,27 +141,8 @@ def compile_filters(filters: list[Filter], schema: T.StructType) -> Column:
 
 
 def apply_filters(df: DataFrame, filters: list[Filter]) -> DataFrame:
-    """Filter rows; long IN lists run as semi or anti joins."""
-    inline = [f for f in filters if not f.is_long_list]
-    out = df.where(compile_filters(inline, df.schema)) if inline else df
-    for f in filters:
-        if f.is_long_list:
-            out = _join_list(out, f)
-    return out
-
-
-def _join_list(df: DataFrame, f: Filter) -> DataFrame:
-    if f.field not in df.columns:
-        return df.limit(0)
-    data_type = df.schema[f.field].dataType
-    fold = isinstance(data_type, T.StringType) and not f.case_sensitive
-    listed = df.sparkSession.createDataFrame([(value_text(v),) for v in f.value if v is not None], "v string")
-    member = F.col("v").try_cast(data_type)
-    listed = listed.select((F.lower(member) if fold else member).alias("_v")).where("_v is not null").distinct()
-    left = F.lower(F.col(f.field)) if fold else F.col(f.field)
-    if f.operator == "in":
-        return df.join(listed, left == F.col("_v"), "left_semi")
-    return df.where(F.col(f.field).isNotNull()).join(listed, left == F.col("_v"), "left_anti")
+    """Filter rows; lists of any length are compared by the same rule, as one hashed set."""
+    return df.where(compile_filters(filters, df.schema)) if filters else df
 
 
 def full_text(text: Column, query: str | None) -> Column:

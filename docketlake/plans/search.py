@@ -89,8 +89,7 @@ def search(df: DataFrame, query: SearchQuery, entity_name: str | None = None, te
         text = TEXT_EXTRACTORS[entity_name](entity_name, df.columns)
     words = full_text(text if text is not None else F.lit(""), query.full_text)
     matched = apply_filters(df, list(query.filters)).where(words)
-    inline = not any(f.is_long_list for f in query.filters)
-    condition = F.coalesce(compile_filters(list(query.filters), df.schema) & words, F.lit(False)) if inline else None
+    condition = F.coalesce(compile_filters(list(query.filters), df.schema) & words, F.lit(False))
     return SearchResult(df, matched, query, ids, condition)
 
 
@@ -149,7 +148,7 @@ class Searcher:
         q = SearchQuery().where("case_name", "contains", name, False)
         return self.dockets(q.where("court_id", "eq", court_id) if court_id else q).rows
 
-    def opinions_by_text(self, text: str, limit: int | None = 100) -> DataFrame:
+    def opinions_by_text(self, text: str, limit: int | None = None) -> DataFrame:
         return self.opinions(SearchQuery().text(text).take(limit)).rows
 
     def person_by_name(self, name: str, fuzzy: bool = False) -> DataFrame:

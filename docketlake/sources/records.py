@@ -16,8 +16,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-MAX_RECORD_BYTES = 128 * 1024 * 1024
-
 
 def unescaped_quotes(value: Column, quote: str) -> Column:
     """Number of quote characters in a line that no backslash escapes."""
@@ -44,13 +42,11 @@ def stitch_records(
     path: str | list[str],
     quote: str = "`",
     joiner: str = "\n",
-    max_record_bytes: int = MAX_RECORD_BYTES,
 ) -> DataFrame:
     """Rows ``(file, record, value)``; record 1 of a file is its header.
 
-    A stray quote can make everything behind it one record.  Such a run is cut
-    into pieces of ``max_record_bytes`` of the file, so that no task has to hold
-    it; the pieces do not parse and show up as malformed, whole and in order.
+    Records are never cut, however many splits they reach over.  A stray quote can
+    make everything behind it one record; ``separated_records`` reads such files.
     """
     in_block = Window.partitionBy("file", "block").orderBy("pos")
     earlier = in_block.rowsBetween(Window.unboundedPreceding, -1)
@@ -70,23 +66,17 @@ def stitch_records(
         blocks.withColumn("base_quotes", F.coalesce(F.sum("block_quotes").over(by_file), F.lit(0)))
         .withColumn("starts", F.when(odd_base, F.col("starts_odd")).otherwise(F.col("starts_even")))
         .withColumn("base_record", F.coalesce(F.sum("starts").over(by_file), F.lit(0)))
-        .withColumn("open_block", F.last(F.when(F.col("starts") > 0, F.col("block")), ignorenulls=True).over(by_file))
-        .select("file", "block", "base_quotes", "base_record", "open_block")
+        .select("file", "block", "base_quotes", "base_record")
     )
 
     opens = ((F.col("base_quotes") + F.col("before")) % 2 == 0).cast("int")
     numbered = counted.join(offsets, ["file", "block"]).withColumn(
         "record", F.col("base_record") + F.sum(opens).over(in_block)
     )
-    # The split in which the record of a line began, and how far away that is.
-    continues = F.col("record") == F.col("base_record")
-    began = F.when(continues, F.coalesce("open_block", "block")).otherwise(F.col("block"))
-    numbered = numbered.withColumn("piece", F.floor((F.col("block") - began) / max_record_bytes))
     lines_of = F.sort_array(F.collect_list(F.struct("block", "pos", "value")))
     return (
-        numbered.groupBy("file", "record", "piece")
+        numbered.groupBy("file", "record")
         .agg(F.array_join(lines_of["value"], joiner).alias("value"))
-        .drop("piece")
         .withColumn("value", F.regexp_replace("value", r"\r\z", ""))
     )
 

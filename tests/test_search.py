@@ -147,3 +147,14 @@ def test_record_queries(spark):
     for bad in (("", "x"), ("x", "")):
         with pytest.raises(ValueError):
             RecordQuery(*bad)
+
+
+def test_long_lists_and_unicode_patterns(spark):
+    from docketlake.operators.predicates import Filter, apply_filters
+
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(["Müller", "aaaa", "aa", "b c"])], "n long, w string")
+    for values in ([0.0, 1.0, 2.0], [0.0, 1.0, 2.0] + [float(k) for k in range(10, 5000)]):
+        assert apply_filters(df, [Filter("n", "in", values)]).count() == 3
+        assert [r.n for r in apply_filters(df, [Filter("n", "not_in", values)]).collect()] == [3]
+    found = lambda p: [r.n for r in apply_filters(df, [Filter("w", "regex", p)]).orderBy("n").collect()]
+    assert found(r"^\w+$") == [0, 1, 2] and found("^a{,3}$") == [2]
