@@ -154,7 +154,16 @@ def fit_repeats(pattern: np.ndarray, counts: np.ndarray, rounds: int = 400) -> n
 
 
 def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """Patterns (lengths of a sequence's pieces) and how many sequences follow each; they use every piece once."""
+    """Patterns (lengths of a sequence's pieces) and how many sequences follow each; they use every piece once.
+
+    Fits with and without triples, and the residual packing of everything, are
+    rounded and completed; the plan with the fewest sequences counts.
+    """
+    plans = [_plan(histogram, capacity, most) for most in (3, 2, 0)]
+    return min(plans, key=lambda plan: sum(times for _, times in plan))
+
+
+def _plan(histogram: dict[int, int], capacity: int, most: int) -> list[tuple[list[int], int]]:
     left = np.zeros(capacity + 1, np.int64)
     for length, count in histogram.items():
         left[length] = count
@@ -168,8 +177,9 @@ def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
     if left[capacity]:
         use([capacity], int(left[capacity]))
     lengths = np.flatnonzero(left)
-    if len(lengths):
+    if len(lengths) and most:
         pattern = patterns(lengths, capacity)
+        pattern = pattern[(pattern >= 0).sum(1) <= most]
         repeats = fit_repeats(pattern, left[lengths].astype(float)) if len(pattern) else np.zeros(0)
         for k in np.argsort(-repeats, kind="stable"):
             chosen = [int(lengths[i]) for i in pattern[k] if i >= 0]
