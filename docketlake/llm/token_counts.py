@@ -13,9 +13,11 @@ would make that join skewed.
 
 from __future__ import annotations
 
+import os
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import pandas as pd
 import pyarrow as pa
@@ -27,6 +29,8 @@ from docketlake.llm.common import bound_batches, materialise
 VOCABULARY = "word_bpe_49k.json"
 #: Pre-tokens whose counts are broadcast; a bound of some megabytes, independent of the corpus.
 HEAD = 1 << 18
+#: Distinct pre-tokens a task counts before it hands them on; Spark combines them before the shuffle.
+COUNTED = 60_000
 
 # The splitting rule of the vocabulary file for characters below U+0180,
 # all of which are their own normal form: letters, numbers, white space.
@@ -72,9 +76,16 @@ class PreTokens:
         return [len(e) for e in self.tokenizer.encode_batch(list(parts), add_special_tokens=False)]
 
 
+@cache
+def splitter_of(path: str | None) -> PreTokens:
+    """One splitter for all tasks of a worker; a task has one core, so the library starts no threads."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return PreTokens(path)
+
+
 def _frequencies(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, counts = PreTokens(path), Counter()
+        splitter, counts = splitter_of(path), Counter()
 
         def flush() -> pa.RecordBatch:
             out = [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())]
@@ -85,8 +96,8 @@ def _frequencies(path: str | None):
             for text in batch.column(0).to_pylist():
                 if text:
                     counts.update(splitter.split(text)[0])
-            if len(counts) > 250_000:
-                yield flush()
+                if len(counts) > COUNTED:
+                    yield flush()
         yield flush()
 
     return run
@@ -94,7 +105,7 @@ def _frequencies(path: str | None):
 
 def _pieces(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = PreTokens(path)
+        splitter = splitter_of(path)
         for batch in batches:
             pieces = pa.array(splitter.count_pieces(batch.column(0).to_pylist()), pa.int32())
             yield pa.RecordBatch.from_arrays([*batch.columns, pieces], ["part", "uses", "pieces"])
@@ -112,7 +123,7 @@ def piece_table(docs: DataFrame, path: str | None = None) -> DataFrame:
 def _count_documents(path: str | None, head):
     @F.pandas_udf("struct<n_head: long, parts: array<string>, uses: array<int>>")
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        splitter, known = PreTokens(path), head.value
+        splitter, known = splitter_of(path), head.value
         for series in texts:
             sums, parts, uses = [], [], []
             for text in series:
