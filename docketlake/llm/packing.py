@@ -14,6 +14,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -59,11 +60,7 @@ class TokenIds:
                     self[part] = ids
                 return ids
 
-        # Kept with the library's module, where the tasks of one worker share it.
-        kept = tiktoken.__dict__.setdefault(f"_ids_of_{path}", {})
-        if "ids" not in kept:
-            kept["ids"] = Remembered()
-        self.ids, self.coder = kept["ids"], coder
+        self.ids, self.coder = Remembered(), coder
         n, w, s = _NUMBERS, _LETTERS, _SPACES
         self.parts = re.compile(
             rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{w}]+| ?[{n}]+| ?[^{s}{w}{n}]+|[{s}]+(?![^{s}])|[{s}]+"
@@ -81,6 +78,12 @@ class TokenIds:
         return array("I", [_END_OF_TEXT_ID]).tobytes().join(map(self._plain, text.split(_END_OF_TEXT)))
 
 
+@cache
+def coder_of(path: str | None) -> TokenIds:
+    """One coder, and what it remembers, for all tasks of a worker."""
+    return TokenIds(path)
+
+
 _PIECES = pa.schema([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -88,7 +91,7 @@ def _cut(capacity: int, end_id: int, path: str | None):
     end = array("I", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = TokenIds(path)
+        coder = coder_of(path)
         for batch in batches:
             texts, rows = batch.column("text").to_pylist(), []
             for at, text in enumerate(texts):
