@@ -168,15 +168,15 @@ def parse_stats(spark, folder):
 )
 def stop_on_errors(spark, folder):
     rows = project(raw_dockets(spark, folder), "dockets")
-    try:
-        Q.stop_on_errors(rows, 10)
-        outcome = "passed"
-    except Q.TooManyErrors:
-        outcome = "stopped"
-    stopped = spark.createDataFrame([(outcome, 10, None)], "outcome string, max_errors bigint, n bigint")
-    # An allowance beyond every table size lets all rows through.
-    passed = rows.agg(F.lit("passed").alias("outcome"), F.lit(10**9).cast("bigint").alias("max_errors"), F.count("*").alias("n"))
-    return stopped.unionByName(passed)
+
+    def outcome(max_errors):
+        named = lambda o, n: [F.lit(o).alias("outcome"), F.lit(max_errors).cast("bigint").alias("max_errors"), n.alias("n")]
+        try:
+            return Q.stop_on_errors(rows, max_errors).agg(*named("passed", F.count("*")))
+        except Q.TooManyErrors:
+            return spark.range(1).select(*named("stopped", F.lit(None).cast("bigint")))
+
+    return outcome(10).unionByName(outcome(10**9))
 
 
 @query(

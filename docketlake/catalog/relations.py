@@ -83,7 +83,7 @@ def case_hierarchy(spark, folder):
         GROUP BY d.id""",
 )
 def nested_hierarchy(spark, folder):
-    rows = J.nested_hierarchy(dockets(spark, folder), clusters(spark, folder), opinions(spark, folder))
+    rows = J.nested_hierarchy(dockets(spark, folder), clusters(spark, folder), opinions(spark, folder), page_rows=1000)
     per_cluster = F.transform("clusters", lambda c: F.size(c["opinions"]))
     ids = F.flatten(F.transform("clusters", lambda c: F.transform(c["opinions"], lambda o: o["opinion_id"])))
     total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, v: s + v)
@@ -219,14 +219,14 @@ def attach_case_data(spark, folder):
 @query(
     "e11_enhanced_text",
     f"""WITH {CASE_DATA} SELECT r.record_id, md5(r.search_text || ' ' || c.full_name || ' ' || c.jurisdiction || ' ' || c.citation_string ||
-          coalesce(' ' || d.case_name || ' ' || d.docket_number, '') || coalesce(' ' || substr(o.plain_text, 1, 1000), '')) AS text_md5
+          coalesce(' ' || d.case_name || ' ' || d.docket_number, '') || coalesce(' ' || o.plain_text, '')) AS text_md5
         FROM records r JOIN courts c ON r.court_code = c.id LEFT JOIN docket_of d ON d.docket_number = r.case_number
              LEFT JOIN opinion_of o ON o.record_id = r.record_id AND o.plain_text <> ''""",
 )
 def enhanced_text(spark, folder):
     attached, opinion = _case_data(spark, folder)
     shifted = opinion.withColumn("id", F.col("id") + 1)
-    return J.enhanced_text(attached, shifted).select("record_id", md5("text").alias("text_md5"))
+    return J.enhanced_text(attached, shifted, 1000).select("record_id", md5("text").alias("text_md5"))
 
 
 @query(
@@ -235,9 +235,9 @@ def enhanced_text(spark, folder):
           LEFT JOIN docket_of d ON d.docket_number = r.case_number
           LEFT JOIN opinion_of o ON o.record_id = r.record_id
         WHERE contains(lower(concat_ws(' ', r.search_text, c.full_name, c.jurisdiction, c.citation_string, d.case_name,
-                                       substr(o.plain_text, 1, 1000))), 'the')
+                                       o.plain_text)), 'the')
           AND contains(lower(concat_ws(' ', r.search_text, c.full_name, c.jurisdiction, c.citation_string, d.case_name,
-                                       substr(o.plain_text, 1, 1000))), 'asia')""",
+                                       o.plain_text)), 'asia')""",
 )
 def enhanced_search(spark, folder):
     attached, opinion = _case_data(spark, folder)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from docketlake.catalog.registry import CITATIONS, COURTS, OPINIONS, citations, courts, opinions, query, table
 from docketlake.operators.index import courts_named
 from docketlake.operators.joins import citations_of_opinion
+from docketlake.operators.quality import compare_headers
 from docketlake.operators.tables import latest_rows, merge, without
 
 
@@ -34,12 +35,10 @@ def bag_union(spark, folder):
     "SELECT doc_id, 'id' AS missing, lang AS extra FROM documents",
 )
 def header_difference(spark, folder):
-    expected = F.array(F.lit("id"), F.lit("type"))
-    actual = F.array(F.lit("type"), F.col("lang"))
-    return table(spark, folder, "documents").select(
-        "doc_id",
-        F.array_join(F.array_except(expected, actual), ",").alias("missing"),
-        F.array_join(F.array_except(actual, expected), ",").alias("extra"),
+    expected, actual = F.array(F.lit("id"), F.lit("type")), F.array(F.lit("type"), F.col("lang"))
+    rows = table(spark, folder, "documents").select("doc_id", expected.alias("expected"), actual.alias("headers"))
+    return compare_headers(rows).select(
+        "doc_id", F.array_join("missing_fields", ",").alias("missing"), F.array_join("extra_fields", ",").alias("extra")
     )
 
 

@@ -1,5 +1,8 @@
 """Counts, storage figures, the inverted index and volumes."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketlake.catalog.registry import (
@@ -107,17 +110,23 @@ def index_sizes(spark, folder):
 @query(
     "h4_find_by_field",
     """SELECT 'short' AS kind, doc_id FROM documents WHERE source = 'src7'
-       UNION ALL SELECT 'long', doc_id FROM documents WHERE substr(text, 1, 100) = (SELECT substr(text, 1, 100) FROM documents WHERE doc_id = 5)
+       UNION ALL SELECT 'long', doc_id FROM documents WHERE text = (SELECT text FROM documents WHERE doc_id = 5)
+       UNION ALL SELECT 'cut', doc_id FROM documents WHERE substr(text, 1, 100) = (SELECT substr(text, 1, 100) FROM documents WHERE doc_id = 5)
        UNION ALL SELECT 'number', doc_id FROM documents WHERE n_chars = 500""",
 )
 def find_by_field(spark, folder):
     docs = table(spark, folder, "documents")
-    wanted = docs.where("doc_id = 5").select(F.left("text", F.lit(150))).head()[0]
+    wanted = docs.where("doc_id = 5").select("text").head()[0]
     parts = [
-        I.find_by_field(docs, field, value).select(F.lit(kind).alias("kind"), "doc_id")
-        for kind, field, value in (("short", "source", "src7"), ("long", "text", wanted), ("number", "n_chars", 500))
+        I.find_by_field(docs, field, value, length).select(F.lit(kind).alias("kind"), "doc_id")
+        for kind, field, value, length in (
+            ("short", "source", "src7", None),
+            ("long", "text", wanted, None),
+            ("cut", "text", wanted, 100),
+            ("number", "n_chars", 500, None),
+        )
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("h4_index_lookup", f"WITH {CLUSTERS} SELECT id FROM clusters WHERE precedential_status = 'Errata'")

@@ -149,9 +149,10 @@ def iso_text(c: Column, data_type: T.DataType) -> Column:
     return text
 
 
-def index_key(c: Column, data_type: T.DataType, width: int = 100) -> Column:
-    """Key of the inverted index: the display text cut to ``width`` characters."""
-    return F.left(display_text(c, data_type), F.lit(width))
+def index_key(c: Column, data_type: T.DataType, width: int | None = 100) -> Column:
+    """Key of the inverted index: the display text, cut to ``width`` characters unless that is None."""
+    shown = display_text(c, data_type)
+    return shown if width is None else F.left(shown, F.lit(width))
 
 
 def entity_of_file(path: Column) -> Column:

@@ -6,22 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketlake.functions.text import display_text, index_key
+from docketlake.functions.text import index_key
 
-# Fields left out of the index, and the length of its keys.
+# Fields left out of the index.
 UNINDEXED = ("date_created", "date_modified")
-KEY_LENGTH = 100
 
-BLOCK_IDS = 1 << 20  # most ids in one posting list
-HASH_BLOCKS = 16  # posting lists per value for ids that are not numbers
+BLOCK_IDS = 1 << 20  # ids in one posting list
 
 
-def postings(df: DataFrame, id_column: str = "id", fields: list[str] | None = None) -> DataFrame:
-    """Flat index rows ``field, value, id``; NULL values are not indexed."""
+def postings(
+    df: DataFrame, id_column: str = "id", fields: list[str] | None = None, key_length: int | None = None
+) -> DataFrame:
+    """Flat index rows ``field, value, id``; NULL values are not indexed.
+
+    Values are whole; ``key_length`` cuts them, which older indexes did at 100.
+    """
     names = [c for c in (fields or df.columns) if c not in UNINDEXED]
     cells = F.array(
         *[
-            F.struct(F.lit(n).alias("field"), index_key(F.col(n), df.schema[n].dataType, KEY_LENGTH).alias("value"))
+            F.struct(F.lit(n).alias("field"), index_key(F.col(n), df.schema[n].dataType, key_length).alias("value"))
             for n in names
         ]
     )
@@ -31,22 +34,24 @@ def postings(df: DataFrame, id_column: str = "id", fields: list[str] | None = No
     )
 
 
-def _block(id_type: T.DataType) -> Column:
-    """Number ids go to blocks of consecutive ids, others to a few hash blocks."""
-    if isinstance(id_type, T.IntegralType):
+def _block(df: DataFrame, id_column: str) -> Column:
+    """Number ids go to blocks of consecutive ids, others to as many hash blocks as the table's rows need."""
+    if isinstance(df.schema[id_column].dataType, T.IntegralType):
         return F.floor(F.col("id") / BLOCK_IDS)
-    return F.pmod(F.xxhash64("id"), F.lit(HASH_BLOCKS))
+    return F.pmod(F.xxhash64("id"), F.lit(max(1, -(-df.count() // BLOCK_IDS))))
 
 
-def inverted_index(df: DataFrame, id_column: str = "id", fields: list[str] | None = None) -> DataFrame:
+def inverted_index(
+    df: DataFrame, id_column: str = "id", fields: list[str] | None = None, key_length: int | None = None
+) -> DataFrame:
     """Sorted posting lists per field and value, one per block of ids.
 
     A value that a third of all rows share is spread over its id blocks, so no
     list grows with the table.
     """
-    flat = postings(df, id_column, fields)
+    flat = postings(df, id_column, fields, key_length)
     return (
-        flat.groupBy("field", "value", _block(df.schema[id_column].dataType).alias("id_block"))
+        flat.groupBy("field", "value", _block(df, id_column).alias("id_block"))
         .agg(F.sort_array(F.collect_set("id")).alias("ids"))
         .withColumn("n_ids", F.size("ids"))
     )
@@ -57,14 +62,14 @@ def index_sizes(df: DataFrame, id_column: str = "id", fields: list[str] | None =
     return postings(df, id_column, fields).groupBy("field", "value").agg(F.count(F.lit(1)).alias("n_ids"))
 
 
-def index_lookup(index: DataFrame, field: str, value: str) -> DataFrame:
-    """Ids from a stored index."""
-    hit = (F.col("field") == field) & (F.col("value") == value[:KEY_LENGTH])
+def index_lookup(index: DataFrame, field: str, value: str, key_length: int | None = None) -> DataFrame:
+    """Ids from a stored index; ``key_length`` as the index was built with."""
+    hit = (F.col("field") == field) & (F.col("value") == value[:key_length])
     return index.where(hit).select(F.explode("ids").alias("id"))
 
 
-def find_by_field(df: DataFrame, field: str, value: object) -> DataFrame:
-    """Rows whose value equals the given one up to the key length.
+def find_by_field(df: DataFrame, field: str, value: object, key_length: int | None = None) -> DataFrame:
+    """Rows whose value equals the given one, or does so in the first ``key_length`` characters.
 
     Plain equality wherever that is the same, because it reaches the scan.
     """
@@ -72,12 +77,11 @@ def find_by_field(df: DataFrame, field: str, value: object) -> DataFrame:
         return df.limit(0)
     data_type = df.schema[field].dataType
     text = value if isinstance(value, str) else str(value)
-    if isinstance(data_type, T.StringType) and len(text) < KEY_LENGTH:
+    if isinstance(data_type, T.StringType) and (key_length is None or len(text) < key_length):
         return df.where(F.col(field) == text)
     if isinstance(data_type, T.IntegralType) and not isinstance(value, str):
         return df.where(F.col(field) == value)
-    key = F.left(display_text(F.col(field), data_type), F.lit(KEY_LENGTH))
-    return df.where(key == text[:KEY_LENGTH])
+    return df.where(index_key(F.col(field), data_type, key_length) == text[:key_length])
 
 
 def courts_named(courts: DataFrame, query: str) -> DataFrame:

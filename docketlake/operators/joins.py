@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 from docketlake.functions.text import join_present
 from docketlake.operators.court_records import record_text
 
-PAGE_ROWS = 1000
-OPINION_PREFIX = 1000  # characters of an opinion that enter a record's search text
-
 
 def children_of(table: DataFrame, foreign_key: str, parent_ids: DataFrame | list) -> DataFrame:
     """Rows of a child table that belong to the given parents."""
@@ -74,11 +71,12 @@ def case_hierarchy(
 
 
 def nest(
-    parent: DataFrame, child: DataFrame, key: str, child_id: str, name: str, page_rows: int = PAGE_ROWS
+    parent: DataFrame, child: DataFrame, key: str, child_id: str, name: str, page_rows: int
 ) -> DataFrame:
     """Parents with an array of their children, in pages of about ``page_rows``.
 
-    A parent with at most ``page_rows`` children has exactly one page (0); a
+    The caller chooses the page size, since a row has to fit into memory.  A
+    parent with at most ``page_rows`` children has exactly one page (0); a
     larger one gets as many rows as it needs, its children spread by hash.
     Columns ``{name}_page`` and ``{name}_pages`` tell the rows apart.
     """
@@ -109,9 +107,10 @@ def nested_hierarchy(
     clusters: DataFrame,
     opinions: DataFrame,
     docket_ids: DataFrame | list | None = None,
-    page_rows: int = PAGE_ROWS,
+    *,
+    page_rows: int,
 ) -> DataFrame:
-    """Dockets with their clusters, and those with their opinions, as arrays.
+    """Dockets with their clusters, and those with their opinions, as arrays in pages (see :func:`nest`).
 
     An unknown docket yields no row; a cluster without opinions an empty array.
     """
@@ -160,12 +159,13 @@ def has_case_data(records: DataFrame, opinions: DataFrame) -> DataFrame:
     return records.join(owners, "record_id", "left").withColumn("has_case_data", known).drop("_owned")
 
 
-def enhanced_parts(records: DataFrame, opinions: DataFrame) -> DataFrame:
+def enhanced_parts(records: DataFrame, opinions: DataFrame, prefix: int | None = None) -> DataFrame:
     """The search text of records in parts: the record's own, then its opinions'.
 
     ``records`` come from :func:`attach_case_data`; ``opinions`` has
     ``record_id, id, plain_text``.  Rows are ``record_id, part, text`` with the
-    record's own text as part 0 and an opinion's prefix under the opinion's id.
+    record's own text as part 0 and an opinion's whole text under the opinion's
+    id, or its first ``prefix`` characters where that is asked for.
     """
     own = join_present(
         record_text(),
@@ -177,13 +177,14 @@ def enhanced_parts(records: DataFrame, opinions: DataFrame) -> DataFrame:
         F.col("docket.case_name_full"),
     )
     base = records.select("record_id", F.lit(0).cast("bigint").alias("part"), own.alias("text"))
-    prefixes = opinions.where(F.coalesce("plain_text", F.lit("")) != "").select(
-        "record_id", F.col("id").alias("part"), F.left("plain_text", F.lit(OPINION_PREFIX)).alias("text")
+    text = F.left("plain_text", F.lit(prefix)) if prefix else F.col("plain_text")
+    theirs = opinions.where(F.coalesce("plain_text", F.lit("")) != "").select(
+        "record_id", F.col("id").alias("part"), text.alias("text")
     )
-    return base.unionByName(children_of(prefixes, "record_id", records.select("record_id")))
+    return base.unionByName(children_of(theirs, "record_id", records.select("record_id")))
 
 
-def enhanced_search(records: DataFrame, opinions: DataFrame, query: str) -> DataFrame:
+def enhanced_search(records: DataFrame, opinions: DataFrame, query: str, prefix: int | None = None) -> DataFrame:
     """Records whose whole enhanced text has every term.
 
     Terms hold no spaces and parts are joined by one, so a term is in the text
@@ -191,7 +192,7 @@ def enhanced_search(records: DataFrame, opinions: DataFrame, query: str) -> Data
     shuffle and the text of a record is never assembled.
     """
     terms = query.lower().split()
-    parts = enhanced_parts(records, opinions).withColumn("text", F.lower("text"))
+    parts = enhanced_parts(records, opinions, prefix).withColumn("text", F.lower("text"))
     if not terms:
         return records
     found = parts.groupBy("record_id").agg(
@@ -201,9 +202,9 @@ def enhanced_search(records: DataFrame, opinions: DataFrame, query: str) -> Data
     return children_of(records, "record_id", found.where(hit).select("record_id"))
 
 
-def enhanced_text(records: DataFrame, opinions: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
+def enhanced_text(records: DataFrame, opinions: DataFrame, page_rows: int, prefix: int | None = None) -> DataFrame:
     """The enhanced search text per record, in pages of at most that many opinions."""
-    parts = enhanced_parts(records, opinions)
+    parts = enhanced_parts(records, opinions, prefix)
     paged = nest(records.select("record_id"), parts, "record_id", "part", "parts", page_rows)
     texts = F.col("parts")["text"]
     return paged.select(

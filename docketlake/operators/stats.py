@@ -77,22 +77,11 @@ def estimated_records(data_type: Column, size: Column) -> Column:
     return out
 
 
-def volume(lines: DataFrame, valid: Column, sample: float | None = None, seed: int = 1) -> DataFrame:
-    """Lines, valid ones, their ratio and the total it extrapolates to.
-
-    Exact without ``sample``; with a fraction the validity test runs on that
-    share of the lines only, while all lines are counted.
-    """
-    tested = F.lit(True) if sample is None else F.rand(seed) < sample
-    counts = lines.select(tested.alias("t"), valid.alias("v")).agg(
-        F.count(F.lit(1)).alias("data_lines"),
-        F.count_if("t").alias("tested_lines"),
-        F.count_if(F.col("t") & F.col("v")).alias("valid_rows"),
-    )
-    ratio = F.when(F.col("tested_lines") > 0, F.col("valid_rows") / F.col("tested_lines")).otherwise(F.lit(0.0))
-    exact = F.lit(sample is None)
-    total = F.when(exact, F.col("valid_rows")).otherwise(F.floor(F.col("data_lines") * ratio))
-    return counts.withColumns({"valid_ratio": ratio, "estimated_valid": total.cast("bigint")})
+def volume(lines: DataFrame, valid: Column) -> DataFrame:
+    """Lines, valid ones and their ratio; all lines are counted, so the estimate is exact."""
+    counts = lines.agg(F.count(F.lit(1)).alias("data_lines"), F.count_if(valid).alias("valid_rows"))
+    ratio = F.when(F.col("data_lines") > 0, F.col("valid_rows") / F.col("data_lines")).otherwise(F.lit(0.0))
+    return counts.withColumns({"valid_ratio": ratio, "estimated_valid": F.col("valid_rows")})
 
 
 def events_by_type(events: DataFrame) -> DataFrame:

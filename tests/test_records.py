@@ -87,18 +87,20 @@ def test_case_data_and_enhanced_text(spark, records):
     assert attached.where("record_id = 'r2'").head().docket.case_name == "Case A"
     base = {r.record_id: r[1] for r in records.select("record_id", record_text()).collect()}
     want = base["r2"] + " Ninth Fed 9th Case A 2 Full A " + "o" * 1000 + " second text"
-    assert J.enhanced_text(attached, opinions).where("record_id = 'r2'").head().text == want
+    assert J.enhanced_text(attached, opinions, page_rows=1000, prefix=1000).where("record_id = 'r2'").head().text == want
     pages = J.enhanced_text(attached, opinions, page_rows=1).where("record_id = 'r2'").collect()
-    assert sorted(" ".join(p.text for p in pages).split()) == sorted(want.split())
-    find = lambda q: sorted(r.record_id for r in J.enhanced_search(attached, opinions, q).collect())
-    assert find("second Case") == ["r2"] and find("hidden") == [] and find("ninth smith") == ["r1"] and len(find("")) == 3
+    whole = want.replace("o" * 1000, "o" * 1200 + "hidden")
+    assert sorted(" ".join(p.text for p in pages).split()) == sorted(whole.split())
+    find = lambda q, n=None: sorted(r.record_id for r in J.enhanced_search(attached, opinions, q, n).collect())
+    assert find("second Case") == ["r2"] and find("hidden") == ["r2"] and find("hidden", 1000) == [] and find("ninth smith") == ["r1"] and len(find("")) == 3
 
 
 def test_datasets(spark):
     rows = [("a", "f1", 5, "downloaded", None), ("a", "f2", 2**30, "downloaded", None), ("b", "f", 0, "error", "boom"), ("c", "f", 1, "pending", None), ("d", "f", 1, "downloaded", None)]
     manifest = spark.createDataFrame(rows, "dataset_id string, path string, size long, status string, error_message string")
     names = spark.createDataFrame([(x,) for x in "abcde"], "dataset_id string")
-    checks = {r.dataset_id: r for r in dataset_checks(manifest, names).collect()}
+    checks = {r.dataset_id: r for r in dataset_checks(manifest, names, max_bytes=2**30).collect()}
+    assert dataset_checks(manifest).where("dataset_id = 'a'").head().ready
     assert {k: r.not_ready_reason for k, r in checks.items()} == {
         "a": "Dataset size exceeds 1GB limit",
         "b": "Dataset contains files with errors",

@@ -165,7 +165,10 @@ def test_index_splits_large_values_over_blocks(spark, monkeypatch):
     assert I.index_lookup(index, "v", "v").count() == 50
     assert {r.field for r in index.collect()} == {"id", "f", "long", "v"}
     assert I.find_by_field(df, "f", True).count() == 34
-    assert I.find_by_field(df, "long", "x" * 120).count() == 100
+    assert [I.find_by_field(df, "long", "x" * n).count() for n in (120, 150)] == [0, 100]
+    assert I.find_by_field(df, "long", "x" * 120, key_length=100).count() == 100
+    assert I.index_lookup(index, "long", "x" * 120).count() == 0
+    assert I.index_lookup(I.inverted_index(df, key_length=100), "long", "x" * 120, 100).count() == 100
     assert I.find_by_field(df, "id", 5).count() == 1
     assert I.find_by_field(df, "none", 5).count() == 0
 
