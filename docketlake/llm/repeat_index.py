@@ -115,12 +115,13 @@ class RunIndex:
         return length
 
 
-def earlier_windows(contexts: list[bytes], counts: np.ndarray, window: int) -> list[np.ndarray]:
-    """For each context, in order: which of its first ``counts`` windows occur earlier, in it or a context before.
+def earlier_windows(contexts: list[bytes], counts: np.ndarray, window: int, ids: np.ndarray, docs: np.ndarray) -> list[np.ndarray]:
+    """For each context: which of its first ``counts`` windows occur at a smaller id or earlier in its document.
 
-    Contexts are concatenated behind separators and indexed; neighbours in
-    suffix order that share a window form a class, all but its first place are
-    marked.
+    Contexts are ordered by id, document and place.  They are concatenated
+    behind separators and indexed; neighbours in suffix order that share a
+    window form a class.  All but its first place are marked, and the first
+    places of other documents that have the first one's id.
     """
     sizes = np.array([len(c) for c in contexts]) + 1
     begin = np.cumsum(sizes) - sizes
@@ -136,5 +137,15 @@ def earlier_windows(contexts: list[bytes], counts: np.ndarray, window: int) -> l
     starts = np.flatnonzero(np.r_[True, index.common()[1:] < window])
     first = np.minimum.reduceat(place, starts)
     marked = np.zeros(len(text) + 1, bool)
-    marked[place] = place > np.repeat(first, np.diff(np.r_[starts, len(place)]))
+    first = np.repeat(first, np.diff(np.r_[starts, len(place)]))
+    marked[place] = place > first
+    marked[-1] = False
+    if (ids[1:] == ids[:-1]).any() and (docs[1:] != docs[:-1])[ids[1:] == ids[:-1]].any():
+        id_, doc = (np.r_[np.repeat(x, sizes), 0] for x in (ids, docs))
+        level = np.flatnonzero(marked[place] & (id_[place] == id_[first]) & (doc[place] != doc[first]))
+        level = level[np.lexsort((place[level], doc[place[level]], first[level]))]
+        own, of = doc[place[level]], first[level]
+        fresh = np.ones(len(level), bool)
+        fresh[1:] = (own[1:] != own[:-1]) | (of[1:] != of[:-1])
+        marked[place[level[fresh]]] = False
     return [marked[b : b + c] for b, c in zip(begin, counts, strict=True)]
