@@ -3,7 +3,7 @@
 Two multinomials over hashed n-grams are counted: one of trusted documents, one
 of the whole corpus.  A document's score is the mean log ratio of its n-grams
 under the two, so length does not matter; text that trusted documents do not
-contain scores low.  One threshold, set from labelled rows, decides every
+contain scores low.  One threshold, set from all labelled rows, decides every
 document.  Everything is a column expression; no Python runs on executors.
 """
 
@@ -15,10 +15,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketlake.llm.common import id_cell, id_cells, materialise
+
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
-#: Labelled rows the trusted counts and the threshold are taken from, of each kind; chosen by hash.
-LABELLED = 20_000
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
@@ -92,17 +92,23 @@ def ngram_buckets(text: Column, buckets: int = BUCKETS) -> Column:
     return F.flatten(_let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TOKEN), 0), both))
 
 
-def labelled_rows(labels: DataFrame, bound: int = LABELLED) -> DataFrame:
-    """Up to ``bound`` ids of good and of bad rows (``doc_id, good``), the first by hash."""
+def labelled_rows(labels: DataFrame) -> DataFrame:
+    """``doc_id, good`` of all good and bad rows."""
     rows = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", (F.col("quality") == 1).alias("good"))
-    rows = rows.groupBy("doc_id").agg(F.min("good").alias("good"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    return rows.where("good").orderBy(*order).limit(bound).unionByName(rows.where("not good").orderBy(*order).limit(bound))
+    return rows.groupBy("doc_id").agg(F.min("good").alias("good"))
+
+
+def _by_cell(docs: DataFrame, cells: DataFrame, how: str) -> DataFrame:
+    """Rows whose ``doc_id`` may (``left_semi``) or cannot (``left_anti``) be among those behind ``cells``; a null one cannot."""
+    cell = F.when(F.col("doc_id").isNotNull(), id_cell("doc_id"))
+    return docs.withColumn("_cell", cell).join(F.broadcast(cells), "_cell", how).drop("_cell")
 
 
-def ratio_weights(docs: DataFrame, labelled: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[float]:
-    """Log ratio of trusted to raw probability of every bucket, smoothed."""
-    marked = docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id", "left")
+def ratio_weights(docs: DataFrame, labelled: DataFrame, cells: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[float]:
+    """Log ratio of trusted to raw probability of every bucket, smoothed; only rows that may have a label are shuffled."""
+    docs = docs.select("doc_id", "text")
+    other = _by_cell(docs, cells, "left_anti").withColumn("good", F.lit(False))
+    marked = _by_cell(docs, cells, "left_semi").join(labelled, "doc_id", "left").unionByName(other)
     trusted = F.coalesce("good", F.lit(False)).cast("long")
     grams = marked.select(trusted.alias("t"), F.explode(ngram_buckets(F.col("text"), buckets)).alias("b"))
     counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("trusted")).collect()
@@ -126,7 +132,7 @@ def score(text: Column, weights: Column, buckets: int = BUCKETS) -> Column:
     return _let(ngram_buckets(text, buckets), lambda b: F.when(F.size(b) > 0, mean(b)))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, bound: int = LABELLED, buckets: int = BUCKETS) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """``docs`` (any columns, among them ``doc_id, text``) with its statistics, ``llr``, ``base_failed`` and ``kept``.
 
     A document fails the base rules with fewer than ``MIN_WORDS`` words, or with
@@ -137,11 +143,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame, bound: int = LABELLED, buc
     words and fail.  Labels that contradict each other count as bad; repeated
     rows get the same verdict; columns named like new ones are replaced.
     """
-    labelled = labelled_rows(labels, bound)
-    weights = ratio_weights(docs, labelled, buckets)
+    labelled = materialise(labelled_rows(labels))
+    cells = materialise(id_cells(labelled, "doc_id"))
+    weights = ratio_weights(docs, labelled, cells, buckets)
     llr = score(F.col("text"), constant_array(weights), buckets)
-    sample = docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id").select("good", llr.alias("llr"))
-    means = {r.good: r.llr for r in sample.groupBy("good").agg(F.avg("llr").alias("llr")).collect() if r.llr is not None}
+    # Scored before the join, so that it shuffles no texts.
+    scored = _by_cell(docs.select("doc_id", "text"), cells, "left_semi").select("doc_id", llr.alias("llr")).join(labelled, "doc_id")
+    means = {r.good: r.llr for r in scored.groupBy("good").agg(F.avg("llr").alias("llr")).collect() if r.llr is not None}
     limit = (means[True] + means[False]) / 2 if len(means) == 2 and means[True] > means[False] else -math.inf
 
     found = docs.withColumns({**text_statistics(F.col("text")), "llr": llr})

@@ -34,3 +34,19 @@ def test_substrings_of_shared_ids(spark, most):
     cut = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), most_contexts=most).collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.text.encode(), bytes(r.kept)) for r in cut) == sorted(want)
     assert {bytes(r.kept) for r in cut if r.doc_id == 7} == {alone.encode()}
+
+
+def test_quality_takes_all_labels(spark):
+    from docketlake.llm.quality import quality_rules
+
+    n = 40_600
+    rows = [(i, "aa bb" if i < n - 600 else "cc dd") for i in range(n)] + [(None, "aa bb"), (n + 5, "ee ff")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 2 == 0 or i >= n - 600)) for i in range(n)], "doc_id long, quality int")
+    out = {r.text: r.llr for r in quality_rules(docs, labels).select("text", "llr").distinct().collect()}
+    # Four grams a text: two tokens, their pair, and the last token again as a pair without a second.
+    total = np.log((65536 + 4 * (n + 2)) / (65536 + 4 * (20_000 + 600)))
+    raw, good = {"aa bb": n - 600 + 1, "cc dd": 600, "ee ff": 1}, {"aa bb": 20_000, "cc dd": 600, "ee ff": 0}
+    for text, llr in out.items():
+        once, twice = (np.log((k * good[text] + 1) / (k * raw[text] + 1)) for k in (1, 2))
+        assert llr == pytest.approx((once + twice) / 2 + total, abs=1e-3)
