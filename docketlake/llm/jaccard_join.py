@@ -206,25 +206,15 @@ def _hot_shingles(described: DataFrame, bound: int) -> tuple[np.ndarray, np.ndar
     return value[order], np.array([r.n for r in rows], np.int64)[order]
 
 
-def jaccard_groups(docs: DataFrame, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
-    """The columns of ``docs`` but ``text``, with ``n_shingles`` and ``component_id``.
-
-    Words are maximal runs of bytes other than white space, with A-Z in lower
-    case; a set holds the distinct shingles of five of them, or all words as one
-    shingle if there are fewer.  Documents link from a Jaccard similarity of
-    ``percent`` (at least 75).  ``component_id`` is the smallest ``doc_id``
-    reachable.  Null and empty texts have empty sets, which link with nothing.
-    Repeated rows link with each other; a null ``doc_id`` never names a
-    component that holds another id.  Columns of the new names are replaced.
-    """
+def _grouped(docs: DataFrame, percent: int, hot: int) -> DataFrame:
+    """The columns of ``docs`` but ``text``, with a row key ``id`` (of ``doc_id`` and text), set size ``n`` and ``component``."""
     if percent < PERCENT:
         raise ValueError(f"signatures are complete from {PERCENT} percent")
     spark = docs.sparkSession
     bound_batches(spark)
-    rest = docs.drop("n_shingles", "component_id", "_cls")
-    others = [c for c in rest.columns if c != "text"]
+    others = [c for c in docs.columns if c != "text"]
     # A row's identity outlives this job: rows with equal ids and equal texts are interchangeable.
-    keyed = rest.withColumn("_id", F.xxhash64("doc_id", "text"))
+    keyed = docs.withColumn("_id", F.xxhash64("doc_id", "text"))
     plain = keyed.select(F.col("_id").alias("id"), "text")
     described = plain.mapInArrow(_describe, "kind int, row long, cls long, n long, bits binary")
     described = materialise(described)
@@ -266,7 +256,23 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, hot: int = HOT) -> D
     joined = components(links).withColumnRenamed("id", "cls")
 
     rows = keyed.select(*[f"`{c}`" for c in others], F.col("_id").alias("id")).join(own.drop("bits").dropDuplicates(["id"]), "id")
-    rows = materialise(rows.join(joined, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
+    return materialise(rows.join(joined, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
+
+
+def jaccard_groups(docs: DataFrame, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
+    """The columns of ``docs`` but ``text``, with ``n_shingles`` and ``component_id``.
+
+    Words are maximal runs of bytes other than white space, with A-Z in lower
+    case; a set holds the distinct shingles of five of them, or all words as one
+    shingle if there are fewer.  Documents link from a Jaccard similarity of
+    ``percent`` (at least 75).  ``component_id`` is the smallest ``doc_id``
+    reachable.  Null and empty texts have empty sets, which link with nothing.
+    Repeated rows link with each other; a null ``doc_id`` never names a
+    component that holds another id.  Columns of the new names are replaced.
+    """
+    docs = docs.drop("n_shingles", "component_id", "_cls")
+    others = [c for c in docs.columns if c != "text"]
+    rows = _grouped(docs, percent, hot)
     names = rows.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = rows.join(names, "component", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
@@ -274,14 +280,20 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, hot: int = HOT) -> D
 
 
 def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without documents whose component has a smaller ``doc_id``, and without repeated rows.
+    """One document of each component, that of the smallest ``doc_id``, and each repeated row once.
 
-    Only documents that go, or may go, are shuffled.
+    Rows are told apart by ``doc_id`` and text.  A null ``doc_id`` is larger
+    than all others here; of several texts of the smallest one, a hash decides.
+    Null and empty texts are in no component.  Only documents that go, or may
+    go, are shuffled.
     """
-    groups = materialise(jaccard_groups(docs.select("doc_id", "text"), percent).where("component_id is not null"))
-    gone = groups.where("doc_id is null or doc_id <> component_id").select("doc_id").distinct()
-    again = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    rows = _grouped(docs.select("doc_id", "text"), percent, HOT)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")
+    first = rows.where("n > 0").groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("size")).where("size > 1")
+    gone = rows.where("n > 0").join(first, "component").where(F.col("id") != F.col("first.id")).select(F.col("id").alias("_row")).distinct()
+    again = rows.groupBy(F.col("id").alias("_row")).count().where("count > 1").select("_row")
     gone = materialise(gone)
-    cells = materialise(id_cells(gone.union(again), "doc_id"))
-    checked = with_ids(docs, "doc_id", cells).join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    return without_ids(docs, "doc_id", cells).unionByName(checked.dropDuplicates(["doc_id"]))
+    cells = materialise(id_cells(gone.union(again), "_row"))
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    checked = with_ids(keyed, "_row", cells).join(gone, "_row", "left_anti").dropDuplicates(["_row"])
+    return without_ids(keyed, "_row", cells).unionByName(checked).drop("_row")

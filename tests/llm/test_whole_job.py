@@ -36,6 +36,20 @@ def test_substrings_of_shared_ids(spark, most):
     assert {bytes(r.kept) for r in cut if r.doc_id == 7} == {alone.encode()}
 
 
+@pytest.mark.parametrize("cells", [1, 1 << 18])
+def test_near_copies_without_ids(spark, cells, monkeypatch):
+    from docketlake.llm import common
+    from docketlake.llm.jaccard_join import drop_near_copies
+
+    monkeypatch.setattr(common, "ID_CELLS", cells)
+    text = lambda n, *more: " ".join([f"{n}w{i}" for i in range(60)] + list(more))
+    rows = [(1, text("a")), (2, text("a", "x")), (None, text("a", "y")), (None, text("b")), (None, text("c")), (None, text("c", "z"))]
+    rows += [(5, text("d")), (5, text("e")), (6, text("f")), (6, text("f")), (7, text("g")), (7, text("g", "x")), (None, None), (None, ""), (8, "")]
+    out = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    named = sorted((r.doc_id or 0, (r.text or "")[:1], r.text is None) for r in out)
+    assert named == sorted([(1, "a", False), (0, "b", False), (0, "c", False), (5, "d", False), (5, "e", False), (6, "f", False), (7, "g", False), (0, "", True), (0, "", False), (8, "", False)])
+
+
 def test_quality_takes_all_labels(spark):
     from docketlake.llm.quality import quality_rules
 
