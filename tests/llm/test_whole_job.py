@@ -64,3 +64,19 @@ def test_quality_takes_all_labels(spark):
     for text, llr in out.items():
         once, twice = (np.log((k * good[text] + 1) / (k * raw[text] + 1)) for k in (1, 2))
         assert llr == pytest.approx((once + twice) / 2 + total, abs=1e-3)
+
+
+def test_pages_with_copies(spark):
+    from docketlake.llm.html_extraction import extract_text
+
+    run = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    menu, quote, body = run("menu", 12), run("quote", 10), run("body", 200)
+    rows = [(i, f"http://h/{i}", f"<div>{menu}</div><p>{run(f'own{i}x', 20)}{' ' + quote if i < 2 else ''}</p>") for i in range(6)]
+    rows += [(10 + i, f"http://h/10?page={i}", f"<div>{menu}</div><p>{body}{' more' * (i // 2)}</p>") for i in range(4)]
+    rows += [(20 + i, f"http://mirror/{i}", f"<p>{body} print{i}</p>") for i in range(2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for host_tokens in (10, 10**6):
+        got = {r.page_id: r.text for r in extract_text(df, host_tokens=host_tokens).collect()}
+        assert got[0] == f"{run('own0x', 20)} {quote}" and got[1] == f"{run('own1x', 20)} {quote}" and got[5] == run("own5x", 20)
+        assert all(got[10 + i] == body + " more" * (i // 2) for i in range(4))
+        assert all(got[20 + i] == f"{body} print{i}" for i in range(2))
