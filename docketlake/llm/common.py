@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,17 +17,22 @@ BATCH_ROWS = 1_000
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A fresh path in the folder all executors share (``spark.checkpoint.dir``, else below the warehouse)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or (
-        spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    )
+    """A fresh path in the folder all executors share, ``spark.checkpoint.dir``.
+
+    Only a local master, whose executors are the driver, may leave it unset; scratch
+    tables then lie below the warehouse.
+    """
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    base = base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write ``df`` once and read it back: later stages neither repeat its work nor depend on one executor."""
     path = scratch_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -35,6 +43,18 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def once_a_worker(name: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` returns, made once for all tasks of a Python worker.
+
+    It is kept at a module every worker has, so that functions using it are sent by
+    value: workers need not be able to import this package.
+    """
+    kept = sys.__dict__.setdefault("_llm_kept", {})
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -14,7 +14,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import bound_batches, materialise, shuffle_partitions
+from docketlake.llm.common import bound_batches, materialise, once_a_worker, shuffle_partitions
 
 VOCABULARY = "byte_bpe_50k"
 CAPACITY = 1024
@@ -67,21 +66,21 @@ class TokenIds:
         ).findall
         self.beyond = re.compile("[^\u0000-ſ]").search
 
-    def _plain(self, text: str) -> bytes:
+    def plain(self, text: str) -> bytes:
+        """Ids of a text in which special strings are ordinary text."""
         if self.beyond(text):
             return array("I", self.coder.encode_ordinary(text)).tobytes()
         return b"".join(map(self.ids.__getitem__, self.parts(text)))
 
     def encode(self, text: str) -> bytes:
         if _END_OF_TEXT not in text:
-            return self._plain(text)
-        return array("I", [_END_OF_TEXT_ID]).tobytes().join(map(self._plain, text.split(_END_OF_TEXT)))
+            return self.plain(text)
+        return array("I", [_END_OF_TEXT_ID]).tobytes().join(map(self.plain, text.split(_END_OF_TEXT)))
 
 
-@cache
 def coder_of(path: str | None) -> TokenIds:
     """One coder, and what it remembers, for all tasks of a worker."""
-    return TokenIds(path)
+    return once_a_worker(f"token ids of {path}", lambda: TokenIds(path))
 
 
 _PIECES = pa.schema([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])

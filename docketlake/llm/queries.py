@@ -14,8 +14,11 @@ from docketlake.llm.language_id import identify_language
 from docketlake.llm.mixing import mix_sources
 from docketlake.llm.packing import pack
 from docketlake.llm.quality import quality_rules
+from docketlake.llm.resampling import resample
 from docketlake.llm.substring_dedup import remove_repeats
+from docketlake.llm.token_alignment import align_tokenizers
 from docketlake.llm.token_counts import token_counts
+from docketlake.llm.topk_search import top_k
 from docketlake.llm.toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +98,102 @@ def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text", "lang", "source")
     mixed = mix_sources(docs, domain_of("source"))
     return mixed.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+
+
+@query
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    aligned, _ = align_tokenizers(table(spark, folder, "documents", "doc_id", "text"))
+    return aligned.select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
+@query
+def op12_topk_search(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k(table(spark, folder, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+ORACLES["op12_topk_search"] = """
+WITH vectors AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS weights
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.weights, c.weights)::BIGINT AS score
+    FROM vectors q JOIN vectors c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@query
+def op13_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    drawn = resample(docs, table(spark, folder, "benchmark", "text"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# CRC-32 is not a function of the other engine; it goes byte by byte over the distinct n-grams.
+ORACLES["op13_resampling"] = r"""
+WITH RECURSIVE texts AS (
+    SELECT 0 AS target, doc_id AS id, text FROM documents
+    UNION ALL SELECT 1, item_id, text FROM benchmark
+), words AS (
+    SELECT target, id, unnest(list) AS word, unnest(range(len(list))) AS pos
+    FROM (
+        SELECT target, id, regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'
+        ) AS list
+        FROM texts
+    )
+), runs AS (
+    SELECT target, id, word AS one,
+        word || ' ' || lead(word, 1) OVER behind AS two,
+        word || ' ' || lead(word, 1) OVER behind || ' ' || lead(word, 2) OVER behind AS three
+    FROM words WINDOW behind AS (PARTITION BY target, id ORDER BY pos)
+), grams AS (
+    SELECT target, id, gram FROM (
+        SELECT target, id, unnest([one, two, three]) AS gram FROM runs
+    ) WHERE gram IS NOT NULL
+), distinct_grams AS MATERIALIZED (
+    SELECT row_number() OVER () AS number, gram, hex(encode(gram)) AS bytes FROM (SELECT DISTINCT gram FROM grams)
+), steps AS MATERIALIZED (
+    SELECT byte, list_reduce([byte, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x:
+        xor(a >> 1, (a & 1) * 3988292384)) AS value
+    FROM (SELECT range::BIGINT AS byte FROM range(256))
+), crc AS (
+    SELECT number, bytes, 1 AS pos, 4294967295::BIGINT AS value FROM distinct_grams
+    UNION ALL
+    SELECT c.number, c.bytes, c.pos + 2, xor(c.value >> 8, s.value)
+    FROM crc c JOIN steps s ON s.byte = xor(c.value & 255, ('0x' || substr(c.bytes, c.pos, 2))::BIGINT)
+    WHERE c.pos < length(c.bytes)
+), buckets AS MATERIALIZED (
+    SELECT gram, xor(value, 4294967295) % 10000 AS bucket
+    FROM crc JOIN distinct_grams USING (number) WHERE pos > length(crc.bytes)
+), hashed AS MATERIALIZED (
+    SELECT target, id, bucket FROM grams JOIN buckets USING (gram)
+), counts AS (
+    SELECT bucket, count(*) FILTER (target = 0)::DOUBLE AS s, count(*) FILTER (target = 1)::DOUBLE AS t
+    FROM hashed GROUP BY bucket
+), gains AS (
+    SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000)))) AS gain
+    FROM counts
+), weights AS (
+    SELECT id, count(*) AS n_features, sum(gain)::BIGINT AS weight
+    FROM hashed JOIN gains USING (bucket) WHERE target = 0 GROUP BY id
+), scored AS (
+    SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln(
+            (('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE
+        )))::BIGINT AS score
+    FROM documents LEFT JOIN weights ON id = doc_id
+), placed AS (
+    SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n
+    FROM scored WHERE n_features >= 57
+)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN place END AS rank
+FROM scored s LEFT JOIN placed p ON p.doc_id = s.doc_id
+"""

@@ -17,14 +17,13 @@ import os
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import cache
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import bound_batches, materialise
+from docketlake.llm.common import bound_batches, materialise, once_a_worker
 
 VOCABULARY = "word_bpe_49k.json"
 #: Pre-tokens whose counts are broadcast; a bound of some megabytes, independent of the corpus.
@@ -76,11 +75,10 @@ class PreTokens:
         return [len(e) for e in self.tokenizer.encode_batch(list(parts), add_special_tokens=False)]
 
 
-@cache
 def splitter_of(path: str | None) -> PreTokens:
     """One splitter for all tasks of a worker; a task has one core, so the library starts no threads."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return PreTokens(path)
+    return once_a_worker(f"pre-tokens of {path}", lambda: PreTokens(path))
 
 
 def _frequencies(path: str | None):
