@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 from docketlake.catalog.records import LINES, lines
 from docketlake.catalog.registry import COURTS, courts, day, md5, query, table, text
 from docketlake.operators.entities import good, project
+from docketlake.operators.quality import check_headers
 from docketlake.operators.tables import read_table, write_json, write_table
 from docketlake.schemas import entity
 from docketlake.session import scratch_path
 from docketlake.sources import file_manifest, read_bulk, read_court_lines, read_json_records
-from docketlake.sources.bulk import drop_blank_keys
+from docketlake.sources.bulk import CORRUPT, drop_blank_keys
 
 
 def write_dump(df, path, compression="none", quote="`"):
@@ -75,12 +76,12 @@ def read_bzip2(spark, folder):
 
 @query("a2_read_gzip", OPINION_CHECK)
 def read_gzip(spark, folder):
-    return _read_opinions(spark, folder, "gzip", "multiline", partitions=16)
+    return _read_opinions(spark, folder, "gzip", "auto", partitions=16)
 
 
 @query("a3_multiline_records", OPINION_CHECK)
 def multiline_records(spark, folder):
-    return _read_opinions(spark, folder, "none", "parity", fallback_share=0.5)
+    return _read_opinions(spark, folder, "none", "parity")
 
 
 @query("a3_separator_records", OPINION_CHECK)
@@ -88,6 +89,101 @@ def separator_records(spark, folder):
     return _read_opinions(spark, folder, "none", "separator")
 
 
+def _parts(spark, folder):
+    """Dumps of orders whose files differ in their columns: all, in another order, fewer, and none that identifies a row."""
+    raw = table(spark, folder, "orders").select(
+        "o_orderstatus",
+        (F.col("o_orderkey") + 1).cast("string").alias("id"),
+        (F.col("o_custkey") + 1).cast("string").alias("docket_id"),
+        day("o_orderdate").alias("date_filed"),
+        F.concat(F.lit("In re\n"), "o_orderpriority").alias("case_name"),
+    )
+    path = scratch_path(spark, "headers")
+    names = {"O": ["id", "docket_id", "date_filed", "case_name"], "F": ["case_name", "date_filed", "id", "docket_id"]}
+    write_dump(raw.where("o_orderstatus = 'O'").select(names["O"]), f"{path}/whole")
+    write_dump(raw.where("o_orderstatus = 'F'").select(names["F"]), f"{path}/turned", "bzip2")
+    write_dump(raw.where("o_orderstatus = 'P' AND docket_id >= '5'").select("docket_id", "id"), f"{path}/fewer")
+    write_dump(raw.where("o_orderstatus = 'P' AND docket_id < '5'").select("case_name", "docket_id"), f"{path}/without")
+    return f"{path}/*"
+
+
+HEADERS = """SELECT CASE WHEN lost THEN NULL ELSE o_orderkey + 1 END AS id, CASE WHEN lost THEN NULL ELSE o_custkey + 1 END AS docket_id,
+         CASE WHEN o_orderstatus <> 'P' THEN strftime(o_orderdate, '%Y-%m-%d') END AS date_filed,
+         CASE WHEN o_orderstatus <> 'P' THEN 'In re' || chr(10) || o_orderpriority WHEN lost THEN NULL ELSE '' END AS case_name,
+         CASE WHEN lost THEN 'Malformed record' END AS error
+       FROM (SELECT *, o_orderstatus = 'P' AND CAST(o_custkey + 1 AS VARCHAR) < '5' AS lost FROM orders)"""
+
+
+def _by_header(spark, folder, method):
+    rows = read_bulk(spark, _parts(spark, folder), "opinion_clusters", method=method, required=["id", "docket_id"])
+    typed = project(rows, "opinion_clusters")
+    lost = F.get("errors", F.lit(0))
+    read = lambda c: F.when(lost.isNull(), F.col(c))
+    return typed.select(
+        read("id").alias("id"), read("docket_id").alias("docket_id"), day(read("date_filed")).alias("date_filed"),
+        read("case_name").alias("case_name"), lost.alias("error"),
+    )
+
+
+@query("a1_files_by_header", HEADERS)
+def files_by_header(spark, folder):
+    return _by_header(spark, folder, "parity")
+
+
+@query("a1_files_by_header_multiline", HEADERS)
+def files_by_header_multiline(spark, folder):
+    return _by_header(spark, folder, "multiline")
+
+
+@query(
+    "g3_header_check_of_files",
+    """SELECT part, CAST(part <> 'without' AS INTEGER) AS keyed, n_missing FROM
+         (VALUES ('whole', 0), ('turned', 0), ('fewer', 2), ('without', 2)) AS parts(part, n_missing)
+       WHERE EXISTS (SELECT 1 FROM orders)""",
+)
+def header_check_of_files(spark, folder):
+    expected = F.array(*[F.lit(n) for n in ("id", "docket_id", "date_filed", "case_name")])
+    checked = check_headers(spark, _parts(spark, folder), "opinion_clusters").where(F.size("headers") > 0)
+    part = F.element_at(F.split("file", "/"), -2)
+    keyed = F.array_contains("headers", "id").cast("int")
+    return checked.select(
+        part.alias("part"), keyed.alias("keyed"), F.size(F.array_except(expected, "headers")).cast("bigint").alias("n_missing")
+    ).distinct()
+
+
+def _stray(spark, folder, compression):
+    """Opinions, each on one line, of which every hundredth has a stray quote in its text."""
+    tick, doc = F.lit("`"), F.col("doc_id")
+    words = F.regexp_replace("text", r"[`\\\\\s]+", " ")
+    stray = F.when(doc % 100 == 7, F.concat(F.lit("x`y"), words)).otherwise(words)
+    line = F.concat(tick, text("doc_id"), F.lit("`,`020lead`,`"), stray, F.lit("`,`"), text("source"), F.lit("`,`1`"))
+    docs = table(spark, folder, "documents").where("doc_id <> 0")
+    header = spark.createDataFrame([(-1, "id,type,plain_text,sha1,cluster_id")], "doc_id bigint, value string")
+    rows = header.unionByName(docs.select("doc_id", line.alias("value"))).coalesce(1).sortWithinPartitions("doc_id")
+    path = scratch_path(spark, "stray")
+    rows.select("value").write.option("compression", compression).text(path)
+    return read_bulk(spark, path, "opinions")
+
+
+STRAY = "SELECT doc_id AS id, source AS sha1 FROM documents WHERE doc_id <> 0 AND doc_id % 100 <> 7"
+
+
+def _behind_stray_quotes(spark, folder, compression):
+    """What is read besides the damaged records."""
+    rows = good(project(_stray(spark, folder, compression), "opinions"))
+    return rows.where("id % 100 <> 7").select("id", "sha1")
+
+
+@query("a3_stray_quotes", STRAY)
+def stray_quotes(spark, folder):
+    return _behind_stray_quotes(spark, folder, "none")
+
+
+@query("a3_stray_quotes_bzip2", STRAY)
+def stray_quotes_bzip2(spark, folder):
+    return _behind_stray_quotes(spark, folder, "bzip2")
+
+
 @query(
     "a4_column_count",
     "SELECT CAST(count(*) FILTER (WHERE n_chars % 2 = 0) AS BIGINT) AS good_rows, count(*) FILTER (WHERE n_chars % 2 = 1) AS bad_rows FROM documents",
@@ -101,13 +197,7 @@ def column_count(spark, folder):
     full = F.when(F.col("n_chars") % 2 == 0, F.concat(row, F.lit(",`1`"))).otherwise(row)
     path = scratch_path(spark, "short-rows")
     docs.select(full.alias("value")).write.text(path)
-    from docketlake.sources.bulk import CORRUPT, DIALECTS, _parse
-    from docketlake.sources.records import stitch_records
-    from pyspark.sql import types as T
-
-    names = ["id", "plain_text", "cluster_id"]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
-    rows = _parse(stitch_records(spark, path), DIALECTS["backtick"], schema, names)
+    rows = read_bulk(spark, path, "opinions", columns=["id", "plain_text", "cluster_id"])
     bad = F.col(CORRUPT).isNotNull()
     return rows.agg(F.count_if(~bad).alias("good_rows"), F.count_if(bad).alias("bad_rows"))
 

@@ -18,9 +18,6 @@ def event_stream(spark, folder):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
 
 
-HEADER = ["id", "docket_id", "date_filed", "case_name"]
-
-
 def _clusters(spark, folder, name="case_name"):
     pending = F.col("o_orderstatus") == "P"
     return table(spark, folder, "orders").select(
@@ -35,10 +32,10 @@ def _ingested(spark, folder):
     """Two runs over a folder that got more files in between; returns the root."""
     inbox, root = scratch_path(spark, "inbox"), scratch_path(spark, "lake")
     write_dump(_clusters(spark, folder, "first"), f"{inbox}/a", "bzip2")
-    S.ingest(spark, f"{inbox}/*", "opinion_clusters", root, HEADER)
+    S.ingest(spark, f"{inbox}/*", "opinion_clusters", root)
     S.compact(spark, root, "opinion_clusters")
     write_dump(_clusters(spark, folder, "second").where("docket_id < '5'"), f"{inbox}/b")
-    S.ingest(spark, f"{inbox}/*", "opinion_clusters", root, HEADER)
+    S.ingest(spark, f"{inbox}/*", "opinion_clusters", root)
     return root
 
 
@@ -108,14 +105,14 @@ def streaming_parse(spark, folder):
     write_dump(_clusters(spark, folder), inbox)
 
     def split(batch, batch_id):
-        typed = project(batch, "opinion_clusters")
+        typed = project(S.batch_records(batch, "opinion_clusters"), "opinion_clusters")
         good(typed).select("id", "docket_id", F.lit(None).cast("string").alias("error")).write.mode("overwrite").parquet(
             f"{out}/good/batch_id={batch_id}"
         )
         bad = rejected(typed).select("id", "docket_id", F.get("errors", F.lit(0)).alias("error"))
         bad.write.mode("overwrite").parquet(f"{out}/bad/batch_id={batch_id}")
 
-    stream = S.stream_bulk(spark, inbox, "opinion_clusters", HEADER)
+    stream = S.stream_bulk(spark, inbox)
     run = (
         stream.writeStream.foreachBatch(split)
         .option("checkpointLocation", scratch_path(spark, "checkpoint"))

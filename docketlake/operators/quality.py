@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docketlake.functions.text import present
 from docketlake.schemas import entity
-from docketlake.sources.bulk import read_header
+from docketlake.sources.bulk import file_headers, read_header
 
 # Messages and limits of the checks.
 NO_FILES = "Dataset must contain at least one data file"
@@ -34,6 +34,17 @@ def check_header(spark: SparkSession, path: str, data_type: str, quote: str = "`
     return row.transform(compare_headers)
 
 
+def check_headers(spark: SparkSession, path: str | list[str], data_type: str, quote: str = "`") -> DataFrame:
+    """The same for every file below a path, with the file's name; only first lines are read.
+
+    ``read_bulk(..., required=...)`` is the guard that goes with it: records of files
+    whose header lacks a required name are rejected, those of the others are read.
+    """
+    expected = F.array(*[F.lit(n) for n in entity(data_type).columns])
+    files = file_headers(spark, path, quote).withColumns({"data_type": F.lit(data_type), "expected": expected})
+    return files.transform(compare_headers)
+
+
 def compare_headers(df: DataFrame) -> DataFrame:
     """Missing and extra names between ``expected`` and ``headers`` arrays."""
     return df.withColumns(

@@ -57,3 +57,13 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written once below the shared folder and read back, so that it is not computed again.
+
+    Unlike a checkpoint it is columnar: readers take the columns and rows they need.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

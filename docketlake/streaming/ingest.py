@@ -13,34 +13,42 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from docketlake.operators.entities import good, project, rejected
 from docketlake.operators.tables import latest_rows, merge, read_table, upsert
 from docketlake.schemas import entity
-from docketlake.sources.bulk import CORRUPT, DIALECTS, drop_blank_keys
+from docketlake.sources.bulk import DIALECTS, Dialect, drop_blank_keys, parse_records
+from docketlake.sources.records import cut_records, lines_of
 
 STATE_SCHEMA = "data_type string, batch_id bigint, processed bigint, imported bigint, errors bigint, last_id string"
 
 
-def stream_bulk(
-    spark: SparkSession,
-    folder: str,
-    data_type: str,
-    header: list[str] | None = None,
-    dialect: str = "backtick",
-    files_per_batch: int | None = None,
-) -> DataFrame:
-    """Raw rows of the dumps that arrive in a folder; files are read in parallel."""
-    names = header or entity(data_type).columns
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
-    reader = spark.readStream.schema(schema).options(
-        header="true", multiLine="true", columnNameOfCorruptRecord=CORRUPT, **DIALECTS[dialect].options()
-    )
+def stream_bulk(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
+    """Lines of the dumps that arrive in a folder, with their places; large plain and .bz2 files are split.
+
+    Records are put together per micro-batch, by ``batch_records``.
+    """
+    reader = spark.readStream.option("lineSep", "\n")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.csv(folder)
+    return lines_of(reader.text(folder))
+
+
+def batch_records(
+    batch: DataFrame,
+    data_type: str,
+    dialect: str | Dialect = "backtick",
+    columns: list[str] | None = None,
+    required: list[str] | None = None,
+) -> DataFrame:
+    """Raw rows of one micro-batch of ``stream_bulk``, with ``_file`` and ``_record``, their place.
+
+    A micro-batch holds whole files, so what ``read_bulk`` says about headers, splits and
+    stray quotes holds here as well.
+    """
+    d = DIALECTS[dialect] if isinstance(dialect, str) else dialect
+    return parse_records(cut_records(batch, d.quote), d, entity(data_type), columns, required)
 
 
 @dataclass(frozen=True)
@@ -69,14 +77,25 @@ class IngestPaths:
         return f"{self.root}/checkpoints/{data_type}"
 
 
-def batch_writer(paths: IngestPaths, data_type: str, dialect: str) -> Callable[[DataFrame, int], None]:
-    """Good rows as changes, rejected ones and the counts beside them."""
+def batch_writer(
+    paths: IngestPaths,
+    data_type: str,
+    dialect: str,
+    columns: list[str] | None = None,
+    required: list[str] | None = None,
+) -> Callable[[DataFrame, int], None]:
+    """Good rows as changes, rejected ones and the counts beside them.
+
+    Of several rows with a key the last one counts: files follow each other by name,
+    rows by their place in the file.
+    """
     e = entity(data_type)
     key = list(e.key)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        seq = F.monotonically_increasing_id()
-        typed = project(drop_blank_keys(batch, e), data_type, dialect).withColumn("_seq", seq)
+        raw = batch_records(batch, data_type, dialect, columns, required)
+        typed = project(drop_blank_keys(raw, e), data_type, dialect)
+        typed = typed.withColumn("_seq", F.struct("_file", "_record")).drop("_file", "_record")
         typed.persist()
         try:
             fresh = latest_rows(good(typed), key, [F.col("_seq").desc()]).drop("_seq")
@@ -104,15 +123,20 @@ def ingest(
     folder: str,
     data_type: str,
     root: str,
-    header: list[str] | None = None,
     dialect: str = "backtick",
     files_per_batch: int | None = None,
+    columns: list[str] | None = None,
+    required: list[str] | None = None,
 ) -> StreamingQuery:
-    """Ingest what is new in a folder, then stop; run it again to resume."""
+    """Ingest what is new in a folder, then stop; run it again to resume.
+
+    Files are read by their own headers, ``columns`` names the columns of files without
+    one, and files that lack a ``required`` column go to the rejects.
+    """
     paths = IngestPaths(root)
     query = (
-        stream_bulk(spark, folder, data_type, header, dialect, files_per_batch)
-        .writeStream.foreachBatch(batch_writer(paths, data_type, dialect))
+        stream_bulk(spark, folder, files_per_batch)
+        .writeStream.foreachBatch(batch_writer(paths, data_type, dialect, columns, required))
         .option("checkpointLocation", paths.checkpoint(data_type))
         .trigger(availableNow=True)
         .start()

@@ -98,7 +98,7 @@ HEADER = ["id", "court_id", "case_name", "docket_number"]
 def test_ingest_resumes_and_keeps_rejects(spark, tmp_path):
     inbox, root = tmp_path / "in", str(tmp_path / "lake")
     inbox.mkdir()
-    run = lambda: S.ingest(spark, str(inbox), "dockets", root, HEADER, files_per_batch=1)
+    run = lambda: S.ingest(spark, str(inbox), "dockets", root, files_per_batch=1)
     (inbox / "1.csv").write_text(dump([("1", "c", "old\nname", "d"), ("2", "c", "", "d")], HEADER))
     run()
     run()  # nothing new
@@ -122,7 +122,8 @@ def test_ingest_resumes_and_keeps_rejects(spark, tmp_path):
 
 def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     write = S.batch_writer(S.IngestPaths(str(tmp_path)), "dockets", "backtick")
-    batch = spark.createDataFrame([("1", "c", "n", "d"), ("2", "c", "", "d")], ", ".join(f"{h} string" for h in HEADER))
+    lines = dump([("1", "c", "n", "d"), ("2", "c", "", "d")], HEADER).splitlines()
+    batch = spark.createDataFrame([(v, "f", 0) for v in lines], "value string, file string, block bigint").coalesce(1)
     for _ in range(2):
         write(batch, 0)
     state = S.ingest_positions(S.ingest_state(spark, str(tmp_path))).head()
@@ -139,8 +140,49 @@ def test_stream_equals_batch(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.csv").write_text(dump(rows[:30], HEADER))
     (tmp_path / "in" / "b.csv").write_text(dump(rows[30:], HEADER))
-    stream = project(S.stream_bulk(spark, str(tmp_path / "in"), "dockets", HEADER), "dockets")
-    S.run_available(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    append = lambda df, _: project(S.batch_records(df, "dockets").drop("_file", "_record"), "dockets").write.mode("append").parquet(str(tmp_path / "out"))
+    stream = S.stream_bulk(spark, str(tmp_path / "in")).writeStream.foreachBatch(append)
+    stream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     batch = project(read_bulk(spark, str(tmp_path / "in"), "dockets"), "dockets")
     key = lambda df: sorted(str(tuple(r)) for r in df.collect())
     assert key(spark.read.schema(batch.schema).parquet(str(tmp_path / "out"))) == key(batch)
+
+
+def test_one_compressed_dump_is_streamed_by_many_tasks(spark, tmp_path):
+    import bz2
+    import random
+
+    rng = random.Random(3)
+    noise = lambda n: "".join(rng.choice("abcdefgh,\n \"") for _ in range(n))
+    rows = [(str(i), "c", f"{i}\n{noise(800)}", "d") for i in range(1, 2500)] + [("7", "c", "last", "d")]
+    (tmp_path / "in").mkdir()
+    turned = [(r[3], r[0], r[2], r[1]) for r in rows[:50]]
+    with bz2.open(tmp_path / "in" / "b.csv.bz2", "wt", newline="", compresslevel=1) as f:
+        f.write(dump(rows, HEADER))
+    (tmp_path / "in" / "a.csv").write_text(dump(turned, [HEADER[3], HEADER[0], HEADER[2], HEADER[1]]))
+    tasks = []
+    write = S.batch_writer(S.IngestPaths(str(tmp_path / "lake")), "dockets", "backtick")
+
+    def watched(batch, batch_id):
+        tasks.append(batch.where("file like '%.bz2'").select("block").distinct().count())
+        write(batch, batch_id)
+
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    try:
+        stream = S.stream_bulk(spark, str(tmp_path / "in")).writeStream.foreachBatch(watched)
+        stream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert tasks[0] > 2
+    got = {r.id: r.case_name for r in S.ingested(spark, str(tmp_path / "lake"), "dockets").collect()}
+    assert got == {int(r[0]): r[2] for r in rows}  # the last row of a key in the last file counts
+
+
+def test_files_without_required_columns_go_to_the_rejects(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text(dump([("1", "c", "n", "d")], HEADER))
+    (tmp_path / "in" / "b.csv").write_text(dump([("c", "lost")], [HEADER[1], HEADER[2]]))
+    S.ingest(spark, str(tmp_path / "in"), "dockets", str(tmp_path / "lake"), required=["id"])
+    assert [r.id for r in S.ingested(spark, str(tmp_path / "lake"), "dockets").collect()] == [1]
+    rejects = spark.read.parquet(S.IngestPaths(str(tmp_path / "lake")).rejects("dockets")).collect()
+    assert [r.errors for r in rejects] == [["Malformed record"]]

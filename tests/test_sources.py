@@ -91,16 +91,66 @@ def test_carriage_returns_header_only_and_short_rows(spark, tmp_path):
     assert {r.errors[0] for r in short.collect()} == {"Malformed record"}
 
 
-def test_stray_quotes_fall_back_to_separators(spark, tmp_path):
-    rows = nasty_rows(3)[:0] + [(str(i), "020lead", f"text {i}", "s", "1") for i in range(1, 200)]
-    text = dump(rows, OPINION_HEADER).replace("`text 3`", "`te`xt 3`")
-    (tmp_path / "bad.csv").write_text(text)
-    plain = project(read_bulk(spark, str(tmp_path / "bad.csv"), "opinions"), "opinions")
-    assert good(plain).count() < 150
-    again = project(read_bulk(spark, str(tmp_path / "bad.csv"), "opinions", fallback_share=0.01), "opinions")
-    assert good(again).count() >= 197
+@pytest.mark.parametrize("kind", ["plain", "bz2"])
+def test_a_stray_quote_costs_one_record(spark, tmp_path, small_splits, kind):
+    rows = [(str(i), "020lead", f"text {i} " + "a\nb, `c`\n" * (i % 40), "s", None) for i in range(1, 1200)]
+    rows = [(*r[:4], "1") for r in rows]
+    text = dump(rows, OPINION_HEADER)
+    for i in (3, 500, 501, 900):
+        text = text.replace(f"`text {i} ", f"`te`xt {i} ")
+    opener, path = {"plain": (open, "bad.csv"), "bz2": (bz2.open, "bad.csv.bz2")}[kind]
+    with opener(tmp_path / path, "wt", newline="") as f:
+        f.write(text)
+    raw = project(read_bulk(spark, str(tmp_path / path), "opinions"), "opinions")
+    got = {r.id: r.plain_text for r in good(raw).where("id not in (3, 500, 501, 900)").collect()}
+    assert got == {int(r[0]): r[2] for r in rows if r[0] not in ("3", "500", "501", "900")}
     # Nothing is lost silently: what is not good is rejected.
-    assert good(again).count() + rejected(again).count() == 199
+    assert good(raw).count() + rejected(raw).count() >= len(rows)
+
+
+def test_splits_without_a_certain_start(spark, tmp_path):
+    """Values that never tell where a record starts: blank first values, no quotes at all, line feeds only."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        blank = "id,a,b\n" + "".join(f"``,`\n`,`\n{'x' * (i % 90)}\n`\n" for i in range(300))
+        plain = "id,a,b\n" + "".join(f"{i},{'y' * (i % 70)},\n" for i in range(300))
+        (tmp_path / "blank.csv").write_text(blank)
+        (tmp_path / "plain.csv").write_text(plain)
+        got = read_bulk(spark, str(tmp_path / "blank.csv"), "dockets")
+        assert sorted(r.b for r in got.collect()) == sorted(f"\n{'x' * (i % 90)}\n" for i in range(300))
+        got = read_bulk(spark, str(tmp_path / "plain.csv"), "dockets")
+        assert {(r.id, r.a) for r in got.collect()} == {(str(i), "y" * (i % 70) or None) for i in range(300)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("method", ["parity", "multiline", "separator"])
+def test_files_are_read_by_their_own_headers(spark, tmp_path, method):
+    (tmp_path / "1.csv").write_text("id,full_name,short_name\n`1`,`F\n1`,`S1`\n")
+    (tmp_path / "2.csv").write_text("short_name,id,full_name\n`S2`,`2`,`F2`\n")
+    (tmp_path / "3.csv").write_text("`id`,`position`\n`3`,`7.5`\n")
+    (tmp_path / "4.csv").write_text("id,full_name,short_name\n")
+    (tmp_path / "6.csv").write_text("full_name\n`lost`\n")
+    raw = read_bulk(spark, str(tmp_path), "courts", method=method, required=["id"])
+    rows = {(r.id, r.full_name, r.short_name, r.position) for r in raw.where("_corrupt is null").collect()}
+    assert rows == {("1", "F\n1", "S1", None), ("2", "F2", "S2", None), ("3", None, None, "7.5")}
+    assert ["lost" in r._corrupt for r in raw.where("_corrupt is not null").collect()] == [True]
+    typed = project(raw, "courts")
+    assert good(typed).count() + rejected(typed).count() == 4
+
+
+def test_headers_of_files_are_checked(spark, tmp_path):
+    from docketlake.operators.quality import check_headers
+
+    names = [*entity("courts").columns]
+    (tmp_path / "1.csv").write_text(",".join(reversed(names)) + "\n`x`\n")
+    with bz2.open(tmp_path / "2.csv.bz2", "wt") as f:
+        f.write("id,more\n`1`,`2`\n")
+    (tmp_path / "3.csv").write_text("")
+    rows = {r.file.rsplit("/", 1)[1]: r for r in check_headers(spark, str(tmp_path), "courts").collect()}
+    assert rows["1.csv"].valid and rows["1.csv"].missing_fields == []
+    assert not rows["2.csv.bz2"].valid and rows["2.csv.bz2"].extra_fields == ["more"]
+    assert rows["2.csv.bz2"].missing_fields == sorted(set(names) - {"id"})
 
 
 def test_records_over_many_splits_stay_whole(spark, tmp_path, small_splits):
@@ -111,19 +161,12 @@ def test_records_over_many_splits_stay_whole(spark, tmp_path, small_splits):
     assert stitch_records(spark, str(tmp_path / "run.csv")).agg(F.max(F.length("value"))).head()[0] > 80_000
 
 
-def test_a_run_behind_a_stray_quote_can_be_read_by_separators(spark, tmp_path, small_splits):
-    rows = [(str(i), "020lead", f"text {i} " + "x" * 100, "s", "1") for i in range(1, 3000)]
-    (tmp_path / "run.csv").write_text(dump(rows, OPINION_HEADER).replace("`text 3 ", "`te`xt 3 "))
-    again = project(read_bulk(spark, str(tmp_path / "run.csv"), "opinions", fallback_share=0.01), "opinions")
-    assert good(again).count() >= 2997
-
-
-def test_gzip_files_use_the_multi_line_reader(spark, tmp_path):
+def test_gzip_among_plain_files(spark, tmp_path):
     with gzip.open(tmp_path / "c.csv.gz", "wt") as f:
         f.write("id,full_name\n`a`,`A\nB`\n")
-    raw = read_bulk(spark, str(tmp_path / "c.csv.gz"), "courts")
-    assert raw.head().full_name == "A\nB"
-    assert "Window" not in raw._jdf.queryExecution().executedPlan().toString()
+    (tmp_path / "d.csv").write_text("full_name,id\n`C\nD`,`c`\n")
+    rows = read_bulk(spark, str(tmp_path), "courts").select("id", "full_name").collect()
+    assert sorted(map(tuple, rows)) == [("a", "A\nB"), ("c", "C\nD")]
 
 
 def test_limit_unknown_type_and_header(spark, tmp_path):
