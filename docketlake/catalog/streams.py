@@ -66,10 +66,9 @@ def ingest_state(spark, folder):
     """SELECT count(*) AS processed, count(*) FILTER (WHERE event_type <> 'error') AS success, count(*) FILTER (WHERE event_type = 'error') AS failed FROM events""",
 )
 def live_counters(spark, folder):
-    watched = S.observe_outcomes(event_stream(spark, folder), F.col("event_type") != "error")
-    run = S.run_available(watched, scratch_path(spark, "events"), scratch_path(spark, "checkpoint"))
-    metrics = S.observed_metrics(spark, run)
-    return metrics.agg(*[F.sum(c).alias(c) for c in ("processed", "success", "failed")])
+    sink, counted = scratch_path(spark, "events"), scratch_path(spark, "counters")
+    S.run_counted(event_stream(spark, folder), F.col("event_type") != "error", sink, counted, scratch_path(spark, "checkpoint"))
+    return S.counters(spark, counted).agg(*[F.sum(c).alias(c) for c in ("processed", "success", "failed")])
 
 
 @query(
@@ -83,14 +82,13 @@ def throughput(spark, folder):
 
 @query(
     "l4_throughput_stream",
-    """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS records FROM events
-       GROUP BY ALL HAVING date_trunc('hour', any_value(ts)) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)""",
+    """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS records FROM events GROUP BY ALL""",
 )
 def throughput_stream(spark, folder):
-    """Windows that the watermark has closed by the end of the stream."""
+    """All windows, closed or not, from the changes that the micro-batches wrote."""
     sink = scratch_path(spark, "throughput")
-    S.run_available(S.throughput(event_stream(spark, folder), "ts", "event_type"), sink, scratch_path(spark, "checkpoint"))
-    return spark.read.parquet(sink).select(
+    S.run_keyed(S.throughput(event_stream(spark, folder), "ts", "event_type"), sink, scratch_path(spark, "checkpoint"))
+    return S.read_keyed(spark, sink, ["window_start", "event_type"]).select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "records"
     )
 

@@ -27,8 +27,8 @@ def average_speed(spark, folder):
     f"WITH {SPEEDS} SELECT data_type, processed, round(avg_speed, 6) AS avg_speed FROM progress",
 )
 def average_speed_segmented(spark, folder):
-    """The same windows with every type cut into time segments."""
-    rows = P.average_speed(import_log(spark, folder), rows_per_segment=100)
+    """The same windows with every type spread over many ranges."""
+    rows = P.average_speed(import_log(spark, folder), rows_per_range=100)
     return rows.select("data_type", "processed", F.round("avg_speed", 6).alias("avg_speed"))
 
 

@@ -10,50 +10,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketlake.functions.text import micros
-from docketlake.operators.segments import HALO, ROWS_PER_SEGMENT, SEGMENT, Segments, cut_into_segments, with_halo
+from docketlake.operators.ranges import CARRIED, RANGE, ROWS_PER_RANGE, Ranges, into_ranges, with_carried
 
 SAMPLES = 20  # fixed value: how many speeds enter the average
 
 
-def _instant(log: DataFrame, rows_per_segment: int, tie: list[str]) -> Segments:
+def _instant(log: DataFrame, rows_per_range: int, tie: list[str]) -> Ranges:
     """Speed since the previous update of the type; NULL where no time passed."""
     timed = log.withColumn("_us", micros(F.col("ts")))
-    segments = cut_into_segments(timed, "data_type", "_us", rows_per_segment)
-    order = ["_us", *tie]
-    w = Window.partitionBy(*segments.partition).orderBy(*order)
-    seconds = (F.col("_us") - F.lag("_us").over(w)) / 1e6
-    done = F.col("processed") - F.lag("processed").over(w)
-    speeds = (
-        with_halo(segments, order, 1)
-        .withColumn("speed", F.when(seconds > 0, done / seconds))
-        .where(~F.col(HALO))
-        .drop(HALO)
-    )
-    return Segments(speeds, segments.key, segments.bounds)
+    ranges = into_ranges(timed, ["data_type"], ["_us", *tie], rows_per_range)
+    seconds = (F.col("_us") - F.lag("_us").over(ranges.window)) / 1e6
+    done = F.col("processed") - F.lag("processed").over(ranges.window)
+    speeds = with_carried(ranges, 1).withColumn("speed", F.when(seconds > 0, done / seconds))
+    return ranges.holding(speeds.where(~F.col(CARRIED)).drop(CARRIED))
 
 
-def instant_speed(log: DataFrame, tie: list[str] | None = None, rows_per_segment: int = ROWS_PER_SEGMENT) -> DataFrame:
+def instant_speed(log: DataFrame, tie: list[str] | None = None, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Adds ``speed`` in records per second; ``tie`` orders updates of equal time."""
-    return _instant(log, rows_per_segment, tie or ["processed"]).rows.drop("_us", SEGMENT)
+    return _instant(log, rows_per_range, tie or ["processed"]).rows.drop("_us", RANGE)
 
 
-def average_speed(log: DataFrame, tie: list[str] | None = None, rows_per_segment: int = ROWS_PER_SEGMENT) -> DataFrame:
+def average_speed(log: DataFrame, tie: list[str] | None = None, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Adds ``avg_speed``, the last 20 speeds weighted 1..n, newest most; 0 without any."""
-    tie = tie or ["processed"]
-    speeds = _instant(log, rows_per_segment, tie)
-    order = ["_us", *tie]
-    rows = with_halo(speeds, order, SAMPLES - 1, F.col("speed").isNotNull())
-    running = Window.partitionBy(*speeds.partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    speeds = _instant(log, rows_per_range, tie or ["processed"])
+    # A whole window of samples: an update without a speed of its own has none of them in its range.
+    rows = with_carried(speeds, SAMPLES, F.col("speed").isNotNull())
+    running = speeds.window.rowsBetween(Window.unboundedPreceding, 0)
     # Updates without a speed share the number of the sample before them.
     rows = rows.withColumn("_sample", F.count("speed").over(running))
-    last = Window.partitionBy(*speeds.partition).orderBy("_sample").rangeBetween(1 - SAMPLES, 0)
+    last = Window.partitionBy(RANGE, *speeds.key).orderBy("_sample").rangeBetween(1 - SAMPLES, 0)
     rows = rows.withColumn("_speeds", F.collect_list("speed").over(last))
     n = F.size("_speeds")
     weighted = F.aggregate(
         F.transform("_speeds", lambda v, i: v * (i + 1)), F.lit(0.0), lambda total, v: total + v
     )
     average = F.when(n > 0, weighted / (n * (n + 1) / 2)).otherwise(F.lit(0.0))
-    return rows.where(~F.col(HALO)).withColumn("avg_speed", average).drop("_us", "_sample", "_speeds", SEGMENT, HALO)
+    return rows.where(~F.col(CARRIED)).withColumn("avg_speed", average).drop("_us", "_sample", "_speeds", RANGE, CARRIED)
 
 
 def eta_seconds(estimate: Column, processed: Column, speed: Column) -> Column:
@@ -75,9 +67,9 @@ def latest_state(log: DataFrame, tie: list[str] | None = None) -> DataFrame:
     return log.groupBy("data_type").agg(F.max_by(F.struct("*"), order).alias("s")).select("s.*")
 
 
-def overall_progress(log: DataFrame, tie: list[str] | None = None, rows_per_segment: int = ROWS_PER_SEGMENT) -> DataFrame:
+def overall_progress(log: DataFrame, tie: list[str] | None = None, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """One row over all types: totals, percent of the estimates, speed and time left."""
-    state = latest_state(average_speed(log, tie, rows_per_segment), tie).transform(with_eta)
+    state = latest_state(average_speed(log, tie, rows_per_range), tie).transform(with_eta)
     active = F.col("status") == "processing"
     estimated = F.coalesce(F.sum("estimated_total"), F.lit(0))
     return state.agg(

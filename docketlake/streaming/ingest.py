@@ -11,9 +11,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from docketlake.operators.entities import good, project, rejected
 from docketlake.operators.tables import latest_rows, merge, read_table, upsert
@@ -203,21 +203,30 @@ def ingest_positions(state: DataFrame) -> DataFrame:
     )
 
 
-def observe_outcomes(rows: DataFrame, ok: Column, name: str = "ingest") -> DataFrame:
-    """Attach counters of good and failed rows to a batch or stream."""
-    return rows.observe(
-        name, F.count(F.lit(1)).alias("processed"), F.count_if(ok).alias("success"), F.count_if(~ok).alias("failed")
-    )
+COUNTERS = "batch_id bigint, processed bigint, success bigint, failed bigint"
+
+
+def run_counted(stream: DataFrame, ok: Column, sink: str, counted: str, checkpoint: str) -> StreamingQuery:
+    """Write a stream's rows, and beside them a row of counters per micro-batch, until nothing is left to read.
+
+    Counters are taken while the rows are written.  A repeated batch replaces its rows
+    and its counters, so that their sum is right however long the stream runs.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        seen = Observation()
+        counts = [F.count(F.lit(1)).alias("processed"), F.count_if(ok).alias("success"), F.count_if(~ok).alias("failed")]
+        batch.observe(seen, *counts).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        row = [(batch_id, seen.get["processed"], seen.get["success"], seen.get["failed"])]
+        numbers = batch.sparkSession.createDataFrame(row, COUNTERS).coalesce(1)
+        numbers.write.mode("overwrite").parquet(f"{counted}/batch={batch_id}")
 
+    return _run(stream.writeStream.foreachBatch(write), checkpoint)
 
-def observed_metrics(spark: SparkSession, query: StreamingQuery, name: str = "ingest") -> DataFrame:
-    """The counters per micro-batch, as far as the query remembers its progress."""
-    rows = []
-    for p in query.recentProgress:
-        m = (p.observedMetrics or {}).get(name)
-        if m is not None:
-            rows.append((p.batchId, m["processed"], m["success"], m["failed"]))
-    return spark.createDataFrame(rows, "batch_id bigint, processed bigint, success bigint, failed bigint")
+
+def counters(spark: SparkSession, counted: str) -> DataFrame:
+    """Counters of all micro-batches."""
+    return spark.read.schema(COUNTERS).option("recursiveFileLookup", "true").parquet(counted)
 
 
 def throughput(rows: DataFrame, ts: str, key: str, width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
@@ -232,15 +241,30 @@ def throughput(rows: DataFrame, ts: str, key: str, width: str = "1 hour", delay:
     )
 
 
-def run_available(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Run a stream over what is there into a Parquet folder, then stop."""
-    query = (
-        stream.writeStream.outputMode(mode)
-        .format("parquet")
-        .option("path", sink)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+def _run(writer: DataStreamWriter, checkpoint: str) -> StreamingQuery:
+    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def run_available(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Run a stream over what is there into a Parquet folder, then stop."""
+    return _run(stream.writeStream.outputMode(mode).format("parquet").option("path", sink), checkpoint)
+
+
+def run_keyed(stream: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+    """Run an aggregation over what is there, into a folder of changes that ``read_keyed`` reads.
+
+    Every micro-batch writes the groups it changed, also those whose window is still
+    open, so nothing waits for a watermark to pass.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+
+    return _run(stream.writeStream.outputMode("update").foreachBatch(write), checkpoint)
+
+
+def read_keyed(spark: SparkSession, sink: str, key: list[str]) -> DataFrame:
+    """The newest state of every group."""
+    return latest_rows(spark.read.parquet(sink), key, [F.col("batch_id").desc()]).drop("batch_id")

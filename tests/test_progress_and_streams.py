@@ -2,10 +2,11 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docketlake.operators import progress as P
-from docketlake.operators.segments import cut_into_segments
+from docketlake.operators.ranges import RANGE, into_ranges, with_carried
 from docketlake.operators.stats import estimated_records, import_totals, indexed_fields, volume
 from docketlake.operators.tables import read_table
 from docketlake.streaming import ingest as S
@@ -46,12 +47,12 @@ def plain_speeds(rows):
     return out
 
 
-@pytest.mark.parametrize("rows_per_segment", [10**9, 60, 7])
-def test_speeds_do_not_depend_on_segments(spark, rows_per_segment):
+@pytest.mark.parametrize("rows_per_range", [10**9, 60, 7])
+def test_speeds_do_not_depend_on_ranges(spark, rows_per_range):
     rows = make_log(5)
     log = spark.createDataFrame(rows, LOG).repartition(5)
     want = plain_speeds(rows)
-    got = P.average_speed(log, rows_per_segment=rows_per_segment).collect()
+    got = P.average_speed(log, rows_per_range=rows_per_range).collect()
     assert len(got) == len(rows)
     for r in got:
         speed, average = want[r.data_type, r.processed]
@@ -59,13 +60,34 @@ def test_speeds_do_not_depend_on_segments(spark, rows_per_segment):
         assert r.avg_speed == pytest.approx(average)
 
 
-def test_hot_keys_are_cut(spark):
-    log = spark.createDataFrame(make_log(1), LOG).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    cut = cut_into_segments(log, "data_type", "us", 50)
-    sizes = cut.rows.groupBy("data_type", "_segment").count().collect()
-    hot = [r["count"] for r in sizes if r.data_type == "dockets"]
-    assert len(hot) > 4 and max(hot) < 150
-    assert [r._segment for r in sizes if r.data_type == "people"] == [0]
+def test_rows_without_a_key_and_thousands_of_keys_span_ranges(spark):
+    """A third of the rows has no key, a third one key, and 5,000 keys share the rest; no range is larger than asked."""
+    n = 60_000
+    i = F.col("id")
+    key = F.when(i % 3 == 1, "hot").when(i % 3 == 2, F.concat(F.lit("k"), (i % 15_000).cast("string")))
+    rows = spark.range(n).select(key.alias("key"), i.alias("at"), (i * 7 % 11).alias("v")).repartition(6)
+    ranges = into_ranges(rows, ["key"], ["at"], 3000)
+    sizes = [r["count"] for r in ranges.rows.groupBy(RANGE).count().collect()]
+    assert len(sizes) >= 18 and max(sizes) < 6000
+    keys = ranges.rows.groupBy("key").agg(F.countDistinct(RANGE).alias("n")).where("n > 3").collect()
+    assert {r.key for r in keys} == {None, "hot"}
+    total = lambda w: F.sum("v").over(w.rowsBetween(-40, 0)).alias("total")
+    got = with_carried(ranges, 40).select("key", "at", total(ranges.window), "_carried").where("not _carried").drop("_carried")
+    want = rows.select("key", "at", total(Window.partitionBy("key").orderBy("at")))
+    assert got.exceptAll(want).count() == 0 and got.count() == n
+
+
+def test_ranges_smaller_than_what_is_carried(spark):
+    rows = spark.createDataFrame([(k, i, i) for k in ("a", None, "b") for i in range(9)], "key string, at int, v int")
+    ranges = into_ranges(rows, ["key"], ["at"], 2)
+    carried = with_carried(ranges, 5, F.col("v") % 2 == 0).where("_carried")
+    assert {r.v % 2 for r in carried.collect()} == {0}
+    w = ranges.window.rowsBetween(-5, 0)
+    got = with_carried(ranges, 5).withColumn("s", F.sum("v").over(w)).where("not _carried").select("key", "at", "s")
+    want = rows.select("key", "at", F.sum("v").over(Window.partitionBy("key").orderBy("at").rowsBetween(-5, 0)).alias("s"))
+    assert got.exceptAll(want).count() == 0 and got.count() == 27
+    empty = into_ranges(rows.limit(0), ["key"], ["at"])
+    assert with_carried(empty, 3).count() == 0
 
 
 def test_eta_and_overall(spark):
@@ -186,3 +208,21 @@ def test_files_without_required_columns_go_to_the_rejects(spark, tmp_path):
     assert [r.id for r in S.ingested(spark, str(tmp_path / "lake"), "dockets").collect()] == [1]
     rejects = spark.read.parquet(S.IngestPaths(str(tmp_path / "lake")).rejects("dockets")).collect()
     assert [r.errors for r in rejects] == [["Malformed record"]]
+
+
+def test_all_windows_and_counters_of_a_stream_come_out(spark, tmp_path):
+    """Several micro-batches: open windows are there too, and counters of every batch."""
+    at = datetime(2024, 1, 1)
+    for k in range(4):
+        rows = [(at + timedelta(minutes=30 * k + i), "a" if i % 3 else "error") for i in range(60)]
+        spark.createDataFrame(rows, "ts timestamp_ntz, kind string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema("ts timestamp_ntz, kind string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    windows, counters = str(tmp_path / "windows"), str(tmp_path / "counters")
+    S.run_keyed(S.throughput(stream(), "ts", "kind"), windows, str(tmp_path / "cp1"))
+    got = S.read_keyed(spark, windows, ["window_start", "kind"])
+    want = S.throughput(spark.read.parquet(str(tmp_path / "in")), "ts", "kind")
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert got.count() == 6
+    S.run_counted(stream(), F.col("kind") != "error", str(tmp_path / "out"), counters, str(tmp_path / "cp2"))
+    assert [tuple(r) for r in S.counters(spark, counters).orderBy("batch_id").collect()] == [(k, 60, 40, 20) for k in range(4)]
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 240
