@@ -131,7 +131,35 @@ def find_by_field(spark, folder):
 
 @query("h4_index_lookup", f"WITH {CLUSTERS} SELECT id FROM clusters WHERE precedential_status = 'Errata'")
 def index_lookup(spark, folder):
-    return I.index_lookup(I.inverted_index(clusters(spark, folder), "id", INDEX_FIELDS), "precedential_status", "Errata")
+    path = scratch_path(spark, "index")
+    I.write_index(clusters(spark, folder), path, "id", INDEX_FIELDS)
+    return I.index_lookup(spark.read.parquet(path), "precedential_status", "Errata")
+
+
+@query(
+    "h4_index_after_changes",
+    f"""WITH {CLUSTERS}, now AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'Errata' WHEN id % 3 = 1 AND id % 7 = 0 THEN 'Published' ELSE precedential_status END AS status
+          FROM clusters UNION ALL SELECT -1, 'Errata')
+        SELECT 'Errata' AS status, id FROM now WHERE status = 'Errata' UNION ALL SELECT 'Published', id FROM now WHERE status = 'Published'""",
+)
+def index_after_changes(spark, folder):
+    """Lookups in an index that followed two batches of changes."""
+    index, changes = scratch_path(spark, "index"), scratch_path(spark, "changes")
+    rows = clusters(spark, folder).select("id", "case_name", "precedential_status")
+    I.write_index(rows, index, "id")
+    third = rows.where("id % 3 = 0").withColumn("precedential_status", F.lit("Errata"))
+    added = spark.createDataFrame([(-1, "new", "Published")], rows.schema)
+    third.unionByName(added).write.parquet(f"{changes}/batch_id=0")
+    I.update_index(spark, index, changes, "id")
+    later = rows.where("id % 7 = 0 AND id % 3 = 1").withColumn("precedential_status", F.lit("Published"))
+    again = added.withColumn("precedential_status", F.lit("Errata"))
+    later.unionByName(again).write.parquet(f"{changes}/batch_id=1")
+    I.update_index(spark, index, changes, "id")
+    found = [
+        I.current_lookup(spark, index, changes, "precedential_status", s).select(F.lit(s).alias("status"), "id")
+        for s in ("Errata", "Published")
+    ]
+    return found[0].unionByName(found[1])
 
 
 @query(
@@ -143,8 +171,8 @@ def rebuild_index(spark, folder):
 
     path = scratch_path(spark, "clusters")
     rows = clusters(spark, folder)
-    upsert(path, rows, ["id"])
-    upsert(path, rows.where("blocked").withColumn("precedential_status", F.lit("Published")), ["id"])
+    upsert(path, rows, ["id"], [F.col("date_filed")])
+    upsert(path, rows.where("blocked").withColumn("precedential_status", F.lit("Published")), ["id"], [F.col("date_filed")])
     index = I.inverted_index(read_table(spark, path), "id", ["precedential_status"])
     return index.groupBy("value").agg(F.sum("n_ids").alias("n_ids"))
 

@@ -21,7 +21,7 @@ def _orders(spark, folder):
 def upsert(spark, folder):
     path = scratch_path(spark, "orders")
     orders = _orders(spark, folder)
-    T.upsert(path, orders, ["o_orderkey"])
+    T.upsert(path, orders, ["o_orderkey"], [F.col("o_totalprice")])
     pending = orders.where("o_orderstatus = 'P'").withColumn("o_orderstatus", F.lit("done"))
     # Two updates per key: the one with the larger price is the later one.
     changes = pending.unionByName(pending.withColumn("o_totalprice", F.col("o_totalprice") + 1))
@@ -41,7 +41,7 @@ def citation_key(spark, folder):
 @query("b3_delete", ORDER_ROWS + " WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def delete(spark, folder):
     path = scratch_path(spark, "orders")
-    T.upsert(path, _orders(spark, folder), ["o_orderkey"])
+    T.upsert(path, _orders(spark, folder), ["o_orderkey"], [F.col("o_totalprice")])
     returned = table(spark, folder, "lineitem").where("l_returnflag = 'R'")
     return T.delete(path, returned.select(F.col("l_orderkey").alias("o_orderkey")))
 
@@ -112,6 +112,15 @@ def list_datasets(spark, folder):
     return T.list_datasets(spark, path)
 
 
+@query("b6_delete_payload", "SELECT doc_id, source AS dataset_id FROM documents WHERE source <> 'src3'")
+def delete_payload(spark, folder):
+    path = scratch_path(spark, "payloads")
+    docs = table(spark, folder, "documents").select("doc_id", F.col("source").alias("dataset_id"))
+    T.save_payload(docs, path)
+    T.delete_payload(spark, path, "src3")
+    return spark.read.schema(docs.schema).parquet(path)
+
+
 @query(
     "b7_save_records_batch",
     "SELECT record_id, count(*) AS n FROM (SELECT CAST(o_custkey AS VARCHAR) AS record_id FROM orders GROUP BY o_custkey) GROUP BY record_id",

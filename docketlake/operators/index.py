@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,6 +57,48 @@ def inverted_index(
     )
 
 
+def write_index(
+    df: DataFrame, path: str, id_column: str = "id", fields: list[str] | None = None, batch_id: int = -1
+) -> None:
+    """Store the index by field, sorted by value, so that a lookup reads one field's row groups around the value.
+
+    ``batch_id`` -1 is the index of a whole table, others are those of its changes.
+    """
+    index = inverted_index(df, id_column, fields).withColumn("batch_id", F.lit(batch_id))
+    order = ["field", "value", "id_block"]
+    placed = index.repartitionByRange(*order).sortWithinPartitions(*order)
+    writer = placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("batch_id", "field").parquet(path)
+
+
+def update_index(
+    spark: SparkSession, path: str, changes: str, id_column: str = "id", fields: list[str] | None = None
+) -> list[int]:
+    """Index the batches of a folder of changes (``batch_id=n``) that are not indexed yet, and return their numbers.
+
+    Only the changed records are read.  A batch that was indexed half-way is indexed again.
+    """
+    done = {r[0] for r in spark.read.parquet(path).select("batch_id").distinct().collect()}
+    there = {r[0] for r in spark.read.parquet(changes).select("batch_id").distinct().collect()}
+    new = sorted(there - done)
+    for number in new:
+        write_index(spark.read.parquet(f"{changes}/batch_id={number}"), path, id_column, fields, number)
+    return new
+
+
+def current_lookup(
+    spark: SparkSession, path: str, changes: str, field: str, value: str, id_column: str = "id"
+) -> DataFrame:
+    """Ids that have the value now: a posting counts unless a later batch changed its record."""
+    hit = (F.col("field") == field) & (F.col("value") == value)
+    hits = spark.read.parquet(path).where(hit).select("batch_id", F.explode("ids").alias("id"))
+    changed = spark.read.parquet(changes).select(F.col(id_column).alias("id"), F.col("batch_id").alias("changed"))
+    # Batches of changes only, and of those only the ids that were found.
+    last = changed.join(hits.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.max("changed").alias("changed"))
+    current = hits.join(last, "id", "left").where(F.col("changed").isNull() | (F.col("batch_id") == F.col("changed")))
+    return current.select("id").distinct()
+
+
 def index_sizes(df: DataFrame, id_column: str = "id", fields: list[str] | None = None) -> DataFrame:
     """Number of rows per field and value."""
     return postings(df, id_column, fields).groupBy("field", "value").agg(F.count(F.lit(1)).alias("n_ids"))

@@ -1,4 +1,4 @@
-"""Citation networks: nodes and edges within a number of hops, by breadth-first levels."""
+"""Citation networks: nodes and edges within a number of hops, by breadth-first levels of all seeds at once."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketlake.session import cut_lineage
+from docketlake.session import stored
 
 CITING, CITED = "citing_opinion_id", "cited_opinion_id"
 
@@ -21,31 +21,58 @@ class Network:
     visited: DataFrame
 
 
-def reachable(citations: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """Opinions within ``depth`` undirected hops of each seed, with the hop count.
+def numbered(seeds: DataFrame) -> DataFrame:
+    """``seed_id, word, bit``: each distinct seed's place in bitmaps of 64 bits."""
+    ids = seeds.select(F.col(seeds.columns[0]).cast("bigint").alias("seed_id")).where("seed_id is not null").distinct()
+    at = F.monotonically_increasing_id()
+    return stored(ids.select("seed_id", F.shiftright(at, 6).alias("word"), at.bitwiseAND(63).cast("int").alias("bit")), "seeds")
+
 
-    One join per hop.  Neighbours of level d lie on levels d-1, d and d+1, so a
-    new level is only checked against the two before it.  Each level is written
-    to the shared folder: the plan stays short and survives lost executors.
+def seed_masks(citations: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """Rows ``node, word, depth, mask``: the seeds of a word, as bits, that reach a node in so many undirected hops.
+
+    All seeds are searched at once.  A level has a row per node and word, not per node
+    and seed, so seeds with the same surroundings share the work: one join per hop with
+    the links, one union of bits per node reached.  Neighbours of level d lie on
+    levels d-1, d and d+1, so bits of a new level are only checked against the two
+    before it.  Links and levels are written to the shared folder: plans stay
+    short and survive lost executors.
     """
     ends = citations.where(F.col(CITING) != F.col(CITED)).select(CITING, CITED)
     both_ways = ends.select(F.col(CITING).alias("node"), F.col(CITED).alias("next")).unionByName(
         ends.select(F.col(CITED).alias("node"), F.col(CITING).alias("next"))
     )
-    ids = seeds.select(F.col(seeds.columns[0]).cast("bigint").alias("seed_id")).distinct()
-    frontier = ids.select("seed_id", F.col("seed_id").alias("node"), F.lit(0).alias("depth"))
-    levels, before = frontier, None
+    links = stored(both_ways.distinct(), "links") if depth > 0 else both_ways
+    bit = F.expr("shiftleft(1L, bit)")
+    frontier = seeds.groupBy(F.col("seed_id").alias("node"), "word").agg(F.bit_or(bit).alias("mask"))
+    levels = frontier.select("node", "word", F.lit(0).alias("depth"), "mask")
+    before: DataFrame | None = None
     for hop in range(1, depth + 1):
         known = frontier if before is None else frontier.unionByName(before)
-        found = frontier.join(both_ways, "node").select("seed_id", F.col("next").alias("node")).distinct()
-        level = found.join(known.select("seed_id", "node"), ["seed_id", "node"], "left_anti")
-        level = cut_lineage(level.withColumn("depth", F.lit(hop)))
+        found = frontier.join(links, "node").groupBy(F.col("next").alias("node"), "word").agg(F.bit_or("mask").alias("mask"))
+        seen = known.groupBy("node", "word").agg(F.bit_or("mask").alias("seen"))
+        fresh = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("bigint"))))
+        level = found.join(seen, ["node", "word"], "left").select("node", "word", fresh.alias("mask")).where("mask <> 0")
+        level = stored(level, "level")
         if level.isEmpty():
             break
-        levels, before, frontier = levels.unionByName(level), frontier, level
+        levels = levels.unionByName(level.withColumn("depth", F.lit(hop)))
+        before, frontier = frontier, level
     return levels
 
 
+def by_seed(masks: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The rows of ``masks`` once per seed in their bitmap, with ``seed_id`` for ``word`` and ``mask``."""
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("mask", i) == 1)
+    return masks.withColumn("bit", F.explode(bits)).join(seeds, ["word", "bit"]).drop("word", "bit", "mask")
+
+
+def reachable(citations: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """Opinions within ``depth`` undirected hops of each seed, with the hop count."""
+    places = numbered(seeds)
+    return by_seed(seed_masks(citations, places, depth), places).select("seed_id", "node", "depth")
+
+
 def citation_network(
     citations: DataFrame, seeds: DataFrame, depth: int = 1, opinions: DataFrame | None = None
 ) -> Network:
@@ -54,20 +81,24 @@ def citation_network(
     Opinions that are not in the table are walked through but not listed as
     nodes.  Edges are all citations that touch a visited opinion, once each.
     """
-    visited = reachable(citations, seeds, depth)
+    places = numbered(seeds)
+    masks = seed_masks(citations, places, depth)
+    visited = by_seed(masks, places).select("seed_id", "node", "depth")
     nodes = visited
     if opinions is not None:
-        nodes = visited.join(opinions.select(F.col("id").alias("node")), "node", "left_semi")
-    members = visited.select("seed_id", "node")
+        kept = masks.join(opinions.select(F.col("id").alias("node")), "node", "left_semi")
+        nodes = by_seed(kept, places).select("seed_id", "node", "depth")
+    members = masks.groupBy("node", "word").agg(F.bit_or("mask").alias("mask"))
     columns = [CITING, CITED, "depth", "quoted"]
     touching = [
-        citations.select(*columns).join(members, F.col(end) == F.col("node")).select("seed_id", *columns)
+        citations.select(*columns).join(members, F.col(end) == F.col("node")).select("word", "mask", *columns)
         for end in (CITING, CITED)
     ]
     edges = (
         touching[0]
         .unionByName(touching[1])
-        .groupBy("seed_id", CITING, CITED)
-        .agg(F.max("depth").alias("depth"), F.bool_or("quoted").alias("quoted"))
+        .groupBy("word", CITING, CITED)
+        .agg(F.bit_or("mask").alias("mask"), F.max("depth").alias("depth"), F.bool_or("quoted").alias("quoted"))
     )
+    edges = by_seed(edges, places).select("seed_id", *columns)
     return Network(nodes, edges, visited)

@@ -182,7 +182,7 @@ def compact(spark: SparkSession, root: str, data_type: str) -> DataFrame:
         paths.table(data_type), changes.where(F.col("batch_id") <= last), key, newest, drop=("batch_id",)
     )
     mark = spark.createDataFrame([(0, int(last))], "id int, upto bigint")
-    upsert(paths.folded(data_type), mark, ["id"])
+    upsert(paths.folded(data_type), mark, ["id"], [F.col("upto").desc()], buckets=1)
     return table
 
 

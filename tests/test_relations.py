@@ -112,26 +112,93 @@ def test_citations_of_opinion_show_self_citation_twice(spark):
     assert rows == [("incoming", 1, 1), ("incoming", 2, 1), ("outgoing", 1, 1), ("outgoing", 1, 2)]
 
 
-def test_upsert_delete_and_versions(spark, tmp_path):
+def files_of(path):
+    return {p.parent.name: {q.name for q in p.parent.glob("*.parquet")} for p in path.rglob("*.parquet")}
+
+
+def test_upsert_and_delete_write_the_buckets_they_touch(spark, tmp_path):
     path = str(tmp_path / "t")
     assert T.read_table(spark, path) is None
     df = lambda *rows: spark.createDataFrame(rows, "id long, v string, n int")
-    T.upsert(path, df((1, "a", 1), (2, "b", 1)), ["id"])
-    now = T.upsert(path, df((2, "x", 1), (2, "y", 2), (3, "c", 1)), ["id"], [F.col("n").desc()], drop=())
-    assert sorted((r.id, r.v) for r in now.collect()) == [(1, "a"), (2, "y"), (3, "c")]
+    T.upsert(path, df(*[(i, f"a{i}", 1) for i in range(200)]), ["id"], [F.col("n")])
+    before = files_of(tmp_path / "t")
+    assert len(before) == 16
+    now = T.upsert(path, df((2, "x", 1), (2, "y", 2)), ["id"], [F.col("n").desc()])
+    after = files_of(tmp_path / "t")
+    assert len([b for b in after if before[b] != after[b]]) == 1  # one key, one bucket
+    assert now.count() == 200 and [r.v for r in now.where("id = 2").collect()] == ["y"]
+    assert now.columns == ["id", "v", "n"]
+    more = T.upsert(path, spark.createDataFrame([(2, 3), (777, 4)], "id int, n int"), ["id"], [F.col("n")])
+    assert {r.id: (r.v, r.n) for r in more.where("id in (2, 3, 777)").collect()} == {2: (None, 3), 3: ("a3", 1), 777: (None, 4)}
+    before = files_of(tmp_path / "t")
+    left = T.delete(path, spark.createDataFrame([(1,), (5000,)], "id long"))
+    changed = [b for b, names in before.items() if files_of(tmp_path / "t").get(b) != names]
+    assert left.count() == 200 and left.where("id = 1").count() == 0 and 1 <= len(changed) <= 2
+    wider = T.upsert(path, df((3, "z", 9)).withColumn("w", F.lit(7)), ["id"], [F.col("n")])
+    assert {r.id: r.w for r in wider.where("id in (3, 4)").collect()} == {3: 7, 4: None}
+    with pytest.raises(ValueError, match="order"):
+        T.upsert(path, df((1, "a", 1)), ["id"], [])
+    with pytest.raises(ValueError, match="keyed by"):
+        T.upsert(path, df((1, "a", 1)), ["v"], [F.col("n")])
+
+
+def test_a_bucket_may_become_empty(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(i, i % 3, "v") for i in range(6)], "a int, b int, v string")
+    T.upsert(path, rows, ["a", "b"], [F.col("v")], buckets=64)
+    assert T.layout(spark, path) == (["a", "b"], 64)
+    left = T.delete(path, spark.createDataFrame([(0, 0), (4, 1)], "a int, b int"))
+    assert sorted(r.a for r in left.collect()) == [1, 2, 3, 5]
+    left = T.delete(path, spark.createDataFrame([(2,)], "b int"))  # not the whole key: all buckets
+    assert sorted(r.a for r in left.collect()) == [1, 3]
+    assert len(files_of(tmp_path / "t")) <= 2
+
+
+def test_versions_of_tables_without_a_key(spark, tmp_path):
+    path = str(tmp_path / "t")
+    T.write_table(spark.range(3), path)
+    now = T.write_table(spark.range(5), path)
     # A version without its success marker was never finished.
     now.write.parquet(f"{path}/v9")
     (tmp_path / "t" / "v9" / "_SUCCESS").unlink()
-    assert T.read_table(spark, path).count() == 3
-    left = T.delete(path, spark.createDataFrame([(1,), (77,)], "id long"))
-    assert sorted(r.id for r in left.collect()) == [2, 3]
+    assert T.read_table(spark, path).count() == 5
+    T.write_table(spark.range(1), path)
     assert "v10" in {p.name for p in (tmp_path / "t").iterdir()}
 
 
 def test_merge_accepts_new_columns(spark):
     old = spark.createDataFrame([(1, "a")], "id long, v string")
     new = spark.createDataFrame([(2, "b", 5)], "id long, v string, w int")
-    assert sorted((r.id, r.w) for r in T.merge(old, new, ["id"]).collect()) == [(1, None), (2, 5)]
+    assert sorted((r.id, r.w) for r in T.merge(old, new, ["id"], [F.col("w")]).collect()) == [(1, None), (2, 5)]
+
+
+def test_lookups_in_a_stored_index_reach_the_scan(spark, tmp_path):
+    path, changes = str(tmp_path / "index"), str(tmp_path / "changes")
+    rows = spark.createDataFrame([(i, f"v{i % 10}", None if i % 2 else "x") for i in range(500)], "id long, a string, b string")
+    I.write_index(rows, path)
+    found = I.index_lookup(spark.read.parquet(path), "a", "v3")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(value,v3)" in plan and "(field" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert sorted(r.id for r in found.collect()) == list(range(3, 500, 10))
+    spark.createDataFrame([(3, "v4", "x"), (13, "v3", "x"), (900, "v3", None)], rows.schema).write.parquet(f"{changes}/batch_id=0")
+    assert I.update_index(spark, path, changes) == [0]
+    spark.createDataFrame([(13, "v5", "x"), (4, "v3", "x")], rows.schema).write.parquet(f"{changes}/batch_id=1")
+    assert I.update_index(spark, path, changes) == [1] and I.update_index(spark, path, changes) == []
+    now = sorted(r.id for r in I.current_lookup(spark, path, changes, "a", "v3").collect())
+    assert now == sorted({*range(23, 500, 10), 4, 900})
+    assert 13 not in {r.id for r in I.current_lookup(spark, path, changes, "a", "v3").collect()}
+
+
+def test_seeds_share_bitmaps(spark):
+    """More seeds than a word has bits; a word of bits per node, whatever the number of seeds in it."""
+    import networks_plain as plain
+
+    rng = random.Random(4)
+    rows = [(rng.randint(1, 150), rng.randint(1, 150), 1, False) for _ in range(260)]
+    cites = spark.createDataFrame(rows, "citing_opinion_id long, cited_opinion_id long, depth int, quoted boolean")
+    seeds = spark.createDataFrame([(i,) for i in range(1, 140)] + [(5,), (None,)], "id long")
+    got = {(r.seed_id, r.node): r.depth for r in citation_network(cites, seeds, 3).visited.collect()}
+    assert got == plain.distances(rows, range(1, 140), 3)
 
 
 def test_json_text_round_trip(spark):
