@@ -92,57 +92,64 @@ class Aligner:
         further = f"(?:[{re.escape(joined)}][{_SPACE}]*+)?+" if joined else ""
         self.stretches = re.compile(f"[{_SPACE}]*+(?:[^{_SPACE}]++{further}){'*+' if joined else '?+'}").findall
         self.size = len(pieces)
+        self.left_sizes, self.right_sizes = [len(x) for x in self.left_bytes], [len(x) for x in self.right_bytes]
         # A line feed is a token of its own; behind it, a stretch is encoded without a space put before it.
         self.lead = len(self.right.encode("\n"))
-        self.known: dict[str, Aligned | None] = {}
-
-    def _groups(self, left: array, right: list[int]) -> Iterator[tuple[list[int], list[int]]]:
-        ours, theirs, left_end, right_end, j = [], [], 0, 0, 0
-        for token in left:
-            ours.append(token)
-            left_end += len(self.left_bytes[token])
-            while right_end < left_end:
-                theirs.append(right[j])
-                right_end += len(self.right_bytes[right[j]])
-                j += 1
-            if left_end == right_end:
-                yield ours, theirs
-                ours, theirs = [], []
+        self.known: dict[str, Aligned] = {}
 
     def _align(self, text: str, right: list[int]) -> Aligned | None:
-        data, left = text.encode(), array("I", self.left.plain(text))
-        if b"".join([self.left_bytes[i] for i in left]) != data or b"".join([self.right_bytes[i] for i in right]) != data:
+        left = array("I", self.left.plain(text)).tolist()
+        data, spelt = text.encode(), self.right_bytes
+        if b"".join([spelt[i] for i in right]) != data or sum([self.left_sizes[i] for i in left]) != len(data):
             return None
-        names, links, n_groups, n_links, size = [], {}, 0, 0, self.size
-        for ours, theirs in self._groups(left, right):
-            n_groups += 1
-            n_links += len(ours) * len(theirs)
-            if len(ours) == len(theirs) == 1:
-                a, b = ours[0], theirs[0]
-                names.append(f"{a}|{b}")
-                links[a * size + b] = links.get(a * size + b, 0) + 1
+        size = self.size
+        if len(left) == 1 or len(right) == 1:
+            groups = f"{','.join(map(str, left))}|{','.join(map(str, right))}"
+            pairs = [a * size + b for a in left for b in right]
+            links = dict.fromkeys(pairs, 1) if len(set(pairs)) == len(pairs) else Counter(pairs)
+            return Aligned(len(left), len(right), 1, len(pairs), groups, array("q", links), array("q", links.values()))
+        sizes, others = self.left_sizes, self.right_sizes
+        names, links, n_links, low, first, j, left_end, right_end = [], {}, 0, 0, 0, 0, 0, 0
+        for i, token in enumerate(left):
+            left_end += sizes[token]
+            while right_end < left_end:
+                right_end += others[right[j]]
+                j += 1
+            if left_end != right_end:
                 continue
-            names.append(f"{','.join(map(str, ours))}|{','.join(map(str, theirs))}")
-            others = Counter(theirs).items()
-            for a, m in Counter(ours).items():
-                for b, n in others:
-                    links[a * size + b] = links.get(a * size + b, 0) + m * n
+            if i == low and j == first + 1:
+                pair = token * size + right[first]
+                names.append(f"{token}|{right[first]}")
+                links[pair] = links.get(pair, 0) + 1
+                n_links += 1
+            else:
+                ours, theirs = left[low : i + 1], right[first:j]
+                names.append(f"{','.join(map(str, ours))}|{','.join(map(str, theirs))}")
+                counted = Counter(theirs).items()
+                for a, m in Counter(ours).items():
+                    for b, n in counted:
+                        links[a * size + b] = links.get(a * size + b, 0) + m * n
+                n_links += len(ours) * len(theirs)
+            low, first = i + 1, j
         groups = ";".join(names)
-        return Aligned(len(left), len(right), n_groups, n_links, groups, array("q", links), array("q", links.values()))
+        return Aligned(len(left), len(right), len(names), n_links, groups, array("q", links), array("q", links.values()))
 
     def text(self, text: str | None) -> tuple[list[str], dict[str, int], dict[str, Aligned]]:
         """The stretches of a text, how often each occurs, and their alignments; nothing for a text without tokens."""
         if not text:
             return [], {}, {}
-        parts = [part for part in self.stretches(" " + text) if part]
+        parts = self.stretches(" " + text)
+        parts.pop()  # the empty match at the end
         uses, known = Counter(parts), self.known
-        found = {part: known[part] for part in uses if part in known}
-        new = [part for part in uses if part not in found]
+        found = {part: known.get(part) for part in uses}
+        new = [part for part, one in found.items() if one is None]
         for part, ids in zip(new, self.right.encode(["\n" + part for part in new], num_threads=1), strict=True):
-            found[part] = self._align(part, ids[self.lead :])
+            found[part] = one = self._align(part, ids[self.lead :])
+            if one is None:
+                return [], {}, {}
             if len(known) < REMEMBERED and len(part) <= LONGEST:
-                known[part] = found[part]
-        return ([], {}, {}) if None in found.values() else (parts, uses, found)
+                known[part] = one
+        return parts, uses, found
 
 
 def aligner_of(left: str | None, right: str | None) -> Aligner:
@@ -179,8 +186,8 @@ _INDEX = pa.schema(
 
 
 def inverted(pairs: np.ndarray, places: np.ndarray, links: np.ndarray, documents: int) -> pa.RecordBatch:
-    """Planes of bitmaps per pair from links of a pair and place; entries of equal pair and place add up."""
-    order = np.lexsort((places, pairs))
+    """Planes of bitmaps per pair from links of a pair and place, in the order of places; equal entries add up."""
+    order = np.argsort(pairs, kind="stable")
     pairs, places, links = pairs[order], places[order], links[order]
     new = np.ones(len(pairs), bool)
     new[1:] = (pairs[1:] != pairs[:-1]) | (places[1:] != places[:-1])
@@ -235,13 +242,17 @@ def _tokens(left: str | None, right: str | None, most_documents: int, most_posti
             for at, text in enumerate(texts):
                 parts, uses, found = aligner.text(text)
                 digest = sha256(";".join([found[p].groups for p in parts]).encode()).hexdigest() if parts else ""
-                sums, before = [0, 0, 0, 0], len(pairs)
+                n_left = n_right = n_groups = n_links = 0
+                before = len(pairs)
                 for p, n in uses.items():
-                    one = found[p]
-                    sums = [x + n * y for x, y in zip(sums, one[:4], strict=True)]
-                    pairs.extend(one.pairs)
-                    links.extend(one.times if n == 1 else array("q", [n * m for m in one.times]))
-                rows.append((chunk, len(sizes), *sums, digest))
+                    ours, theirs, groups, linked, _, held, times = found[p]
+                    n_left += n * ours
+                    n_right += n * theirs
+                    n_groups += n * groups
+                    n_links += n * linked
+                    pairs.extend(held)
+                    links.extend(times if n == 1 else array("q", [n * m for m in times]))
+                rows.append((chunk, len(sizes), n_left, n_right, n_groups, n_links, digest))
                 sizes.append(len(pairs) - before)
                 if len(sizes) >= most_documents or len(pairs) >= most_postings or at == len(texts) - 1:
                     made = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _DOCUMENT, strict=True)]

@@ -90,7 +90,7 @@ def test_bitmaps_and_lists_of_a_chunk():
     sets = containers(places, np.array([1500, 1, 4000]), 4096)
     assert [len(x.as_py()) % 2 for x in sets] == [1, 0, 1]
     assert np.flatnonzero(np.unpackbits(np.frombuffer(sets[0].as_py(), np.uint8))).tolist() == list(range(0, 3000, 2))
-    made = inverted(np.array([9, 7, 9, 9]), np.array([1, 0, 1, 2]), np.array([2, 5, 1, 4]), 3).to_pylist()
+    made = inverted(np.array([7, 9, 9, 9]), np.array([0, 1, 1, 2]), np.array([5, 2, 1, 4]), 3).to_pylist()
     assert [(r["pair"], r["docs"], r["links"]) for r in made] == [(7, 1, 5), (9, 2, 7)]
     # Planes of 5 in document 0: bits 0 and 2; of 3 in document 1 and 4 in document 2: bits 0, 1 and 2.
     lists = [[np.frombuffer(p, "<u2").tolist() if len(p) % 2 == 0 else np.flatnonzero(np.unpackbits(np.frombuffer(p, np.uint8))).tolist() for p in r["planes"]] for r in made]
