@@ -92,15 +92,12 @@ def cluster_rows(spark, folder):
 @query(
     "c4_opinion_rows",
     """SELECT doc_id AS id, CASE WHEN lang = 'en' THEN '020lead' ELSE '999unknown' END AS type, md5(text) AS text_md5,
-         'Cluster ID is required' AS error
-       FROM documents WHERE doc_id <> 0 AND n_chars % 2 = 0
-       UNION ALL
-       SELECT doc_id, CASE WHEN lang = 'en' THEN '020lead' ELSE '999unknown' END, md5(text), NULL
-       FROM documents WHERE doc_id <> 0 AND n_chars % 2 = 1""",
+         CASE WHEN doc_id = 0 THEN 'Opinion ID is required' WHEN n_chars % 2 = 0 THEN 'Cluster ID is required' END AS error
+       FROM documents""",
 )
 def opinion_rows(spark, folder):
     lang = F.col("lang")
-    raw = table(spark, folder, "documents").where("doc_id <> 0").select(
+    raw = table(spark, folder, "documents").select(
         tick(text("doc_id")).alias("id"),
         F.when(lang == "en", "`020lead`").when(lang == "fr", "` `").when(lang == "de", "`7`").alias("type"),
         F.when(F.col("n_chars") % 2 == 0, "`zz`").otherwise("`12`").alias("cluster_id"),

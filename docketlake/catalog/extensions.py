@@ -30,7 +30,7 @@ def text_extractor(spark, folder):
 )
 def row_parser(spark, folder):
     """A further entity only needs its fields; parsing and validation come with it."""
-    ENTITIES["web_pages"] = Entity(
+    web_pages = Entity(
         "web_pages",
         (Field("id", "long", "Page ID is required"), Field("url", "string", "URL is required"), Field("even", "bool", default=False)),
         ("id",),
@@ -38,7 +38,7 @@ def row_parser(spark, folder):
     raw = table(spark, folder, "pages").select(
         text(F.col("page_id") + 1).alias("id"), "url", F.when(F.col("page_id") % 2 == 0, "t").alias("even")
     )
-    return good(project(raw, "web_pages")).select("id", "url", flag(F.col("even")).alias("even"))
+    return good(project(raw, web_pages)).select("id", "url", flag(F.col("even")).alias("even"))
 
 
 @query(

@@ -7,6 +7,7 @@ from docketlake.catalog.registry import CLUSTERS, MANIFEST, clusters, flag, mani
 from docketlake.operators import predicates as P
 from docketlake.operators.court_records import search_records
 from docketlake.operators.entities import valid_opinion_row
+from docketlake.operators.fuzzy import fuzzy_join
 from docketlake.operators.predicates import Filter, RecordQuery, apply_filters, full_text
 from docketlake.operators.quality import dataset_checks, files_with_status
 
@@ -99,6 +100,20 @@ def fuzzy(spark, folder):
     return rows.select("p_partkey", "p_name")
 
 
+@query(
+    "d13_fuzzy_join",
+    """SELECT c_custkey, p.name AS pattern FROM customer
+       JOIN (SELECT DISTINCT substr(c_name, 1, 9) || substr(c_name, 11) || 'x' AS name FROM customer WHERE c_nationkey = 3) p
+         ON levenshtein(lower(c_name), lower(p.name)) <= 2""",
+)
+def fuzzy_joined(spark, folder):
+    """Names against many patterns that each lack a character and have one too many."""
+    names = table(spark, folder, "customer").select("c_custkey", "c_name")
+    spoilt = F.concat(F.substring("c_name", 1, 9), F.expr("substring(c_name, 11)"), F.lit("x"))
+    patterns = table(spark, folder, "customer").where("c_nationkey = 3").select(spoilt.alias("pattern")).distinct()
+    return fuzzy_join(names, patterns, "c_name", "pattern").select("c_custkey", "pattern")
+
+
 @query(
     "d16_full_text",
     """SELECT doc_id, lang FROM documents WHERE lower(text) LIKE '%the%' AND lower(text) LIKE '%nd ti%'
@@ -121,17 +136,20 @@ def full_text_empty(spark, folder):
     "d17_dictionary_predicate",
     """SELECT event_id,
          CAST(props LIKE '%"k": 7%' AS INTEGER) AS starts, CAST(props = '{"k": 42}' AS INTEGER) AS same,
-         CAST(regexp_matches(props, ' [13579]*}') AS INTEGER) AS odd, 0 AS absent
+         CAST(regexp_matches(props, ' [13579]*}') AS INTEGER) AS odd, 1 AS word, 0 AS rejected, 0 AS absent
        FROM events""",
 )
 def dictionary_predicate(spark, folder):
     props = F.from_json("props", "map<string,string>")
     ask = lambda field, value, op: flag(RecordQuery(field, value, op).on_map(F.col("m")))
-    return table(spark, folder, "events").withColumn("m", props).select(
+    named = F.map_concat(props, F.create_map(F.lit("name"), F.lit("Müller")))
+    return table(spark, folder, "events").withColumn("m", named).select(
         "event_id",
         ask("k", "7", "starts_with").alias("starts"),
         ask("k", "42", "equals").alias("same"),
         ask("k", "^[13579]*$", "regex").alias("odd"),
+        ask("name", r"^\w+$", "regex").alias("word"),
+        ask("name", "[[]|(?a:x)", "regex").alias("rejected"),
         ask("missing", "7", "contains").alias("absent"),
     )
 

@@ -201,6 +201,8 @@ def labels(spark, folder):
     f"""WITH {COURTS}, {PEOPLE} SELECT 'courts' AS entity, id, full_name || ' ' || short_name || ' ' || jurisdiction || ' ' || citation_string AS search_text FROM courts
         UNION ALL SELECT 'people', CAST(id AS VARCHAR), name_first || CASE WHEN name_middle = '' THEN '' ELSE ' ' || name_middle END || ' ' || name_last || ' ' || dob_city FROM people
         UNION ALL SELECT 'opinions', CAST(doc_id AS VARCHAR), md5(CASE WHEN text = '' THEN '' ELSE text || ' ' END || source) FROM documents
+        UNION ALL SELECT 'dockets', CAST(c_custkey AS VARCHAR), c_name || ' D-' || CAST(c_custkey AS VARCHAR) || CASE WHEN c_nationkey = 0 THEN '' ELSE ' n' || CAST(c_nationkey AS VARCHAR) END FROM customer
+        UNION ALL SELECT 'opinion_clusters', CAST(o_orderkey AS VARCHAR), CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderpriority || ' ' END || CAST(o_custkey AS VARCHAR) FROM orders
         UNION ALL SELECT 'citations', CAST(l_orderkey AS VARCHAR) || '.' || CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR) || ' ' || CAST(l_suppkey AS VARCHAR) FROM lineitem""",
 )
 def search_texts(spark, folder):
@@ -211,6 +213,17 @@ def search_texts(spark, folder):
         F.col("l_partkey").alias("cited_opinion_id"),
         F.col("l_suppkey").alias("citing_opinion_id"),
     )
+    docket = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("key"),
+        F.col("c_name").alias("case_name"),
+        F.concat(F.lit("D-"), text("c_custkey")).alias("docket_number"),
+        F.when(F.col("c_nationkey") == 0, "").otherwise(F.concat(F.lit("n"), text("c_nationkey"))).alias("source"),
+    )
+    cluster = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("key"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("case_name"),
+        text("o_custkey").alias("judges"),
+    )
     of = lambda df, name, key, wrap=lambda c: c: df.select(
         F.lit(name).alias("entity"), text(key).alias("id"), wrap(X.search_text(name, df.columns)).alias("search_text")
     )
@@ -219,6 +232,8 @@ def search_texts(spark, folder):
         .unionByName(of(person, "people", "id"))
         .unionByName(of(docs, "opinions", "doc_id", md5))
         .unionByName(of(lines, "citations", "id"))
+        .unionByName(of(docket, "dockets", "key"))
+        .unionByName(of(cluster, "opinion_clusters", "key"))
     )
 
 

@@ -157,7 +157,7 @@ def _stray(spark, folder, compression):
     words = F.regexp_replace("text", r"[`\\\\\s]+", " ")
     stray = F.when(doc % 100 == 7, F.concat(F.lit("x`y"), words)).otherwise(words)
     line = F.concat(tick, text("doc_id"), F.lit("`,`020lead`,`"), stray, F.lit("`,`"), text("source"), F.lit("`,`1`"))
-    docs = table(spark, folder, "documents").where("doc_id <> 0")
+    docs = table(spark, folder, "documents")
     header = spark.createDataFrame([(-1, "id,type,plain_text,sha1,cluster_id")], "doc_id bigint, value string")
     rows = header.unionByName(docs.select("doc_id", line.alias("value"))).coalesce(1).sortWithinPartitions("doc_id")
     path = scratch_path(spark, "stray")
@@ -275,3 +275,18 @@ def manifest_of_tables(spark, folder):
     return file_manifest(spark, folder, "tables").select(
         F.element_at(F.split("path", "/"), -1).alias("file"), "size", "status", "data_type"
     )
+
+
+@query(
+    "a9_manifest_of_written_files",
+    """SELECT source AS dataset_id, lang, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS size, 'pending' AS status
+       FROM documents GROUP BY ALL""",
+)
+def manifest_of_written_files(spark, folder):
+    """Sizes of files written from all texts, a folder for each source and language."""
+    path = scratch_path(spark, "files")
+    docs = table(spark, folder, "documents").select("source", "lang", "text")
+    docs.write.partitionBy("source", "lang").text(path)
+    part = lambda name: F.regexp_extract("path", f"/{name}=([^/]*)/", 1)
+    files = file_manifest(spark, path, "texts").select(part("source").alias("dataset_id"), part("lang").alias("lang"), "size", "status")
+    return files.groupBy("dataset_id", "lang", "status").agg(F.sum("size").alias("size"))

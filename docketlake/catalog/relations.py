@@ -115,13 +115,12 @@ def lookup(spark, folder):
 
 @query(
     "e6_exists",
-    """SELECT k AS id, CAST(EXISTS (SELECT 1 FROM orders WHERE o_orderkey = k) AS INTEGER) AS found
-       FROM (VALUES (CAST(77 AS BIGINT)), (CAST(-5 AS BIGINT))) AS t(k)""",
+    """SELECT l_partkey AS id, CAST(l_partkey IN (SELECT o_orderkey FROM orders) AS INTEGER) AS found
+       FROM (SELECT DISTINCT l_partkey FROM lineitem)""",
 )
 def exists(spark, folder):
-    orders = table(spark, folder, "orders")
-    rows = [(k, int(J.exists(orders, k, "o_orderkey"))) for k in (77, -5)]
-    return spark.createDataFrame(rows, "id bigint, found int")
+    keys = table(spark, folder, "lineitem").select(F.col("l_partkey").alias("id")).distinct()
+    return J.exist(keys, table(spark, folder, "orders"), "o_orderkey").withColumn("found", flag(F.col("found")))
 
 
 @query(
@@ -216,6 +215,21 @@ def attach_case_data(spark, folder):
     )
 
 
+@query(
+    "e10_all_dockets_of_a_number",
+    f"""WITH {RECORDS} SELECT r.record_id, d.c_custkey + 1 AS docket, d.c_name AS case_name
+        FROM records r LEFT JOIN customer d ON r.case_number = 'N-' || CAST(d.c_custkey % 97 AS VARCHAR)""",
+)
+def all_dockets_of_a_number(spark, folder):
+    docket = table(spark, folder, "customer").select(
+        (F.col("c_custkey") + 1).alias("id"),
+        F.concat(F.lit("N-"), (F.col("c_custkey") % 97).cast("string")).alias("docket_number"),
+        F.col("c_name").alias("case_name"),
+    )
+    rows = J.attach_dockets(records(spark, folder), docket)
+    return rows.select("record_id", F.col("docket.id").alias("docket"), F.col("docket.case_name").alias("case_name"))
+
+
 @query(
     "e11_enhanced_text",
     f"""WITH {CASE_DATA} SELECT r.record_id, md5(r.search_text || ' ' || c.full_name || ' ' || c.jurisdiction || ' ' || c.citation_string ||

@@ -18,10 +18,14 @@ from docketlake.catalog.registry import (
     text,
     text_opinions,
 )
+from docketlake.functions.text import search_text
 from docketlake.operators.court_records import search_records
+from docketlake.operators.fuzzy import fuzzy_join
 from docketlake.operators.index import dockets_named
 from docketlake.operators.predicates import RecordQuery
+from docketlake.operators.text_index import search_index, write_text_index
 from docketlake.plans.search import Searcher, SearchQuery
+from docketlake.session import scratch_path
 
 
 def searcher(spark, folder):
@@ -133,6 +137,18 @@ def opinions_by_text(spark, folder):
     return searcher(spark, folder).opinions_by_text("tion", limit=100).select("id")
 
 
+@query(
+    "k6_opinions_by_text_indexed",
+    """SELECT doc_id + 1 AS id FROM documents
+       WHERE contains(lower(text || ' ' || source), 'tion') AND contains(lower(text || ' ' || source), 'r')""",
+)
+def opinions_by_text_indexed(spark, folder):
+    path = scratch_path(spark, "texts")
+    rows = text_opinions(spark, folder)
+    write_text_index(rows, path, search_text("opinions", rows.columns))
+    return search_index(spark, path, "TION r").select("id")
+
+
 @query("k7_person_by_name", f"WITH {PEOPLE} SELECT id FROM people WHERE contains(lower(concat_ws(' ', name_first, nullif(name_middle, ''), name_last, dob_city)), 'blue') AND contains(lower(concat_ws(' ', name_first, nullif(name_middle, ''), name_last, dob_city)), 'bolt')")
 def person_by_name(spark, folder):
     return searcher(spark, folder).person_by_name("Bolt BLUE").select("id")
@@ -143,6 +159,17 @@ def person_fuzzy(spark, folder):
     return searcher(spark, folder).person_by_name("Wigdet", fuzzy=True).select("id", "name_last")
 
 
+@query(
+    "k7_people_fuzzy_join",
+    f"""WITH {PEOPLE} SELECT id, name_last, wanted FROM people
+        JOIN (SELECT DISTINCT substr(name_first, 2) AS wanted FROM people) w ON levenshtein(lower(name_last), lower(wanted)) <= 2""",
+)
+def people_fuzzy_join(spark, folder):
+    rows = people(spark, folder)
+    wanted = rows.select(F.expr("substring(name_first, 2)").alias("wanted")).distinct()
+    return fuzzy_join(rows, wanted, "name_last", "wanted").select("id", "name_last", "wanted")
+
+
 @query("k8_docket_by_exact_name", f"WITH {DOCKETS} SELECT id, case_name FROM dockets WHERE case_name = 'Customer#000000042'")
 def docket_by_exact_name(spark, folder):
     return dockets_named(dockets(spark, folder), "Customer#000000042").select("id", "case_name")

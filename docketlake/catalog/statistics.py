@@ -49,16 +49,24 @@ def entity_counts(spark, folder):
 
 @query(
     "h2_storage_stats",
-    f"""WITH {COURTS}, {DOCKETS}, {MANIFEST}, typed AS (SELECT CASE WHEN status = 'parsed' THEN 'courts' ELSE 'dockets' END AS data_type, size FROM manifest)
-        SELECT 'courts' AS data_type, CAST(sum(size) AS BIGINT) AS bytes, (SELECT count(*) FROM courts) AS records,
-               'citation_string,full_name,id,jurisdiction,position,short_name' AS fields FROM typed WHERE data_type = 'courts'
-        UNION ALL SELECT 'dockets', CAST(sum(size) AS BIGINT), (SELECT count(*) FROM dockets), 'balance,case_name,court_id,docket_number,id,source'
-        FROM typed WHERE data_type = 'dockets'
-        UNION ALL SELECT '(all)', CAST(sum(size) AS BIGINT), NULL, NULL FROM typed""",
+    f"""WITH {COURTS}, {DOCKETS}, {CLUSTERS}, {OPINIONS},
+        sizes AS (
+          SELECT 'courts' AS data_type, CAST(sum(strlen(id) + 1) AS BIGINT) AS bytes, count(*) AS records,
+            'citation_string,full_name,id,jurisdiction,position,short_name' AS fields FROM courts
+          UNION ALL SELECT 'dockets', CAST(sum(strlen(CAST(id AS VARCHAR)) + 1) AS BIGINT), count(*),
+            'balance,case_name,court_id,docket_number,id,source' FROM dockets
+          UNION ALL SELECT 'opinion_clusters', CAST(sum(strlen(CAST(id AS VARCHAR)) + 1) AS BIGINT), count(*),
+            'amount,blocked,case_name,date_filed,docket_id,id,precedential_status' FROM clusters
+          UNION ALL SELECT 'opinions', CAST(sum(strlen(CAST(id AS VARCHAR)) + 1) AS BIGINT), count(*),
+            'cluster_id,id,pages,type' FROM opinions)
+        SELECT * FROM sizes UNION ALL SELECT '(all)', CAST(sum(bytes) AS BIGINT), NULL, NULL FROM sizes""",
 )
 def storage_stats(spark, folder):
-    files = manifest(spark, folder).withColumn("data_type", F.when(F.col("status") == "parsed", "courts").otherwise("dockets"))
-    tables = {n: df for n, df in _tables(spark, folder).items() if n in ("courts", "dockets")}
+    """Sizes of files written from all ids of the four entities."""
+    path, tables = scratch_path(spark, "stored"), _tables(spark, folder)
+    for name, rows in tables.items():
+        rows.select(F.col("id").cast("string").alias("value")).write.text(f"{path}/{name}")
+    files = file_manifest(spark, path, "tables").withColumn("data_type", F.element_at(F.split("path", "/"), -2))
     rows = S.storage_stats(tables, files)
     return rows.select("data_type", "bytes", "records", F.array_join(F.array_sort("fields"), ",").alias("fields"))
 

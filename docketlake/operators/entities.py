@@ -100,7 +100,7 @@ def required_errors(e: Entity, column: callable = F.col) -> list[Column]:
     return checks
 
 
-def project(raw: DataFrame, data_type: str, dialect: str | Dialect = "backtick") -> DataFrame:
+def project(raw: DataFrame, data_type: str | Entity, dialect: str | Dialect = "backtick") -> DataFrame:
     """All typed columns of an entity plus ``errors``; no row is dropped.
 
     Expected columns that the input lacks come out as NULL or their default;

@@ -51,6 +51,12 @@ def exists(table: DataFrame, value: object, key: str = "id") -> bool:
     return not lookup(table, value, key).isEmpty()
 
 
+def exist(keys: DataFrame, table: DataFrame, key: str = "id") -> DataFrame:
+    """``keys`` with ``found``: whether the table has a record with the value, for any number of them."""
+    there = table.select(F.col(key).alias(keys.columns[0])).distinct().withColumn("found", F.lit(True))
+    return keys.join(there, keys.columns[0], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def expand(parent: DataFrame, child: DataFrame, key: str) -> DataFrame:
     """Parents with each of their children; childless ones once, with NULLs."""
     matched = child.join(parent, key)
@@ -152,6 +158,12 @@ def attach_case_data(records: DataFrame, courts: DataFrame, dockets: DataFrame)
     )
 
 
+def attach_dockets(records: DataFrame, dockets: DataFrame) -> DataFrame:
+    """A row per record and docket with its case number, all of them; records without one once, with NULL."""
+    docket = dockets.select(F.col("docket_number").alias("_number"), F.struct("*").alias("docket"))
+    return records.join(docket, F.col("case_metadata.case_number") == F.col("_number"), "left").drop("_number")
+
+
 def has_case_data(records: DataFrame, opinions: DataFrame) -> DataFrame:
     """Flag records that have a court, a docket or at least one opinion."""
     owners = opinions.select("record_id").distinct().withColumn("_owned", F.lit(True))

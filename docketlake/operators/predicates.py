@@ -13,6 +13,9 @@ from datetime import date, datetime
 from functools import reduce
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,16 +43,35 @@ class Filter:
             raise ValueError(f"Unknown operator: {self.operator}")
 
 
-def java_pattern(pattern: str) -> str | None:
-    """A Python-style pattern in Java syntax; None when it does not compile."""
+# Parts of a pattern that stay as they are: an escaped character, or a whole class.
+_KEPT = r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]"
+_DIFFERENT = re.compile(rf"({_KEPT})|\(\?P<(\w+)>|\(\?P=(\w+)\)|\{{,(\d+)\}}", re.DOTALL)
+
+
+def java_pattern(pattern: str, case_sensitive: bool = True) -> str | None:
+    """A Python-style pattern in Java syntax, with its flags; None when one of the two does not compile it.
+
+    Classes such as ``\\w`` and word boundaries are those of Unicode, as in Python.
+    """
     try:
         re.compile(pattern)
     except re.error:
         return None
-    pattern = re.sub(r"\(\?P<(\w+)>", r"(?<\1>", pattern)
-    pattern = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern)
-    pattern = re.sub(r"(?<!\\)\{,(\d+)\}", r"{0,\1}", pattern)
-    return pattern.replace(r"\Z", r"\z")
+
+    def translated(m: re.Match) -> str:
+        kept, name, reference, upto = m.groups()
+        if kept is not None:
+            return r"\z" if kept == r"\Z" else kept
+        return f"(?<{name}>" if name else rf"\k<{reference}>" if reference else f"{{0,{upto}}}"
+
+    java = ("(?U)" if case_sensitive else "(?iuU)") + _DIFFERENT.sub(translated, pattern)
+    context = SparkContext._active_spark_context
+    try:
+        if context is not None:
+            context._jvm.java.util.regex.Pattern.compile(java)
+    except (IllegalArgumentException, Py4JJavaError):
+        return None
+    return java
 
 
 def value_text(value: Any) -> str:
@@ -116,10 +138,10 @@ def _not_in(value: Column, literals: list[Column]) -> Column:
 
 
 def _regex(text: Column, f: Filter) -> Column:
-    pattern = java_pattern(value_text(f.value))
+    pattern = java_pattern(value_text(f.value), f.case_sensitive)
     if pattern is None:
         return F.lit(False)
-    return text.rlike(f"(?U){pattern}" if f.case_sensitive else f"(?iuU){pattern}")
+    return text.rlike(pattern)
 
 
 def fuzzy_match(text: Column, pattern: str | Column, distance: int = FUZZY_DISTANCE) -> Column:
@@ -178,10 +200,8 @@ class RecordQuery:
         elif self.operator == "ends_with":
             hit = text.endswith(wanted)
         elif self.operator == "regex":
-            pattern = java_pattern(self.value)
-            hit = F.lit(False)
-            if pattern is not None:
-                hit = value.rlike(pattern if self.case_sensitive else f"(?iu){pattern}")
+            pattern = java_pattern(self.value, self.case_sensitive)
+            hit = F.lit(False) if pattern is None else value.rlike(pattern)
         else:
             hit = text.contains(wanted)
         return F.coalesce(hit, F.lit(False))

@@ -241,8 +241,10 @@ ENTITIES: dict[str, Entity] = {
 }
 
 
-def entity(name: str) -> Entity:
-    """Look an entity up; an unknown name is an error."""
+def entity(name: str | Entity) -> Entity:
+    """Look an entity up, or take one that is not among the built-in ones as it is; an unknown name is an error."""
+    if isinstance(name, Entity):
+        return name
     try:
         return ENTITIES[name]
     except KeyError:

@@ -76,7 +76,7 @@ def test_long_lists_join(courts):
 def test_unknown_operator_and_patterns():
     with pytest.raises(ValueError):
         Filter("id", "like", "x")
-    assert java_pattern(r"(?P<a>x)(?P=a)\Z") == r"(?<a>x)\k<a>\z"
+    assert java_pattern(r"(?P<a>x)(?P=a)\Z") == r"(?U)(?<a>x)\k<a>\z"
     assert java_pattern("(") is None
 
 
@@ -158,3 +158,69 @@ def test_long_lists_and_unicode_patterns(spark):
         assert [r.n for r in apply_filters(df, [Filter("n", "not_in", values)]).collect()] == [3]
     found = lambda p: [r.n for r in apply_filters(df, [Filter("w", "regex", p)]).orderBy("n").collect()]
     assert found(r"^\w+$") == [0, 1, 2] and found("^a{,3}$") == [2]
+
+
+def test_patterns_follow_python_or_match_nothing(spark):
+    df = spark.createDataFrame([("Müller",), ("a b",), ("x{,3}",), ("xxx",)], "v string")
+    ask = lambda p, **k: sorted(r.v for r in df.where(RecordQuery("v", p, "regex", **k).test(F.col("v"))).collect())
+    assert ask(r"^\w+$") == ["Müller", "xxx"] and ask("MÜLLER") == ["Müller"] and ask("MÜLLER", case_sensitive=True) == []
+    assert ask(r"x[{,3}]") == ["x{,3}", "xxx"][:1] and ask("^x{,3}$") == ["xxx"]
+    # Accepted by Python, not by Java.
+    for pattern in ("[[]", "(?P<n>a)(?(n)b|c)", "(?a:x)"):
+        assert java_pattern(pattern) is None or ask(pattern) is not None
+        assert apply_filters(df, [Filter("v", "regex", pattern)]).count() >= 0
+    assert java_pattern("(?(1)a|b)") is None and java_pattern("(") is None
+
+
+def test_fuzzy_join_equals_all_pairs(spark):
+    import random
+
+    from docketlake.operators.fuzzy import fuzzy_join
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abC") for _ in range(rng.choice([0, 1, 2, 3, 6, 23, 24, 25, 26, 27, 40]))) for _ in range(70)]
+    spoilt = []
+    for w in words:
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randint(0, len(w))
+            w = rng.choice([w[:k] + w[k + 1 :], w[:k] + "b" + w[k:], w[:k] + "c" + w[k + 1 :]])
+        spoilt.append(w)
+    values = [(i, w) for i, w in enumerate([*words, words[0], None])]
+    patterns = [(i, w) for i, w in enumerate([*spoilt, None, ""])]
+    got = fuzzy_join(
+        spark.createDataFrame(values, "id int, name string"), spark.createDataFrame(patterns, "p int, wanted string"), "name", "wanted"
+    )
+    want = {(i, p) for i, a in values for p, b in patterns if a is not None and b is not None and distance(a.lower(), b.lower()) <= 2}
+    assert {(r.id, r.p) for r in got.collect()} == want and got.count() == len(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("literals", [0, 1000])
+def test_text_index_equals_a_scan(spark, tmp_path, monkeypatch, literals):
+    import random
+
+    from docketlake.operators import text_index
+
+    monkeypatch.setattr(text_index, "LITERALS", literals)
+    rng = random.Random(8)
+    words = ["Motion", "emotional", "ion", "io", "x", "ÄRGER", "due", "process", "a-b", "tionion"]
+    rows = [(i, rng.choice([" ", "\n", "\t "]).join(rng.choice(words) for _ in range(rng.randint(0, 6)))) for i in range(300)] + [(900, None), (901, " ")]
+    df = spark.createDataFrame(rows, "id long, body string")
+    path = str(tmp_path / "texts")
+    text_index.write_text_index(df, path, F.col("body"))
+    for query in ("ion", "TION x", "io", "ärger due", "nothing", "tionion process", "b"):
+        want = {i for i, t in rows if all(w in (t or "").lower() for w in query.lower().split())}
+        assert {r.id for r in text_index.search_index(spark, path, query).collect()} == want, query
+    assert text_index.search_index(spark, path, " ") is None
+    plan = text_index.ids_with(spark, path, "process")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [" in plan and ("EqualTo(token,process)" in plan or "In(token" in plan or literals == 0)
+    assert "body" not in plan
