@@ -68,18 +68,24 @@ def maximal_segments(scores: Iterator[tuple[int, float]], other: float) -> list[
     token scores ``other``, which is negative.
     """
     found: list[tuple[int, int, float, float]] = []  # first, end, sum before, sum up to the end
+    lower: list[int] = []  # for each of them the last one before it with a smaller sum before
     total, at = 0.0, 0
     for place, score in scores:
         total += other * (place - at)
         new = (place, place + 1, total, total + score)
         total, at = total + score, place + 1
+        j = len(found) - 1
         while True:
-            j = next((k for k in range(len(found) - 1, -1, -1) if found[k][2] < new[2]), None)
-            if j is None or found[j][3] >= new[3]:
+            while j >= 0 and found[j][2] >= new[2]:
+                j = lower[j]
+            if j < 0 or found[j][3] >= new[3]:
                 found.append(new)
+                lower.append(j)
                 break
             new = (found[j][0], new[1], found[j][2], new[3])
-            del found[j:]
+            before = lower[j]
+            del found[j:], lower[j:]
+            j = before
     return [(a, b, high - low) for a, b, low, high in found]
 
 
