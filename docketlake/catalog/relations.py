@@ -83,7 +83,23 @@ def case_hierarchy(spark, folder):
         GROUP BY d.id""",
 )
 def nested_hierarchy(spark, folder):
-    rows = J.nested_hierarchy(dockets(spark, folder), clusters(spark, folder), opinions(spark, folder), page_rows=1000)
+    return _nested_sums(J.nested_hierarchy(dockets(spark, folder), clusters(spark, folder), opinions(spark, folder), page_rows=1000))
+
+
+@query(
+    "e4_nested_by_bytes",
+    f"""WITH {DOCKETS}, {CLUSTERS}, {OPINIONS}
+        SELECT d.id AS docket_id, CAST(count(DISTINCT c.id) AS BIGINT) AS clusters, count(o.id) AS opinions,
+               CAST(coalesce(sum(o.id), 0) AS BIGINT) AS opinion_sum
+        FROM dockets d LEFT JOIN clusters c ON c.docket_id = d.id LEFT JOIN opinions o ON o.cluster_id = c.id
+        GROUP BY d.id""",
+)
+def nested_by_bytes(spark, folder):
+    rows = J.nested_hierarchy(dockets(spark, folder), clusters(spark, folder), opinions(spark, folder), page_bytes=1 << 20)
+    return _nested_sums(rows)
+
+
+def _nested_sums(rows):
     per_cluster = F.transform("clusters", lambda c: F.size(c["opinions"]))
     ids = F.flatten(F.transform("clusters", lambda c: F.transform(c["opinions"], lambda o: o["opinion_id"])))
     total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, v: s + v)

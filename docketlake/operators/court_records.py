@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docketlake.functions.text import CleaningRule, changed_positions, clean_columns, parties, present
 from docketlake.operators.predicates import RecordQuery
-from docketlake.plans.paging import page
+from docketlake.plans.paging import SortKey, page
 from docketlake.schemas import STANDARD_MAPPING
 
 # Messages of record checks, and defaults of short records.
@@ -186,4 +186,4 @@ def matches_record(query: RecordQuery, columns: list[str]) -> Column:
 def search_records(records: DataFrame, query: RecordQuery, limit: int | None = None) -> DataFrame:
     """Matching records; with a limit the first ones by record id."""
     found = records.where(matches_record(query, records.columns))
-    return page(found, [F.col("record_id").asc()], limit) if limit else found
+    return page(found, [SortKey("record_id")], limit) if limit else found

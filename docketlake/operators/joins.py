@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketlake.functions.text import join_present
 from docketlake.operators.court_records import record_text
+from docketlake.operators.ranges import RANGE, ROWS_PER_RANGE, into_ranges
 
 
 def children_of(table: DataFrame, foreign_key: str, parent_ids: DataFrame | list) -> DataFrame:
@@ -108,25 +109,57 @@ def nest(
     )
 
 
+def nest_by_bytes(
+    parent: DataFrame, child: DataFrame, key: str, child_id: str, name: str, page_bytes: int, rows_per_range: int = ROWS_PER_RANGE
+) -> DataFrame:
+    """Parents with an array of their children, in pages of at most ``page_bytes`` of JSON text and one more child.
+
+    Children are dealt out by ranges of ``(key, child_id)``, so those of a large parent
+    lie in several tasks, and a page takes what follows each other in a range.  Pages of
+    a parent are numbered in the order of their children, and columns
+    ``{name}_page`` and ``{name}_pages`` tell them apart; a parent without
+    children has one empty page.
+    """
+    page, pages = f"{name}_page", f"{name}_pages"
+    item = F.struct(child_id, *[c for c in child.columns if c not in (key, child_id)])
+    sized = child.where(F.col(key).isNotNull()).withColumn("_bytes", F.octet_length(F.to_json(item)))
+    ranges = into_ranges(sized, [key], [child_id], rows_per_range)
+    filled = F.coalesce(F.sum("_bytes").over(ranges.window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    members = ranges.rows.withColumn("_part", F.floor(filled / page_bytes))
+    collected = members.groupBy(key, RANGE, "_part").agg(F.sort_array(F.collect_list(item)).alias(name))
+    # One row per page from here on.
+    number = F.row_number().over(Window.partitionBy(key).orderBy(RANGE, "_part")) - 1
+    collected = collected.withColumn(page, number).withColumn(pages, F.count("*").over(Window.partitionBy(key)).cast("int"))
+    collected = collected.drop(RANGE, "_part")
+    empty = {name: F.coalesce(name, F.array().cast(collected.schema[name].dataType))}
+    return expand(parent, collected, key).withColumns(empty).fillna({page: 0, pages: 1})
+
+
 def nested_hierarchy(
     dockets: DataFrame,
     clusters: DataFrame,
     opinions: DataFrame,
     docket_ids: DataFrame | list | None = None,
     *,
-    page_rows: int,
+    page_rows: int | None = None,
+    page_bytes: int | None = None,
 ) -> DataFrame:
-    """Dockets with their clusters, and those with their opinions, as arrays in pages (see :func:`nest`).
+    """Dockets with their clusters, and those with their opinions, as arrays in pages of so many rows or bytes.
 
-    An unknown docket yields no row; a cluster without opinions an empty array.
+    Rows are counted by :func:`nest`; bytes by :func:`nest_by_bytes`, where a
+    cluster with a page of opinions is one child of its docket.  An unknown docket yields
+    no row; a cluster without opinions an empty array.
     """
+    if (page_rows is None) == (page_bytes is None):
+        raise ValueError("Give the size of a page either in rows or in bytes")
+    nested, size = (nest, page_rows) if page_bytes is None else (nest_by_bytes, page_bytes)
     if docket_ids is not None:
         dockets = load_batch(dockets, docket_ids)
         clusters = children_of(clusters, "docket_id", docket_ids)
         opinions = children_of(opinions, "cluster_id", clusters.select("id"))
     rename = lambda df, key: df.withColumnRenamed("id", key)
-    with_opinions = nest(rename(clusters, "cluster_id"), rename(opinions, "opinion_id"), "cluster_id", "opinion_id", "opinions", page_rows)
-    return nest(rename(dockets, "docket_id"), with_opinions, "docket_id", "cluster_id", "clusters", page_rows)
+    with_opinions = nested(rename(clusters, "cluster_id"), rename(opinions, "opinion_id"), "cluster_id", "opinion_id", "opinions", size)
+    return nested(rename(dockets, "docket_id"), with_opinions, "docket_id", "cluster_id", "clusters", size)
 
 
 def citations_of_opinion(citations: DataFrame, opinion_ids: DataFrame | list) -> DataFrame:

@@ -243,3 +243,26 @@ def test_index_splits_large_values_over_blocks(spark, monkeypatch):
 def test_courts_named_once(spark):
     courts = spark.createDataFrame([("a", "Federal", "Federal"), ("b", "X", "Federal"), ("c", "X", "Y")], "id string, full_name string, jurisdiction string")
     assert sorted(r.id for r in I.courts_named(courts, "Federal").collect()) == ["a", "b"]
+
+
+def test_a_parent_with_many_children_nests_in_pages_of_bytes(spark):
+    """One parent holds most children; no page is beyond the bound and one child, and pages follow the order of ids."""
+    children = spark.range(100_000).select(
+        F.when(F.col("id") % 10 == 0, F.col("id") % 7).otherwise(F.lit(3)).alias("docket_id"),
+        F.col("id").alias("cluster_id"),
+        F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text"),
+    )
+    children = children.unionByName(spark.createDataFrame([(None, 5, "lost")], children.schema))
+    parents = spark.range(9).select(F.col("id").alias("docket_id"))
+    rows = J.nest_by_bytes(parents, children, "docket_id", "cluster_id", "clusters", 20_000, rows_per_range=9000)
+    size = F.aggregate("clusters", F.lit(0), lambda s, c: s + F.octet_length(F.to_json(c)))
+    found = rows.select("docket_id", "clusters_page", "clusters_pages", size.alias("bytes"), F.col("clusters.cluster_id").alias("ids"))
+    got = {}
+    for r in found.orderBy("docket_id", "clusters_page").collect():
+        assert r.bytes <= 20_000 + 100
+        assert r.clusters_page == len([1 for k in got if k[0] == r.docket_id])
+        got[r.docket_id, r.clusters_page] = r.ids
+    ids = lambda d: [i for (k, _), page in got.items() if k == d for i in page]
+    want = [i for i in range(100_000) if i % 10 or i % 7 == 3]
+    assert ids(3) == want and len([k for k in got if k[0] == 3]) > 100
+    assert ids(8) == [] and (8, 0) in got and sum(map(len, got.values())) == 100_000

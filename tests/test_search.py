@@ -111,7 +111,7 @@ def test_deep_pages_equal_a_sorted_slice(spark):
     want = sorted(values, key=lambda r: (-1 if r[1] is None else r[1], r[0]))
     keys = sort_columns([("v", "asc")], ["id"])
     for limit, offset in ((None, 4321), (700, 4000), (0, 10), (100, 4990), (5, 6000)):
-        got = [tuple(r) for r in page(df, keys, limit, offset, top_k_rows=50).orderBy(*keys).collect()]
+        got = [tuple(r) for r in page(df, keys, limit, offset).orderBy(*[k.column for k in keys]).collect()]
         assert got == want[offset : offset + limit if limit else None], (limit, offset)
 
 
@@ -224,3 +224,31 @@ def test_text_index_equals_a_scan(spark, tmp_path, monkeypatch, literals):
     plan = text_index.ids_with(spark, path, "process")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [" in plan and ("EqualTo(token,process)" in plan or "In(token" in plan or literals == 0)
     assert "body" not in plan
+
+
+@pytest.mark.parametrize("few", [5, 20_000])
+def test_deep_pages_equal_slices_of_the_sort(spark, monkeypatch, few):
+    from datetime import datetime, timedelta
+
+    from docketlake.plans import paging
+
+    monkeypatch.setattr(paging, "FEW", few)
+    monkeypatch.setattr(paging, "RANGES", 6)
+    rng = random.Random(2)
+    at = datetime(2024, 1, 1, 3)
+    rows = [(rng.choice([None, "a", "b", "b"]), rng.choice([None, 1.5, 2.5, float("nan")]), at + timedelta(hours=rng.randint(0, 3)), i) for i in range(140)]
+    df = spark.createDataFrame(rows, "s string, v double, ts timestamp, id int").repartition(5)
+    for sort, tie in (([("s", "desc"), ("v", "asc")], ["id"]), ([("ts", "desc")], ["id"]), ([("s", "asc"), ("v", "desc")], [])):
+        keys = sort_columns(sort, tie)
+        whole = [tuple(str(r[k.name]) for k in keys) for r in df.orderBy(*[k.column for k in keys]).collect()]
+        for offset, limit in ((1, 7), (60, 30), (139, 5), (100, None), (140, 3), (33, 1)):
+            got = [tuple(str(r[k.name]) for k in keys) for r in page(df, keys, limit, offset).collect()]
+            assert got == whole[offset : offset + limit if limit else None], (sort, offset, limit)
+
+
+def test_a_deep_page_is_read_between_two_keys(spark, tmp_path):
+    spark.range(50_000).write.parquet(str(tmp_path / "t"))
+    deep = page(spark.read.parquet(str(tmp_path / "t")), sort_columns([], ["id"]), 10, 40_000)
+    assert [r.id for r in deep.collect()] == list(range(40_000, 40_010))
+    plan = deep._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(id,40000)" in plan and "LessThan(id,40009)" in plan
