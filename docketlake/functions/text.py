@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,14 +68,23 @@ def clean_columns(columns: Column, rule: CleaningRule = CleaningRule(), compat:
     ``compat`` leaves records alone that end inside the range, as updating a
     record in the original workflow did.
     """
-    cleaned = F.transform(
-        columns, lambda v, i: F.when(i.between(rule.start, rule.end), rule.apply(v)).otherwise(v)
+    # The few cleaned positions are plain expressions, which run compiled; the others are copied in two slices.
+    size = F.size(columns)
+    inside = F.array(*[rule.apply(F.get(columns, F.lit(i))) for i in range(rule.start, rule.end + 1)])
+    cleaned = F.concat(
+        F.slice(columns, F.lit(1), F.lit(rule.start)),
+        F.slice(inside, F.lit(1), F.least(F.greatest(size - rule.start, F.lit(0)), F.lit(rule.size))),
+        F.slice(columns, F.lit(rule.end + 2), F.greatest(size - rule.end - 1, F.lit(0))),
     )
     return F.when(F.size(columns) > rule.end, cleaned).otherwise(columns) if compat else cleaned
 
 
-def changed_positions(before: Column, after: Column) -> Column:
-    """How many positions differ between two versions of a record."""
+def changed_positions(before: Column, after: Column, rule: CleaningRule | None = None) -> Column:
+    """How many positions differ between two versions of a record; with ``rule`` only those it covers can."""
+    if rule is not None:
+        at = lambda c, i: F.get(c, F.lit(i))
+        differs = [(~at(before, i).eqNullSafe(at(after, i))).cast("int") for i in range(rule.start, rule.end + 1)]
+        return reduce(lambda a, b: a + b, differs)
     differing = F.filter(F.transform(before, lambda v, i: v.eqNullSafe(F.get(after, i))), lambda same: ~same)
     return F.when(before.eqNullSafe(after), F.lit(0)).otherwise(F.size(differing))
 

@@ -137,7 +137,7 @@ def clean_records(records: DataFrame, rule: CleaningRule = CleaningRule()) -> Da
     """Clean the troublesome columns and count the changed ones."""
     if "cleaned_data" not in records.columns:
         records = records.withColumn("cleaned_data", F.explode(F.array(clean_columns(F.col("column_data"), rule))))
-    counted = records.withColumn("cleaned_count", changed_positions(F.col("column_data"), F.col("cleaned_data")))
+    counted = records.withColumn("cleaned_count", changed_positions(F.col("column_data"), F.col("cleaned_data"), rule))
     return counted.withColumn("column_data", F.col("cleaned_data")).drop("cleaned_data")
 
 

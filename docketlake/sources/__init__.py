@@ -1,5 +1,5 @@
 from docketlake.sources.bulk import DIALECTS, Dialect, file_headers, read_bulk, read_header
-from docketlake.sources.files import file_manifest, read_json_records
+from docketlake.sources.files import file_manifest, read_json_records, unreadable_files
 from docketlake.sources.lines import read_court_lines, split_court_lines
 from docketlake.sources.records import stitch_records
 
@@ -14,4 +14,5 @@ __all__ = [
     "read_json_records",
     "split_court_lines",
     "stitch_records",
+    "unreadable_files",
 ]

@@ -13,20 +13,33 @@ from docketlake.schemas import Entity, entity
 def read_json_records(
     spark: SparkSession, path: str | list[str], data_type: str | None = None, schema: T.StructType | None = None
 ) -> DataFrame:
-    """One record per (optionally gzipped) JSON file; unreadable files are skipped.
+    """One record per (optionally gzipped) JSON file; unreadable files are left to ``unreadable_files``.
 
     Absent fields get the entity's defaults, so that a partial record still
     comes back with False, 0 and empty lists where they belong.
     """
     e: Entity | None = entity(data_type) if data_type else None
-    df = (
-        spark.read.schema(schema or e.schema())
-        .option("mode", "DROPMALFORMED")
-        .json(path, multiLine=True, dateFormat="yyyy-MM-dd")
-    )
+    df = _json(spark, path, schema or e.schema(), "DROPMALFORMED")
     return fill_defaults(df, e) if e else df
 
 
+def unreadable_files(
+    spark: SparkSession, path: str | list[str], data_type: str | None = None, schema: T.StructType | None = None
+) -> DataFrame:
+    """``path, text`` of the JSON files that ``read_json_records`` cannot read."""
+    wanted = T.StructType([*(schema or entity(data_type).schema()).fields, T.StructField("_text", T.StringType())])
+    rows = _json(spark, path, wanted, "PERMISSIVE").select(F.col("_metadata.file_path").alias("path"), "*")
+    # Which columns are read decides what is malformed, so all are, and stay needed.
+    kept = F.to_json(F.struct(*[F.col(f"`{f.name}`") for f in wanted.fields[:-1]]))
+    whole = rows.withColumn("_kept", F.length(F.coalesce(kept, F.lit(""))))
+    return whole.where((F.col("_kept") >= 0) & F.col("_text").isNotNull()).select("path", F.col("_text").alias("text"))
+
+
+def _json(spark: SparkSession, path: str | list[str], schema: T.StructType, mode: str) -> DataFrame:
+    reader = spark.read.schema(schema).option("mode", mode).option("columnNameOfCorruptRecord", "_text")
+    return reader.json(path, multiLine=True, dateFormat="yyyy-MM-dd")
+
+
 def fill_defaults(df: DataFrame, e: Entity) -> DataFrame:
     filled = {}
     for f in e.fields:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketlake.functions.text import CleaningRule
@@ -67,5 +67,16 @@ def download_events(requests: DataFrame, at: Column) -> DataFrame:
     return requests.select(*_event(DOWNLOAD_REQUESTED, "dataset_id", {"download_url": F.col("download_url")}, at))
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    events.write.mode("append").partitionBy("event_type").parquet(path)
+def append_events(events: DataFrame, path: str, batch_id: int | None = None) -> None:
+    """Add events to a log; those of a batch replace what an earlier attempt at the same batch wrote."""
+    if batch_id is None:
+        events.write.mode("append").partitionBy("event_type").parquet(path)
+    else:
+        events.write.mode("overwrite").partitionBy("event_type").parquet(f"{path}/batch={batch_id}")
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """All events of a log, of batches or not."""
+    log = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    kind = F.regexp_extract(F.col("_metadata.file_path"), "/event_type=([^/]*)/", 1)
+    return log.withColumn("event_type", kind)

@@ -42,3 +42,18 @@ def test_no_python_functions_in_plans(spark):
     for name in ("k1_search", "g7_validate_and_enrich", "e4_case_hierarchy", "i2_average_speed", "h3_inverted_index"):
         plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan, name
+
+
+def test_the_rest_works_without_the_optional_operators(tmp_path):
+    """Copied without the subpackage, its tests and the pipeline, the entry imports and the tests are collected."""
+    import shutil
+    import subprocess
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    skip = shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__", "*.json", "*.txt")
+    shutil.copytree(root, tmp_path / "copy", ignore=skip)
+    code = "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') for n in e.queries()))"
+    run = lambda *args: subprocess.run([sys.executable, *args], cwd=tmp_path / "copy", capture_output=True, text=True, timeout=300, check=False)
+    out = run("-c", code)
+    assert out.returncode == 0 and out.stdout.split()[-1] == "False" and int(out.stdout.split()[-2]) > 150, out.stderr
+    assert run("-m", "pytest", "tests", "--collect-only", "-q").returncode == 0

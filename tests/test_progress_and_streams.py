@@ -226,3 +226,15 @@ def test_all_windows_and_counters_of_a_stream_come_out(spark, tmp_path):
     S.run_counted(stream(), F.col("kind") != "error", str(tmp_path / "out"), counters, str(tmp_path / "cp2"))
     assert [tuple(r) for r in S.counters(spark, counters).orderBy("batch_id").collect()] == [(k, 60, 40, 20) for k in range(4)]
     assert spark.read.parquet(str(tmp_path / "out")).count() == 240
+
+
+def test_a_repeated_batch_of_events_is_there_once(spark, tmp_path):
+    from docketlake.streaming import audit
+
+    requests = spark.createDataFrame([("a", "u1"), ("b", "u2")], "dataset_id string, download_url string")
+    events = audit.download_events(requests, F.lit("2024-01-31").cast("timestamp_ntz"))
+    path = str(tmp_path / "log")
+    for number in (0, 0, 1):
+        audit.append_events(events, path, number)
+    log = audit.read_events(spark, path)
+    assert log.count() == 4 and {r.event_type for r in log.collect()} == {audit.DOWNLOAD_REQUESTED}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docketlake.operators.entities import good, project, rejected
 from docketlake.schemas import entity
-from docketlake.sources import file_manifest, read_bulk, read_court_lines, read_header, read_json_records, stitch_records
+from docketlake.sources import file_manifest, read_bulk, read_court_lines, read_header, read_json_records, stitch_records, unreadable_files
 from docketlake.sources.bulk import drop_blank_keys
 
 
@@ -201,5 +201,7 @@ def test_json_records_and_manifest(spark, tmp_path):
     rows = read_json_records(spark, str(tmp_path), "opinion_clusters").where("id is not null").collect()
     assert len(rows) == 1
     assert (rows[0].blocked, rows[0].citation_count, rows[0].sub_opinions) == (False, 0, [])
+    bad = unreadable_files(spark, str(tmp_path), "opinion_clusters").collect()
+    assert [(r.path.rsplit("/", 1)[1], r.text) for r in bad] == [("2.json", "{broken")]
     files = file_manifest(spark, str(tmp_path), "d").collect()
     assert {r.status for r in files} == {"pending"} and len(files) == 2
