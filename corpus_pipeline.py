@@ -15,30 +15,49 @@ from docketlake.llm.substring_dedup import remove_repeats
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    Null and blank texts go.  Repeated rows share their verdict, rows without an id have
+    no label and are judged like others; labels that contradict each other count as bad.
+    """
     found = quality_rules(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
     return found.where("kept").select(docs.columns)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies.
+
+    Repeated rows are one.  Null and blank texts are copies of nothing; rows without an
+    id are told apart by their text.
+    """
     return drop_near_copies(docs)
 
 
 def distinct_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that occur earlier; documents of which nothing is left go."""
+    """Texts without passages that occur earlier; documents of which nothing is left go.
+
+    Null and blank texts stay as they are.  Of rows that share an id, none is earlier.
+    """
     cut = remove_repeats(docs, as_text=True).where("n_bytes = 0 or trim(kept) <> ''")
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return cut.withColumns({c: v for c, v in new.items() if c in docs.columns}).select(docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """95 % of the tokens, in damped proportion to the sources' sizes, each document once at most."""
+    """95 % of the tokens, in damped proportion to the sources' sizes, each document once at most.
+
+    A null source or language is one of its own; documents without words cost nothing.
+    Rows of one id are taken or left together.
+    """
     return mix_sources(docs, domain_of("source"), share=0.95, max_epochs=1).select(docs.columns)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their place in a training sequence."""
+    """Pieces of documents with their place in a training sequence.
+
+    A null or blank text is its end token and what its white space makes; long texts are cut,
+    repeated rows packed like any others.
+    """
     return pack(docs.select("doc_id", "text"))
 
 
@@ -50,7 +69,8 @@ STAGES = [
     ("best-fit packing", packed_sequences),
 ]
 
-#: The tokenizer, the shingle join and the passages have no SQL; a brute-force version is among the tests.
+#: The tokenizer, the shingle join and the passages have no SQL.  The tests hold each stage's operator against a
+#: brute-force version, and the stages against odd rows.
 ORACLE_SQL = None
 
 

@@ -204,15 +204,9 @@ def has_case_data(records: DataFrame, opinions: DataFrame) -> DataFrame:
     return records.join(owners, "record_id", "left").withColumn("has_case_data", known).drop("_owned")
 
 
-def enhanced_parts(records: DataFrame, opinions: DataFrame, prefix: int | None = None) -> DataFrame:
-    """The search text of records in parts: the record's own, then its opinions'.
-
-    ``records`` come from :func:`attach_case_data`; ``opinions`` has
-    ``record_id, id, plain_text``.  Rows are ``record_id, part, text`` with the
-    record's own text as part 0 and an opinion's whole text under the opinion's
-    id, or its first ``prefix`` characters where that is asked for.
-    """
-    own = join_present(
+def own_text() -> Column:
+    """The search text of a record of :func:`attach_case_data`, without that of its opinions."""
+    return join_present(
         record_text(),
         F.col("court.full_name"),
         F.col("court.jurisdiction"),
@@ -221,6 +215,17 @@ def enhanced_parts(records: DataFrame, opinions: DataFrame, prefix: int | None =
         F.col("docket.docket_number"),
         F.col("docket.case_name_full"),
     )
+
+
+def enhanced_parts(records: DataFrame, opinions: DataFrame, prefix: int | None = None) -> DataFrame:
+    """The search text of records in parts: the record's own, then its opinions'.
+
+    ``records`` come from :func:`attach_case_data`; ``opinions`` has
+    ``record_id, id, plain_text``.  Rows are ``record_id, part, text`` with the
+    record's own text as part 0 and an opinion's whole text under the opinion's
+    id, or its first ``prefix`` characters where that is asked for.
+    """
+    own = own_text()
     base = records.select("record_id", F.lit(0).cast("bigint").alias("part"), own.alias("text"))
     text = F.left("plain_text", F.lit(prefix)) if prefix else F.col("plain_text")
     theirs = opinions.where(F.coalesce("plain_text", F.lit("")) != "").select(
@@ -232,19 +237,25 @@ def enhanced_parts(records: DataFrame, opinions: DataFrame, prefix: int | None =
 def enhanced_search(records: DataFrame, opinions: DataFrame, query: str, prefix: int | None = None) -> DataFrame:
     """Records whose whole enhanced text has every term.
 
-    Terms hold no spaces and parts are joined by one, so a term is in the text
-    exactly when it is in some part: one boolean per term is combined before the
-    shuffle and the text of a record is never assembled.
+    Terms hold no spaces and parts are joined by one, so a term is in the text exactly
+    when it is in some part.  A record's own text is tested where the record is; opinions
+    leave one boolean per term and record before they are shuffled, and the two meet
+    in the only join.  The text of a record is never assembled.
     """
     terms = query.lower().split()
-    parts = enhanced_parts(records, opinions, prefix).withColumn("text", F.lower("text"))
     if not terms:
         return records
-    found = parts.groupBy("record_id").agg(
-        *[F.bool_or(F.col("text").contains(t)).alias(f"_t{i}") for i, t in enumerate(terms)]
+    text = F.left("plain_text", F.lit(prefix)) if prefix else F.col("plain_text")
+    theirs = opinions.where(F.coalesce("plain_text", F.lit("")) != "").select("record_id", F.lower(text).alias("_text"))
+    found = theirs.groupBy("record_id").agg(
+        *[F.bool_or(F.col("_text").contains(t)).alias(f"_t{i}") for i, t in enumerate(terms)]
     )
-    hit: Column = reduce(lambda a, b: a & b, [F.col(f"_t{i}") for i in range(len(terms))])
-    return children_of(records, "record_id", found.where(hit).select("record_id"))
+    # Exploding an array of one builds the text once for all terms.
+    own = records.withColumn("_text", F.explode(F.array(F.lower(own_text()))))
+    own = own.withColumns({f"_own{i}": F.col("_text").contains(t) for i, t in enumerate(terms)}).drop("_text")
+    known = lambda c: F.coalesce(F.col(c), F.lit(False))
+    hit: Column = reduce(lambda a, b: a & b, [known(f"_own{i}") | known(f"_t{i}") for i in range(len(terms))])
+    return own.join(found, "record_id", "left").where(hit).select(*records.columns)
 
 
 def enhanced_text(records: DataFrame, opinions: DataFrame, page_rows: int, prefix: int | None = None) -> DataFrame:
