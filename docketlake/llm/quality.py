@@ -15,8 +15,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import id_cell, id_cells, materialise
-
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
 MIN_WORDS = 50
@@ -82,14 +80,23 @@ def text_statistics(text: Column) -> dict[str, Column]:
     return {k: c if k == "_words" else c.cast("long") for k, c in columns.items()}
 
 
+def _bucket(buckets: int, *tokens: Column) -> Column:
+    return F.pmod(F.xxhash64(*tokens), F.lit(buckets)).cast("int")
+
+
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TOKEN), 0)
+
+
 def ngram_buckets(text: Column, buckets: int = BUCKETS) -> Column:
     """Hash buckets of the text's tokens and of its pairs of neighbouring tokens."""
-    bucket = lambda *c: F.pmod(F.xxhash64(*c), F.lit(buckets)).cast("int")
 
     def both(t: Column) -> Column:
-        return F.transform(t, lambda x, i: F.array(bucket(x), bucket(x, F.get(t, i + 1))))
+        single = F.transform(t, lambda x: _bucket(buckets, x))
+        pairs = F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda i: _bucket(buckets, t[i - 1], t[i]))
+        return F.when(F.size(t) > 1, F.concat(single, pairs)).otherwise(single)
 
-    return F.flatten(_let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TOKEN), 0), both))
+    return _let(tokens(text), both)
 
 
 def labelled_rows(labels: DataFrame) -> DataFrame:
@@ -98,26 +105,41 @@ def labelled_rows(labels: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.min("good").alias("good"))
 
 
-def _by_cell(docs: DataFrame, cells: DataFrame, how: str) -> DataFrame:
-    """Rows whose ``doc_id`` may (``left_semi``) or cannot (``left_anti``) be among those behind ``cells``; a null one cannot."""
-    cell = F.when(F.col("doc_id").isNotNull(), id_cell("doc_id"))
-    return docs.withColumn("_cell", cell).join(F.broadcast(cells), "_cell", how).drop("_cell")
-
+def ratio_weights(
+    docs: DataFrame, labelled: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING
+) -> tuple[list[float], dict[bool, float]]:
+    """Log ratio of trusted to raw probability of every bucket, smoothed, and the mean scores of good and bad rows.
 
-def ratio_weights(docs: DataFrame, labelled: DataFrame, cells: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[float]:
-    """Log ratio of trusted to raw probability of every bucket, smoothed; only rows that may have a label are shuffled."""
+    A mean of scores is linear in the weights: a bucket's weight enters it with the sum,
+    over the rows, of its share in their n-grams.  So counts and shares come from one pass,
+    in which the texts meet their labels by one shuffle, whatever their number.
+    """
     docs = docs.select("doc_id", "text")
-    other = _by_cell(docs, cells, "left_anti").withColumn("good", F.lit(False))
-    marked = _by_cell(docs, cells, "left_semi").join(labelled, "doc_id", "left").unionByName(other)
-    trusted = F.coalesce("good", F.lit(False)).cast("long")
-    grams = marked.select(trusted.alias("t"), F.explode(ngram_buckets(F.col("text"), buckets)).alias("b"))
-    counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("trusted")).collect()
-    raw, good = [smoothing] * buckets, [smoothing] * buckets
-    for r in counts:  # one row for each bucket at most
+    known = docs.where("doc_id is not null").join(labelled.hint("shuffle_hash"), "doc_id", "left")
+    marked = known.unionByName(docs.where("doc_id is null").withColumn("good", F.lit(None).cast("boolean")))
+    grams = marked.select("good", ngram_buckets(F.col("text"), buckets).alias("all"))
+    # An outer explode: of the other kind, the optimizer would infer a filter on the n-grams below the shuffle.
+    share = F.try_divide(F.lit(1), F.size("all"))
+    grams = grams.select("good", share.alias("share"), F.explode_outer("all").alias("b"))
+    counts = grams.groupBy("b").agg(
+        F.count("*").alias("raw"),
+        F.count_if("good").alias("trusted"),
+        F.sum(F.when(F.col("good"), F.col("share"))).alias("in_good"),
+        F.sum(F.when(~F.col("good"), F.col("share"))).alias("in_bad"),
+    )
+    raw, good, shares = [smoothing] * buckets, [smoothing] * buckets, {}
+    for r in counts.where("b is not null").collect():  # one row for each bucket at most
         raw[r.b] += r.raw
         good[r.b] += r.trusted
+        shares[r.b] = (r.in_good or 0.0, r.in_bad or 0.0)
     shift = math.log(sum(raw) / sum(good))
-    return [math.log(g / r) + shift for g, r in zip(good, raw, strict=True)]
+    weights = [round(math.log(g / r) + shift, 4) for g, r in zip(good, raw, strict=True)]
+    means = {}
+    for kind in (0, 1):
+        rows = math.fsum(share[kind] for share in shares.values())  # the shares of a row add up to 1
+        if rows > 0:
+            means[kind == 0] = math.fsum(share[kind] * weights[b] for b, share in shares.items()) / rows
+    return weights, means
 
 
 def constant_array(values: list[float]) -> Column:
@@ -126,10 +148,15 @@ def constant_array(values: list[float]) -> Column:
 
 
 def score(text: Column, weights: Column, buckets: int = BUCKETS) -> Column:
-    def mean(b: Column) -> Column:
-        return F.aggregate(b, F.lit(0.0), lambda s, x: s + weights[x]) / F.size(b)
+    """Mean weight of the text's n-grams, NULL without any; they are added up as they are hashed."""
+
+    def mean(t: Column) -> Column:
+        weight = lambda *x: weights[_bucket(buckets, *x)]
+        step = lambda s, i: s + weight(t[i]) + weight(t[i - 1], t[i])
+        more = F.aggregate(F.sequence(F.lit(1), F.size(t) - 1), weight(t[0]), step) / (2 * F.size(t) - 1)
+        return F.when(F.size(t) > 1, more).when(F.size(t) == 1, weight(t[0]))
 
-    return _let(ngram_buckets(text, buckets), lambda b: F.when(F.size(b) > 0, mean(b)))
+    return _let(tokens(text), mean)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -143,13 +170,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) ->
     words and fail.  Labels that contradict each other count as bad; repeated
     rows get the same verdict; columns named like new ones are replaced.
     """
-    labelled = materialise(labelled_rows(labels))
-    cells = materialise(id_cells(labelled, "doc_id"))
-    weights = ratio_weights(docs, labelled, cells, buckets)
+    weights, means = ratio_weights(docs, labelled_rows(labels), buckets)
     llr = score(F.col("text"), constant_array(weights), buckets)
-    # Scored before the join, so that it shuffles no texts.
-    scored = _by_cell(docs.select("doc_id", "text"), cells, "left_semi").select("doc_id", llr.alias("llr")).join(labelled, "doc_id")
-    means = {r.good: r.llr for r in scored.groupBy("good").agg(F.avg("llr").alias("llr")).collect() if r.llr is not None}
     limit = (means[True] + means[False]) / 2 if len(means) == 2 and means[True] > means[False] else -math.inf
 
     found = docs.withColumns({**text_statistics(F.col("text")), "llr": llr})
