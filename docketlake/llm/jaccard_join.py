@@ -8,8 +8,11 @@ Candidates are not expanded into all pairs of a list.  Every class of a list is
 paired with one of them.  Of these pairs, each class's most promising one is
 verified first, then those that are still in different components, and last all
 pairs of a list across components.  That loses no link that could join two
-components.  Bitmaps of the sets bound what two sets can share and rule most
-other pairs out; whole sets are only sent for the rest.
+components.  These last pairs are never rows: a list is cut into blocks, a task
+compares two blocks of it as matrices of sizes and bitmaps, which bound what two
+sets can share, and returns the pairs that both allow: first the most promising one
+of every two components, then, of components that this did not join, all.  Whole
+sets are only sent for those.
 """
 
 from __future__ import annotations
@@ -32,6 +35,14 @@ HOT = 1 << 18
 COUNTED = 1_000_000
 REPORTED = 3
 BUCKET_BYTES = 1 << 23
+#: Classes of a list that a task compares with as many others, and words of bitmaps it compares at a time.
+BLOCK = 2048
+WORDS_AT_ONCE = 1 << 21
+#: Classes of a list whose pairs are listed in memory, so many pairs at a time, and not compared as a matrix.
+SHORT = 64
+PAIRS_AT_ONCE = 1 << 18
+#: What rounding may take from a bound in percent.
+SLACK = 1e-9
 _FILED = np.dtype([("sig", "<u8"), ("cls", "<i8")])
 
 
@@ -169,6 +180,128 @@ def _may_link(percent: int):
     return run
 
 
+def _most(n: np.ndarray, other: np.ndarray, ones: np.ndarray, other_ones: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Upper bound in percent of the similarity of sets of sizes ``n`` and ``other``, by the set bits of their bitmaps."""
+    # A bit that only one has stands for a shingle it does not share.
+    common = np.minimum(n - (ones - both), other - (other_ones - both))
+    return 100 * common / (n + other - common)
+
+
+class _Bitmaps:
+    """Bitmaps of a task's classes, as one matrix of words for each length."""
+
+    def __init__(self, bits: list[bytes]) -> None:
+        self.width = np.array([len(b) for b in bits], np.int64)
+        self.row = np.zeros(len(bits), np.int64)
+        self.rows: dict[int, np.ndarray] = {}
+        for width in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == width)
+            self.row[at] = np.arange(len(at))
+            self.rows[width] = np.frombuffer(b"".join([bits[i] for i in at]), np.uint8).reshape(-1, width)
+
+    def folded(self, at: np.ndarray, width: int, size: int) -> np.ndarray:
+        """Bitmaps of classes of one ``width``, brought to ``size`` bytes, as 64-bit words where that divides it."""
+        rows = self.rows[width][self.row[at]]
+        if width != size:
+            rows = np.bitwise_or.reduce(rows.reshape(len(rows), -1, size), axis=1)
+        return np.ascontiguousarray(rows).view(np.uint64) if size % 8 == 0 else rows
+
+
+def _compare(percent: int, best: bool):
+    def ones(rows: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(rows).sum(-1, dtype=np.int64)
+
+    def of_blocks(group, n, maps: _Bitmaps, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Pairs of places, one of ``left`` and one of ``right``, of different groups that the bounds allow, and the bounds."""
+        for size in np.unique(maps.width[left]).tolist():
+            mine = left[maps.width[left] == size]
+            # Sets of similar sizes have bitmaps of equal length or one of half or twice the length.
+            for other in (size // 2, size, 2 * size):
+                theirs = right[maps.width[right] == other]
+                if not len(theirs):
+                    continue
+                a, b = (maps.folded(at, w, min(size, other)) for at, w in ((mine, size), (theirs, other)))
+                ones_a, ones_b = ones(a), ones(b)
+                step = max(1, WORDS_AT_ONCE // b.size)
+                for low in range(0, len(mine), step):
+                    at, part = mine[low : low + step], slice(low, low + step)
+                    both = ones(a[part, None, :] & b[None, :, :])
+                    most = _most(n[at][:, None], n[theirs][None, :], ones_a[part, None], ones_b[None, :], both)
+                    i, j = np.nonzero((most >= percent - SLACK) & (group[at][:, None] != group[theirs][None, :]))
+                    yield at[i], theirs[j], most[i, j]
+
+    def of_short_lists(group, n, maps: _Bitmaps, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """The same of all pairs inside each of many short lists, some lists at a time."""
+        pairs = np.cumsum(sizes * (sizes - 1) // 2)
+        for some in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(pairs // PAIRS_AT_ONCE)) + 1):
+            place = np.concatenate([np.arange(s, s + m) for s, m in zip(starts[some], sizes[some], strict=True)])
+            behind = np.concatenate([np.arange(m - 1, -1, -1) for m in sizes[some]])
+            i = np.repeat(place, behind)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(behind) - behind, behind)
+            near = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+            at = np.flatnonzero(near & (group[i] != group[j]))
+            i, j = i[at], j[at]
+            kinds, kind = np.unique(np.stack([maps.width[i], maps.width[j]], axis=1), axis=0, return_inverse=True)
+            for k, (w, v) in enumerate(kinds.tolist()):
+                of = np.flatnonzero(kind.ravel() == k)
+                for low in range(0, len(of), step := max(1, 8 * WORDS_AT_ONCE // max(w, v))):
+                    x, y = i[of[low : low + step]], j[of[low : low + step]]
+                    a, b = maps.folded(x, w, min(w, v)), maps.folded(y, v, min(w, v))
+                    most = _most(n[x], n[y], ones(a), ones(b), ones(a & b))
+                    may = most >= percent - SLACK
+                    yield x[may], y[may], most[may]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("list", "ascending"), ("own", "ascending"), ("cls", "ascending")])
+        cls, group, n = (table[c].to_numpy() for c in ("cls", "component", "n"))
+        lists, own, maps = table["list"].to_numpy(), table["own"].to_numpy(), _Bitmaps(table["bits"].to_pylist())
+        edges = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
+        sizes = np.diff(np.r_[edges, len(lists)])
+        short = (sizes <= SHORT) & (table["blocks"][0].as_py() == 1)
+        found = list(of_short_lists(group, n, maps, edges[short], sizes[short])) if short.any() else []
+        for low, size in zip(edges[~short], sizes[~short], strict=True):
+            here = np.arange(low, low + size)
+            first = here[own[here] == own[low]]
+            rest = here[len(first) :]
+            found += of_blocks(group, n, maps, first, rest if len(rest) else first)
+        i, j, most = (np.concatenate([np.zeros(0, kind), *(pair[k] for pair in found)]) for k, kind in enumerate((np.int64, np.int64, float)))
+        pairs = np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], axis=1)
+        groups = np.stack([np.minimum(group[i], group[j]), np.maximum(group[i], group[j])], axis=1)
+        if best:
+            order = np.lexsort((pairs[:, 1], pairs[:, 0], -most, groups[:, 1], groups[:, 0]))
+            _, at = np.unique(groups[order], axis=0, return_index=True)
+            at = order[at]
+        else:
+            _, at = np.unique(pairs, axis=0, return_index=True)
+        columns = {"u": pairs[at, 0], "v": pairs[at, 1], "cu": groups[at, 0], "cv": groups[at, 1], "most": most[at]}
+        return pa.table(columns)
+
+    return run
+
+
+def _across(members: DataFrame, sizes: DataFrame, buckets: int, percent: int, block: int, best: bool = False) -> DataFrame:
+    """Pairs ``u, v`` of classes that share a list, lie in different components, and may reach the similarity.
+
+    ``members`` has ``list, cls, component``, ``sizes`` has ``cls, n, bits``.  Short lists
+    are compared whole, many to a task; a longer one is dealt into blocks, every two of
+    which meet in a task.  With ``best`` only the most promising pair of every two
+    components is returned.  Bitmaps join what is left of the lists, and are shuffled once.
+    """
+    mixed = members.groupBy("list").agg(F.count("*").alias("all"), F.min("component").alias("a"), F.max("component").alias("b"))
+    blocks = F.ceil(F.col("all") / block).cast("int").alias("blocks")
+    members = members.join(mixed.where("a < b").select("list", blocks), "list")
+    members = members.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    short = members.where("blocks = 1").select("*", F.pmod("list", F.lit(buckets)).alias("task"), F.lit(0).alias("a"), F.lit(0).alias("b"))
+    other = members.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    long = other.select("*", F.col("list").alias("task"), F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+    met = short.unionByName(long.drop("other")).join(sizes.select("cls", "n", "bits"), "cls")
+    met = met.select("task", "a", "b", "blocks", "list", "own", "cls", "component", "n", "bits")
+    found = met.groupBy("task", "a", "b", "blocks").applyInArrow(_compare(percent, best), "u long, v long, cu long, cv long, most double")
+    if best:
+        found = found.groupBy("cu", "cv").agg(F.max(F.struct("most", "u", "v")).alias("best")).select("best.u", "best.v")
+    return materialise(found.select("u", "v").distinct())
+
+
 class _Classes:
     """Set sizes and bitmaps of classes, and their shingles for the candidates."""
 
@@ -240,19 +373,17 @@ def _grouped(docs: DataFrame, percent: int, hot: int) -> DataFrame:
     joined = materialise(components(links))
 
     members = listed.where("list is not null").select("list", F.col("u").alias("cls")).distinct()
-    members = members.join(joined.withColumnRenamed("id", "cls"), "cls", "left")
-    members = members.select("list", "cls", F.coalesce("component", "cls").alias("component"))
-    members = materialise(members.join(classes.sizes.select("cls", "n"), "cls"))
-    mixed = members.groupBy("list").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
-    members = members.join(mixed.select("list"), "list", "left_semi")
-    left = members.select("list", F.col("cls").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"))
-    right = members.select("list", F.col("cls").alias("v"), F.col("component").alias("cv"), F.col("n").alias("nv"))
-    fits = 100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")
-    across = left.join(right, "list").where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & fits)
-    # Stars point from the smallest class of a list, so both orders of a pair are u < v.
-    across = across.select("u", "v", F.lit(1).cast("long").alias("n")).distinct()
-    across = across.join(stars.select("u", "v"), ["u", "v"], "left_anti")
-    links = links.unionByName(classes.linked(classes.possible(across)))
+    members = materialise(members)
+
+    def placed() -> DataFrame:
+        rows = members.join(joined.withColumnRenamed("id", "cls"), "cls", "left")
+        return materialise(rows.select("list", "cls", F.coalesce("component", "cls").alias("component")))
+
+    # One pair of every two components first: where it links, their other pairs need no look.
+    links = links.unionByName(classes.linked(_across(placed(), classes.sizes, buckets, percent, BLOCK, best=True)))
+    joined = materialise(components(links))
+    across = _across(placed(), classes.sizes, buckets, percent, BLOCK).join(stars.select("u", "v"), ["u", "v"], "left_anti")
+    links = links.unionByName(classes.linked(across))
     joined = components(links).withColumnRenamed("id", "cls")
 
     rows = keyed.select(*[f"`{c}`" for c in others], F.col("_id").alias("id")).join(own.drop("bits").dropDuplicates(["id"]), "id")

@@ -58,12 +58,110 @@ def test_quality_takes_all_labels(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     labels = spark.createDataFrame([(i, int(i % 2 == 0 or i >= n - 600)) for i in range(n)], "doc_id long, quality int")
     out = {r.text: r.llr for r in quality_rules(docs, labels).select("text", "llr").distinct().collect()}
-    # Four grams a text: two tokens, their pair, and the last token again as a pair without a second.
-    total = np.log((65536 + 4 * (n + 2)) / (65536 + 4 * (20_000 + 600)))
+    # Three grams a text: two tokens and their pair.
+    total = np.log((65536 + 3 * (n + 2)) / (65536 + 3 * (20_000 + 600)))
     raw, good = {"aa bb": n - 600 + 1, "cc dd": 600, "ee ff": 1}, {"aa bb": 20_000, "cc dd": 600, "ee ff": 0}
     for text, llr in out.items():
-        once, twice = (np.log((k * good[text] + 1) / (k * raw[text] + 1)) for k in (1, 2))
-        assert llr == pytest.approx((once + twice) / 2 + total, abs=1e-3)
+        assert llr == pytest.approx(np.log((good[text] + 1) / (raw[text] + 1)) + total, abs=1e-3)
+
+
+def test_quality_against_plain_python(spark):
+    """Counts, score, threshold and verdict of every row, computed one row at a time; bucket numbers are Spark's hashes."""
+    import math
+    import re
+    from collections import Counter
+
+    import regex
+    from pyspark.sql import functions as F
+
+    from docketlake.llm.quality import quality_rules
+
+    rng = random.Random(9)
+    good_words, bad_words = [f"good{i}" for i in range(60)], [f"bad{i}" for i in range(25)]
+    make = lambda words, n: rng.choice([" ", "\n", "\t"]).join(rng.choice(words) for _ in range(n))
+    texts = [make(good_words, rng.randint(20, 120)) for _ in range(60)] + [make(bad_words, rng.randint(60, 90)) for _ in range(40)]
+    texts += [make(good_words[:30] + bad_words, 80) for _ in range(40)]
+    texts += [None, "", " \n ", "one", "a b c " * 40, "x\nx\n#y|%\n\nx", "é ² 日本 " * 30]
+    rows = list(enumerate(texts)) + [(None, texts[0]), (3, texts[70]), (3, texts[3])]
+    labels = [(i, int(i < 60 or i % 7 == 0)) for i in range(100)] + [(5, 0), (None, 1), (900, 1), (101, None)]
+    kind = {}
+    for i, q in labels:
+        if i is not None and q is not None:
+            kind[i] = min(q, kind.get(i, 1))
+    token = regex.compile(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]+")
+    grams = []
+    for _, t in rows:
+        tokens = token.findall(t or "")
+        grams.append([(x,) for x in tokens] + list(zip(tokens, tokens[1:], strict=False)))
+    names = sorted({g for row in grams for g in row})
+    hashed = spark.createDataFrame([(g[0], g[1] if len(g) > 1 else None) for g in names], "x string, y string")
+    value = F.when(F.col("y").isNull(), F.xxhash64("x")).otherwise(F.xxhash64("x", "y"))
+    bucket = dict(zip(names, [r[0] for r in hashed.coalesce(1).select(F.pmod(value, F.lit(65536))).collect()], strict=True))
+    raw, trusted = Counter(), Counter()
+    for (i, _), row in zip(rows, grams, strict=True):
+        raw.update(bucket[g] for g in row)
+        if i is not None and kind.get(i) == 1:
+            trusted.update(bucket[g] for g in row)
+    shift = math.log((65536 + sum(raw.values())) / (65536 + sum(trusted.values())))
+    weight = {b: round(math.log((trusted[b] + 1) / (raw[b] + 1)) + shift, 4) for b in raw}
+    scores = [sum(weight[bucket[g]] for g in row) / len(row) if row else None for row in grams]
+    mean = lambda q: np.mean([s for (i, _), s in zip(rows, scores, strict=True) if s is not None and i is not None and kind.get(i) == q])
+    limit = (mean(1) + mean(0)) / 2
+    want = []
+    for (i, t), s in zip(rows, scores, strict=True):
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        windows = Counter(tuple(words[k : k + 3]) for k in range(len(words) - 2))
+        again = {k + d for k in range(len(words) - 2) if windows[tuple(words[k : k + 3])] > 1 for d in range(3)}
+        lines = [x for x in (t or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        failed = len(words) < 50 or 100 * len(again) > 50 * len(words)
+        numbers = (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(again))
+        want.append((str(i), numbers, failed, not failed and (s is None or s >= limit)))
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, good string, llr int").repartition(4)
+    found = quality_rules(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    got = [(str(r.doc_id), (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words), r.base_failed, r.kept) for r in found]
+    assert sorted(got) == sorted(want)
+    assert {True, False} == {r.kept for r in found if not r.base_failed}
+
+
+@pytest.mark.parametrize(("block", "short"), [(7, 64), (2048, 2), (2048, 64)])
+def test_documents_that_share_most_of_a_template(spark, block, short, monkeypatch):
+    """Pairs around the threshold in lists of many: about three quarters of the words are common to all."""
+    import re
+
+    from docketlake.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "SHORT", short)
+    monkeypatch.setattr(jaccard_join, "PAIRS_AT_ONCE", 500)
+    rng = random.Random(12)
+    template = [f"t{i}" for i in range(90)]
+    rows = []
+    for i in range(160):
+        words = template[: rng.choice([88, 89, 90])] + [f"own{rng.randint(0, 9 if i % 4 else 10**6)}x{k}" for k in range(rng.choice([8, 11, 14]))]
+        if i % 5 == 0:
+            words[rng.randint(0, 80)] = f"swap{rng.randint(0, 5)}"
+        rows.append((i, " ".join(words)))
+
+    def shingles(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+        return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = {i: find(i) for i in range(len(rows))}
+    found = jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.component_id for r in found} == want
+    assert 1 < len(set(want.values())) < len(rows)
 
 
 def test_pages_with_copies(spark):
