@@ -68,17 +68,28 @@ def id_cells(ids: DataFrame, column: str) -> DataFrame:
     return ids.select(id_cell(column).alias("_cell")).distinct()
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def _by_cell(df: DataFrame, column: str, cells: DataFrame, how: str) -> DataFrame:
+    cell = unused(df, "_cell")
+    marked = cells.select(F.col("_cell").alias(cell))
+    return df.withColumn(cell, id_cell(column)).join(F.broadcast(marked), cell, how).drop(cell)
+
+
 def with_ids(df: DataFrame, column: str, cells: DataFrame) -> DataFrame:
     """Rows whose id may be among those behind ``cells``; an exact join has to follow.
 
     It spares that join the shuffle of rows which cannot match.  The broadcast
     side is bounded by ``ID_CELLS`` rows.
     """
-    kept = df.withColumn("_cell", id_cell(column)).join(F.broadcast(cells), "_cell", "left_semi")
-    return kept.drop("_cell")
+    return _by_cell(df, column, cells, "left_semi")
 
 
 def without_ids(df: DataFrame, column: str, cells: DataFrame) -> DataFrame:
     """The rest: rows whose id is certainly not among those behind ``cells``."""
-    kept = df.withColumn("_cell", id_cell(column)).join(F.broadcast(cells), "_cell", "left_anti")
-    return kept.drop("_cell")
+    return _by_cell(df, column, cells, "left_anti")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import bound_batches, id_cells, materialise, shuffle_partitions, with_ids, without_ids
+from docketlake.llm.common import bound_batches, id_cells, materialise, shuffle_partitions, unused, with_ids, without_ids
 from docketlake.llm.components import components
 from docketlake.llm.shingle_sets import mix, most_common, set_hash, shingle_sets, signatures, sketch
 
@@ -421,10 +421,11 @@ def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = _grouped(docs.select("doc_id", "text"), percent, HOT)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")
     first = rows.where("n > 0").groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("size")).where("size > 1")
-    gone = rows.where("n > 0").join(first, "component").where(F.col("id") != F.col("first.id")).select(F.col("id").alias("_row")).distinct()
-    again = rows.groupBy(F.col("id").alias("_row")).count().where("count > 1").select("_row")
+    row = unused(docs, "_row")
+    gone = rows.where("n > 0").join(first, "component").where(F.col("id") != F.col("first.id")).select(F.col("id").alias(row)).distinct()
+    again = rows.groupBy(F.col("id").alias(row)).count().where("count > 1").select(row)
     gone = materialise(gone)
-    cells = materialise(id_cells(gone.union(again), "_row"))
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    checked = with_ids(keyed, "_row", cells).join(gone, "_row", "left_anti").dropDuplicates(["_row"])
-    return without_ids(keyed, "_row", cells).unionByName(checked).drop("_row")
+    cells = materialise(id_cells(gone.union(again), row))
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    checked = with_ids(keyed, row, cells).join(gone, row, "left_anti").dropDuplicates([row])
+    return without_ids(keyed, row, cells).unionByName(checked).drop(row)

@@ -51,6 +51,7 @@ def test_stages_of_odd_rows(spark, tmp_path):
         counts.append(docs.count())
         assert 0 < counts[-1] <= counts[-2], name
         kept = docs.collect()
+        assert {(r.n_words, r.kept, r.epoch, r._row) for r in kept} == {("more", 1, "e", 7)}, name
         if name == "quality rules":
             assert not {200, 201, 202} & {r.doc_id for r in kept} and len(kept) > 40
         if name == "n-gram Jaccard join":
