@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketlake.llm.common import materialise
@@ -14,14 +14,27 @@ from docketlake.llm.queries import domain_of, table
 from docketlake.llm.substring_dedup import remove_repeats
 
 
+def _aside(docs: DataFrame, *used: str) -> DataFrame:
+    """The columns a stage works on, and all others as one, out of reach of the names it makes."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*used, (F.struct(*others) if others else F.lit(None)).alias("_others"))
+
+
+def _restored(rows: DataFrame, docs: DataFrame, used: tuple[str, ...], new: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of ``docs`` again, with ``new`` values for some."""
+    own = {c: F.col(c) if c in used else F.col(f"_others.`{c}`") for c in docs.columns} | (new or {})
+    return rows.select(*[own[c].alias(c) for c in docs.columns])
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep.
 
     Null and blank texts go.  Repeated rows share their verdict, rows without an id have
     no label and are judged like others; labels that contradict each other count as bad.
     """
-    found = quality_rules(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
-    return found.where("kept").select(docs.columns)
+    used = ("doc_id", "text")
+    found = quality_rules(_aside(docs, *used), table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return _restored(found.where("kept"), docs, used)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +51,10 @@ def distinct_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Null and blank texts stay as they are.  Of rows that share an id, none is earlier.
     """
-    cut = remove_repeats(docs, as_text=True).where("n_bytes = 0 or trim(kept) <> ''")
+    used = ("doc_id", "text")
+    cut = remove_repeats(_aside(docs, *used), as_text=True).where("n_bytes = 0 or trim(kept) <> ''")
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
-    return cut.withColumns({c: v for c, v in new.items() if c in docs.columns}).select(docs.columns)
+    return _restored(cut, docs, used, {c: v for c, v in new.items() if c in docs.columns})
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +63,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A null source or language is one of its own; documents without words cost nothing.
     Rows of one id are taken or left together.
     """
-    return mix_sources(docs, domain_of("source"), share=0.95, max_epochs=1).select(docs.columns)
+    used = ("doc_id", "text", "lang", "source")
+    return _restored(mix_sources(_aside(docs, *used), domain_of("source"), share=0.95, max_epochs=1), docs, used)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
