@@ -16,16 +16,21 @@ which parity holds at its end, which settles where the fragments belong.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketlake.session import stored
 
+# Workers need not be able to import this package: what they run is sent by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 RECORD, TAIL, HEAD, SPLIT = range(4)
 _PIECES = pa.schema(
     [("kind", pa.int8()), ("file", pa.string()), ("block", pa.int64()), ("line", pa.int64()), ("value", pa.binary())]
