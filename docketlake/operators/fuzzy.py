@@ -26,14 +26,8 @@ def deletions(text: Column) -> Column:
     places = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
     once = F.transform(places, lambda i: without(text, i))
     # Behind the first deletion only, so that a pair of places is taken once.
-    twice = F.flatten(
-        F.transform(
-            places,
-            lambda i: F.transform(
-                F.sequence(i, F.greatest(F.length(text) - 1, i)), lambda j: without(without(text, i), j)
-            ),
-        )
-    )
+    behind = lambda i: F.sequence(i + 1, F.greatest(F.length(text) - 1, i + 1))
+    twice = F.flatten(F.transform(once, lambda t, i: F.transform(behind(i), lambda j: without(t, j))))
     return F.array_distinct(F.transform(F.concat(F.array(text), once, twice), lambda t: F.xxhash64(t)))
 
 
@@ -52,7 +46,8 @@ def fuzzy_join(values: DataFrame, patterns: DataFrame, value: str, pattern: str,
     heads = F.array_distinct(F.array(*[F.substring("_pattern", 1, HEAD + n) for n in near]))
     asked = right.select("_pattern", F.explode(heads).alias("_head"))
     asked = asked.select("_pattern", F.explode(deletions(F.col("_head"))).alias("_key")).distinct()
-    pairs = keyed.join(asked, "_key").select("_value", "_pattern").distinct()
+    # Sizes are estimated without the explosion, which would send the keys of all patterns through the driver.
+    pairs = keyed.join(asked.hint("merge"), "_key").select("_value", "_pattern").distinct()
     pairs = pairs.where(F.levenshtein("_value", "_pattern", DISTANCE) >= 0)
     found = values.withColumn("_value", fold(value)).join(pairs, "_value")
     return found.join(patterns.withColumn("_pattern", fold(pattern)), "_pattern").drop("_value", "_pattern")

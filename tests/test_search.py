@@ -252,3 +252,15 @@ def test_a_deep_page_is_read_between_two_keys(spark, tmp_path):
     assert [r.id for r in deep.collect()] == list(range(40_000, 40_010))
     plan = deep._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(id,40000)" in plan and "LessThan(id,40009)" in plan
+
+
+def test_keys_of_patterns_are_shuffled_however_small_they_look(spark):
+    """The explosion into keys is not in Spark's size estimates, so a broadcast of them is not bounded by its limit."""
+    from docketlake.operators.fuzzy import fuzzy_join
+
+    values = spark.createDataFrame([("smith",)], "v string")
+    patterns = spark.createDataFrame([("smyth",)], "p string")
+    rows = fuzzy_join(values, patterns, "v", "p")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [_key#" in plan and "BroadcastHashJoin [_key#" not in plan
+    assert [tuple(r) for r in rows.select("v", "p").collect()] == [("smith", "smyth")]
