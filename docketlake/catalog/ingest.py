@@ -151,18 +151,27 @@ def header_check_of_files(spark, folder):
     ).distinct()
 
 
-def _stray(spark, folder, compression):
-    """Opinions, each on one line, of which every hundredth has a stray quote in its text."""
+FILE_ROWS = 10_000  # documents of a written dump
+
+
+def _stray_dump(spark, folder, compression):
+    """A dump of opinions, each on one line, of which every hundredth has a stray quote in its text; a header leads each file."""
     tick, doc = F.lit("`"), F.col("doc_id")
     words = F.regexp_replace("text", r"[`\\\\\s]+", " ")
     stray = F.when(doc % 100 == 7, F.concat(F.lit("x`y"), words)).otherwise(words)
     line = F.concat(tick, text("doc_id"), F.lit("`,`020lead`,`"), stray, F.lit("`,`"), text("source"), F.lit("`,`1`"))
     docs = table(spark, folder, "documents")
-    header = spark.createDataFrame([(-1, "id,type,plain_text,sha1,cluster_id")], "doc_id bigint, value string")
-    rows = header.unionByName(docs.select("doc_id", line.alias("value"))).coalesce(1).sortWithinPartitions("doc_id")
+    files = max(1, -(-docs.count() // FILE_ROWS))
+    header = spark.range(files).select(
+        F.col("id").cast("int").alias("part"), F.lit(0).alias("place"), F.lit(None).cast("bigint").alias("doc_id"),
+        F.lit("id,type,plain_text,sha1,cluster_id").alias("value"),
+    )
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(files)).cast("int")
+    rows = header.unionByName(docs.select(part.alias("part"), F.lit(1).alias("place"), "doc_id", line.alias("value")))
+    rows = rows.repartitionById(files, "part").sortWithinPartitions("part", "place", "doc_id")
     path = scratch_path(spark, "stray")
-    rows.select("value").write.option("compression", compression).text(path)
-    return read_bulk(spark, path, "opinions")
+    rows.select("part", "value").write.partitionBy("part").option("compression", compression).text(path)
+    return f"{path}/*"
 
 
 STRAY = "SELECT doc_id AS id, source AS sha1 FROM documents WHERE doc_id <> 0 AND doc_id % 100 <> 7"
@@ -170,7 +179,7 @@ STRAY = "SELECT doc_id AS id, source AS sha1 FROM documents WHERE doc_id <> 0 AN
 
 def _behind_stray_quotes(spark, folder, compression):
     """What is read besides the damaged records."""
-    rows = good(project(_stray(spark, folder, compression), "opinions"))
+    rows = good(project(read_bulk(spark, _stray_dump(spark, folder, compression), "opinions"), "opinions"))
     return rows.where("id % 100 <> 7").select("id", "sha1")
 
 

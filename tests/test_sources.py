@@ -205,3 +205,17 @@ def test_json_records_and_manifest(spark, tmp_path):
     assert [(r.path.rsplit("/", 1)[1], r.text) for r in bad] == [("2.json", "{broken")]
     files = file_manifest(spark, str(tmp_path), "d").collect()
     assert {r.status for r in files} == {"pending"} and len(files) == 2
+
+
+def test_dumps_with_stray_quotes_are_written_and_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    from docketlake.catalog import ingest
+
+    monkeypatch.setattr(ingest, "FILE_ROWS", 50)
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"), F.lit("s").alias("source"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = ingest._behind_stray_quotes(spark, str(tmp_path), "none")
+    assert sorted(r.id for r in rows.collect()) == [i for i in range(1, 400) if i % 100 != 7]
+    written = spark.read.text(ingest._stray_dump(spark, str(tmp_path), "bzip2")).select("value", F.col("_metadata.file_path").alias("file"))
+    sizes = [r["count"] for r in written.groupBy("file").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 100 and sum(sizes) == 408
+    assert written.where("value like 'id,%'").count() == 8
