@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docketlake.functions.text import micros
 from docketlake.operators.ranges import CARRIED, RANGE, ROWS_PER_RANGE, Ranges, into_ranges, with_carried
+from docketlake.session import stored
 
 SAMPLES = 20  # fixed value: how many speeds enter the average
 
@@ -22,7 +23,7 @@ def _instant(log: DataFrame, rows_per_range: int, tie: list[str]) -> Ranges:
     seconds = (F.col("_us") - F.lag("_us").over(ranges.window)) / 1e6
     done = F.col("processed") - F.lag("processed").over(ranges.window)
     speeds = with_carried(ranges, 1).withColumn("speed", F.when(seconds > 0, done / seconds))
-    return ranges.holding(speeds.where(~F.col(CARRIED)).drop(CARRIED))
+    return ranges.holding(stored(speeds.where(~F.col(CARRIED)).drop(CARRIED), "speeds"))
 
 
 def instant_speed(log: DataFrame, tie: list[str] | None = None, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:

@@ -90,6 +90,19 @@ def test_ranges_smaller_than_what_is_carried(spark):
     assert with_carried(empty, 3).count() == 0
 
 
+def test_small_ranges_share_tasks_and_files(spark):
+    rows = spark.range(5000).select(F.lit("k").alias("key"), F.floor(F.col("id") / 3).alias("at"), "id")
+    ranges = into_ranges(rows, ["key"], ["at"], 10)
+    assert len(ranges.rows.inputFiles()) <= 4
+    sizes = [r["count"] for r in ranges.rows.groupBy(RANGE).count().collect()]
+    assert len(sizes) >= 400 and max(sizes) <= 12
+    assert ranges.rows.groupBy("at").agg(F.countDistinct(RANGE).alias("n")).where("n > 1").count() == 0
+    total = lambda w: F.sum("at").over(w.orderBy("at", "id").rowsBetween(-25, 0)).alias("s")
+    ranges = into_ranges(rows, ["key"], ["at", "id"], 10)
+    got = with_carried(ranges, 25).select("id", total(Window.partitionBy(RANGE)), "_carried").where("not _carried").drop("_carried")
+    assert got.exceptAll(rows.select("id", total(Window.partitionBy("key")))).count() == 0 and got.count() == 5000
+
+
 def test_eta_and_overall(spark):
     eta = lambda e, p, s: spark.range(1).select(P.eta_seconds(F.lit(e), F.lit(p), F.lit(s))).head()[0]
     assert (eta(100, 10, 4.0), eta(100, 100, 4.0), eta(100, 10, 0.0), eta(0, 1, 1.0)) == (22, 0, None, None)
