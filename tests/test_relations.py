@@ -266,3 +266,35 @@ def test_a_parent_with_many_children_nests_in_pages_of_bytes(spark):
     want = [i for i in range(100_000) if i % 10 or i % 7 == 3]
     assert ids(3) == want and len([k for k in got if k[0] == 3]) > 100
     assert ids(8) == [] and (8, 0) in got and sum(map(len, got.values())) == 100_000
+
+
+@pytest.mark.parametrize("most", [1_000_000, 3])
+def test_a_link_carries_one_row_for_all_its_seeds(spark, monkeypatch, most):
+    """Packed rows hold sparse and dense words, hubs are united in parts, and the levels are those of a plain search."""
+    from docketlake.operators import network as N
+
+    monkeypatch.setattr(N, "HUB_LINKS", most)
+    draw = random.Random(5)
+    edges = {(draw.randrange(300), 300 + draw.randrange(60)) for _ in range(900)} | {(i, 300) for i in range(300)}
+    citations = spark.createDataFrame([(a, b, 1, False) for a, b in edges], "citing_opinion_id long, cited_opinion_id long, depth int, quoted boolean")
+    seeds = spark.createDataFrame([(i,) for i in range(300)], "id long")
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    want = set()
+    for s in range(300):
+        seen, queue = {s: 0}, deque([s])
+        while queue:
+            at = queue.popleft()
+            for n in near[at] if seen[at] < 3 else ():
+                if n not in seen:
+                    seen[n] = seen[at] + 1
+                    queue.append(n)
+        want |= {(s, n, d) for n, d in seen.items()}
+    got = [tuple(r) for r in N.reachable(citations, seeds, 3).select("seed_id", "node", "depth").collect()]
+    assert len(got) == len(want) and set(got) == want
+    level = N.numbered(seeds).groupBy(F.lit(7).alias("node"), "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
+    packed = N._packed(level)
+    assert packed.count() == packed.select("chunk").distinct().count()
+    assert N._unpacked(packed).select("node", "word", "mask").exceptAll(level).count() == 0
