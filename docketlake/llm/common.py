@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 ID_CELLS = 1 << 18
 #: Rows of an Arrow batch where the session has Spark's default.
 BATCH_ROWS = 1_000
+#: Rows that a task writes of a table whose number of rows is bounded.
+ROWS_A_FILE = 20_000
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -29,8 +31,14 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, compression: str | None = None) -> DataFrame:
-    """Write ``df`` once and read it back: later stages neither repeat its work nor depend on one executor."""
+def materialise(df: DataFrame, compression: str | None = None, most_rows: int | None = None) -> DataFrame:
+    """Write ``df`` once and read it back: later stages neither repeat its work nor depend on one executor.
+
+    A table of at most ``most_rows`` narrow rows is written by as many tasks as these need, however
+    many partitions its last shuffle has.
+    """
+    if most_rows is not None:
+        df = df.coalesce(max(1, -(-most_rows // ROWS_A_FILE)))
     path = scratch_folder(df.sparkSession)
     df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -68,6 +76,11 @@ def id_cells(ids: DataFrame, column: str) -> DataFrame:
     return ids.select(id_cell(column).alias("_cell")).distinct()
 
 
+def stored_cells(ids: DataFrame, column: str) -> DataFrame:
+    """The cells of ``id_cells``, written once."""
+    return materialise(id_cells(ids, column), most_rows=ID_CELLS)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until no column of ``df`` has it."""
     while name in df.columns:

@@ -21,24 +21,26 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most_edges: int | None = None) -> DataFrame:
     """``(u, v)`` long pairs to ``(id, component)``: every id that has an edge, with the smallest id it reaches.
 
     Rounds alternate large and small stars until nothing changes; their number
     grows with the logarithm of the component size.  Each round is written, so
     lineage stays short and a lost executor repeats one round at most.  Minima
     are combined before they are shuffled and a hub's edges are a skewed join,
-    which adaptive execution splits.  No edges give no rows.
+    which adaptive execution splits.  No edges give no rows.  ``most_edges`` bounds the
+    rows of ``edges``, where that is known.
     """
     edges = edges.where("u is not null and v is not null and u <> v")
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges, seen = materialise(edges), None
+    edges, seen = materialise(edges, most_rows=most_edges), None
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
             break
         seen = state
-        edges = materialise(_small_star(_large_star(edges)))
+        # A star moves edges, it adds none.
+        edges = materialise(_small_star(_large_star(edges)), most_rows=state[0])
     leaves = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return leaves.unionByName(roots)

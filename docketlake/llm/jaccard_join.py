@@ -11,8 +11,8 @@ pairs of a list across components.  That loses no link that could join two
 components.  These last pairs are never rows: a list is cut into blocks, a task
 compares two blocks of it as matrices of sizes and bitmaps, which bound what two
 sets can share, and returns the pairs that both allow: first the most promising one
-of every two components, then, of components that this did not join, all.  Whole
-sets are only sent for those.
+of every two components, then, of components that this did not join, all, in the
+lists that had such pairs.  Whole sets are only sent for those, and built once.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import bound_batches, id_cells, materialise, shuffle_partitions, unused, with_ids, without_ids
+from docketlake.llm.common import bound_batches, materialise, shuffle_partitions, stored_cells, unused, with_ids, without_ids
 from docketlake.llm.components import components
 from docketlake.llm.shingle_sets import mix, most_common, set_hash, shingle_sets, signatures, sketch
 
@@ -43,6 +43,8 @@ SHORT = 64
 PAIRS_AT_ONCE = 1 << 18
 #: What rounding may take from a bound in percent.
 SLACK = 1e-9
+#: Set sizes are filed by their logarithm to this base; from so many steps on, the smaller has less than 3/4 of the larger.
+SIZE_BASE, FAR = 1.05, 7
 _FILED = np.dtype([("sig", "<u8"), ("cls", "<i8")])
 
 
@@ -97,7 +99,8 @@ def _file(hot, buckets: int):
                 seen.add(cls)
                 sig = signatures(shingles, value, uses)
                 rows = np.zeros(len(sig), _FILED)
-                rows["sig"], rows["cls"] = sig, cls
+                step = min(255, int(np.log(max(1, len(shingles))) / np.log(SIZE_BASE)))
+                rows["sig"], rows["cls"] = sig & ~np.uint64(255) | np.uint64(step), cls
                 filed.append(rows)
                 size += len(rows)
             if size >= COUNTED:
@@ -113,13 +116,18 @@ _LISTED = "list long, u long, v long, n long"
 
 
 def _lists(group: pa.Table) -> pa.Table:
-    """Star pairs of the lists of classes (``list`` null) with the number of lists, and the members of lists of three or more."""
+    """Star pairs of the lists of classes (``list`` null) with the number of lists, and the members of lists of three or more.
+
+    A list's classes are in the order of their sizes, and it is cut where they are too far apart to link.
+    The class that all others are paired with is not among the members: the star pairs are all it has there.
+    """
     rows = np.unique(np.frombuffer(b"".join(group["rows"].to_pylist()), _FILED))
-    fresh = np.r_[True, rows["sig"][1:] != rows["sig"][:-1]]
+    place, step = rows["sig"] >> np.uint64(8), (rows["sig"] & np.uint64(255)).astype(np.int64)
+    fresh = np.r_[True, (place[1:] != place[:-1]) | (step[1:] - step[:-1] >= FAR)]
     starts = np.flatnonzero(fresh)
     sizes = np.diff(np.r_[starts, len(rows)])
     several = np.repeat(sizes > 1, sizes)
-    cls, number = rows["cls"][several], np.repeat(np.arange(len(sizes)), sizes)[several]
+    cls, step, number = rows["cls"][several], step[several], np.repeat(np.arange(len(sizes)), sizes)[several]
     if not len(cls):
         return pa.table({n: pa.array([], pa.int64()) for n in ("list", "u", "v", "n")})
     begin = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
@@ -131,8 +139,9 @@ def _lists(group: pa.Table) -> pa.Table:
     chosen[first] = True
     at = np.repeat(chosen, size)
     pivot = np.repeat(cls[begin], size)
-    pairs, shared = np.unique(np.stack([pivot, cls], axis=1)[pivot != cls], axis=0, return_counts=True)
-    longer = at & np.repeat(size > 2, size)
+    near = (pivot != cls) & (step - np.repeat(step[begin], size) < FAR)
+    pairs, shared = np.unique(np.stack([pivot, cls], axis=1)[near], axis=0, return_counts=True)
+    longer = at & np.repeat(size > 2, size) & (pivot != cls)
     lists = np.repeat(name, size)[longer]
     none = pa.nulls(len(pairs), pa.int64())
     return pa.table(
@@ -274,18 +283,24 @@ def _compare(percent: int, best: bool):
         else:
             _, at = np.unique(pairs, axis=0, return_index=True)
         columns = {"u": pairs[at, 0], "v": pairs[at, 1], "cu": groups[at, 0], "cv": groups[at, 1], "most": most[at]}
-        return pa.table(columns)
+        rows = pa.table(columns).append_column("list", pa.nulls(len(at), pa.int64()))
+        if not best:
+            return rows
+        hits = np.unique(lists[i])
+        none = {name: pa.nulls(len(hits), rows.schema.field(name).type) for name in columns}
+        return pa.concat_tables([rows, pa.table({**none, "list": hits})])
 
     return run
 
 
-def _across(members: DataFrame, sizes: DataFrame, buckets: int, percent: int, block: int, best: bool = False) -> DataFrame:
+def _across(members: DataFrame, sizes: DataFrame, buckets: int, percent: int, block: int, best: bool = False) -> tuple[DataFrame, DataFrame]:
     """Pairs ``u, v`` of classes that share a list, lie in different components, and may reach the similarity.
 
     ``members`` has ``list, cls, component``, ``sizes`` has ``cls, n, bits``.  Short lists
     are compared whole, many to a task; a longer one is dealt into blocks, every two of
     which meet in a task.  With ``best`` only the most promising pair of every two
-    components is returned.  Bitmaps join what is left of the lists, and are shuffled once.
+    components is returned, and beside the pairs each ``list`` that has any.  Bitmaps join
+    what is left of the lists, and are shuffled once.
     """
     mixed = members.groupBy("list").agg(F.count("*").alias("all"), F.min("component").alias("a"), F.max("component").alias("b"))
     blocks = F.ceil(F.col("all") / block).cast("int").alias("blocks")
@@ -296,17 +311,19 @@ def _across(members: DataFrame, sizes: DataFrame, buckets: int, percent: int, bl
     long = other.select("*", F.col("list").alias("task"), F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
     met = short.unionByName(long.drop("other")).join(sizes.select("cls", "n", "bits"), "cls")
     met = met.select("task", "a", "b", "blocks", "list", "own", "cls", "component", "n", "bits")
-    found = met.groupBy("task", "a", "b", "blocks").applyInArrow(_compare(percent, best), "u long, v long, cu long, cv long, most double")
+    shape = "u long, v long, cu long, cv long, most double, list long"
+    found = materialise(met.groupBy("task", "a", "b", "blocks").applyInArrow(_compare(percent, best), shape))
+    pairs, hits = found.where("list is null"), found.where("list is not null").select("list").distinct()
     if best:
-        found = found.groupBy("cu", "cv").agg(F.max(F.struct("most", "u", "v")).alias("best")).select("best.u", "best.v")
-    return materialise(found.select("u", "v").distinct())
+        pairs = pairs.groupBy("cu", "cv").agg(F.max(F.struct("most", "u", "v")).alias("best")).select("best.u", "best.v")
+    return pairs.select("u", "v").distinct(), hits
 
 
 class _Classes:
     """Set sizes and bitmaps of classes, and their shingles for the candidates."""
 
     def __init__(self, docs: DataFrame, described: DataFrame, percent: int) -> None:
-        self.docs, self.percent = docs, percent
+        self.docs, self.percent, self.sets = docs, percent, None
         self.sizes = materialise(described.groupBy("cls").agg(F.min("n").alias("n"), F.min("id").alias("id"), F.min("bits").alias("bits")))
 
     def possible(self, pairs: DataFrame) -> DataFrame:
@@ -317,15 +334,30 @@ class _Classes:
         both = pairs.join(a, "u").join(b, "v").where(fits)
         return materialise(both.mapInArrow(_may_link(self.percent), "u long, v long, n long"))
 
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that reach the similarity, by their whole sets."""
-        pairs = materialise(pairs.select("u", "v"))
-        used = pairs.select(F.col("u").alias("cls")).union(pairs.select("v")).distinct()
-        wanted = materialise(self.sizes.join(used, "cls").select("cls", "id"))
-        texts = with_ids(self.docs, "id", materialise(id_cells(wanted, "id")))
+    def _shingles(self, used: DataFrame, most: int) -> DataFrame:
+        """Shingles of the ``used`` classes and maybe others; those of a class are read from its text once."""
+        wanted = self.sizes.join(used, "cls").select("cls", "id")
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select("cls"), "cls", "left_anti")
+        wanted = materialise(wanted, most_rows=most)
+        if wanted.isEmpty():
+            return with_ids(self.sets, "cls", stored_cells(used, "cls"))
+        texts = with_ids(self.docs, "id", stored_cells(wanted, "id"))
         texts = texts.join(wanted.select("id").distinct(), "id", "left_semi").select("text")
         sets = texts.mapInArrow(_sets, "cls long, shingles binary").dropDuplicates(["cls"])
         sets = materialise(sets.join(wanted.select("cls"), "cls", "left_semi"))
+        if self.sets is None:
+            self.sets = sets
+            return sets
+        self.sets = self.sets.unionByName(sets)
+        return with_ids(self.sets, "cls", stored_cells(used, "cls"))
+
+    def linked(self, pairs: DataFrame, most: int | None) -> DataFrame:
+        """The pairs that reach the similarity, by their whole sets; ``pairs`` has at most ``most`` rows."""
+        pairs = materialise(pairs.select("u", "v"), most_rows=most)
+        if not (n := pairs.count()):
+            return pairs
+        sets = self._shingles(pairs.select(F.col("u").alias("cls")).union(pairs.select("v")).distinct(), 2 * n)
         a = sets.select(F.col("cls").alias("u"), F.col("shingles").alias("a"))
         b = sets.select(F.col("cls").alias("v"), F.col("shingles").alias("b"))
         return materialise(pairs.join(a, "u").join(b, "v").mapInArrow(_verify(self.percent), "u long, v long"))
@@ -339,6 +371,11 @@ def _hot_shingles(described: DataFrame, bound: int) -> tuple[np.ndarray, np.ndar
     return value[order], np.array([r.n for r in rows], np.int64)[order]
 
 
+def _joined(links: DataFrame) -> DataFrame:
+    number = links.count()
+    return materialise(components(links, number), most_rows=2 * number)
+
+
 def _grouped(docs: DataFrame, percent: int, hot: int) -> DataFrame:
     """The columns of ``docs`` but ``text``, with a row key ``id`` (of ``doc_id`` and text), set size ``n`` and ``component``."""
     if percent < PERCENT:
@@ -361,30 +398,36 @@ def _grouped(docs: DataFrame, percent: int, hot: int) -> DataFrame:
 
     classes = _Classes(plain, own, percent)
     stars = classes.possible(listed.where("list is null").groupBy("u", "v").agg(F.sum("n").alias("n")))
+    number = stars.count()
     best = stars.groupBy("v").agg(F.max(F.struct("n", "u")).alias("best")).select("best.u", "v")
-    links = classes.linked(best)
-    joined = materialise(components(links))
+    links = classes.linked(best, number)
+    joined = _joined(links)
     # Pairs inside a component cannot join anything.
     rest = stars.select("u", "v")
     for end in ("u", "v"):
         group = joined.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
         rest = rest.join(group, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-    links = links.unionByName(classes.linked(rest.where("cu <> cv")))
-    joined = materialise(components(links))
+    links = links.unionByName(classes.linked(rest.where("cu <> cv"), number))
+    joined = _joined(links)
 
-    members = listed.where("list is not null").select("list", F.col("u").alias("cls")).distinct()
-    members = materialise(members)
+    members = listed.where("list is not null").select("list", F.col("u").alias("cls"))
+    size = members.count()
+    members = materialise(members.distinct(), most_rows=size)
 
-    def placed() -> DataFrame:
+    def placed(members: DataFrame) -> DataFrame:
         rows = members.join(joined.withColumnRenamed("id", "cls"), "cls", "left")
-        return materialise(rows.select("list", "cls", F.coalesce("component", "cls").alias("component")))
+        return materialise(rows.select("list", "cls", F.coalesce("component", "cls").alias("component")), most_rows=size)
 
     # One pair of every two components first: where it links, their other pairs need no look.
-    links = links.unionByName(classes.linked(_across(placed(), classes.sizes, buckets, percent, BLOCK, best=True)))
-    joined = materialise(components(links))
-    across = _across(placed(), classes.sizes, buckets, percent, BLOCK).join(stars.select("u", "v"), ["u", "v"], "left_anti")
-    links = links.unionByName(classes.linked(across))
-    joined = components(links).withColumnRenamed("id", "cls")
+    pairs, hits = _across(placed(members), classes.sizes, buckets, percent, BLOCK, best=True)
+    links = links.unionByName(classes.linked(pairs, size))
+    # Components have only grown, so that other lists have no such pairs now either.
+    members = materialise(members.join(hits, "list", "left_semi"), most_rows=size)
+    if not members.isEmpty():
+        joined = _joined(links)
+        pairs, _ = _across(placed(members), classes.sizes, buckets, percent, BLOCK)
+        links = links.unionByName(classes.linked(pairs.join(stars.select("u", "v"), ["u", "v"], "left_anti"), None))
+    joined = components(links, links.count()).withColumnRenamed("id", "cls")
 
     rows = keyed.select(*[f"`{c}`" for c in others], F.col("_id").alias("id")).join(own.drop("bits").dropDuplicates(["id"]), "id")
     return materialise(rows.join(joined, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
@@ -424,8 +467,8 @@ def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     row = unused(docs, "_row")
     gone = rows.where("n > 0").join(first, "component").where(F.col("id") != F.col("first.id")).select(F.col("id").alias(row)).distinct()
     again = rows.groupBy(F.col("id").alias(row)).count().where("count > 1").select(row)
-    gone = materialise(gone)
-    cells = materialise(id_cells(gone.union(again), row))
+    gone = materialise(gone, most_rows=rows.count())
+    cells = stored_cells(gone.union(again), row)
     keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
     checked = with_ids(keyed, row, cells).join(gone, row, "left_anti").dropDuplicates([row])
     return without_ids(keyed, row, cells).unionByName(checked).drop(row)

@@ -178,3 +178,39 @@ def test_pages_with_copies(spark):
         assert got[0] == f"{run('own0x', 20)} {quote}" and got[1] == f"{run('own1x', 20)} {quote}" and got[5] == run("own5x", 20)
         assert all(got[10 + i] == body + " more" * (i // 2) for i in range(4))
         assert all(got[20 + i] == f"{body} print{i}" for i in range(2))
+
+
+def test_lists_leave_out_what_cannot_link():
+    """Sets of one list whose sizes are too far apart are no candidates; the rest is, and bits of a size are no part of a list's name."""
+    import numpy as np
+    import pyarrow as pa
+
+    from docketlake.llm.jaccard_join import _FILED, _file, _lists
+
+    class Hot:
+        value = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    texts = [" ".join(f"w{k}" for k in range(n)) for n in (4, 4, 104, 105, 106, 204)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    filed = np.concatenate([np.frombuffer(b, _FILED) for out in _file(Hot, 1)([batch]) for b in out.column("rows").to_pylist()])
+    size = {c: len(set(filed["sig"][filed["cls"] == c] & np.uint64(255))) for c in set(filed["cls"].tolist())}
+    assert len(size) == 5 and set(size.values()) == {1}
+    step = [0, 3, 6, 7, 20, 21]
+    rows = np.zeros(6, _FILED)
+    rows["sig"], rows["cls"] = (9 << 8) + np.array(step), np.arange(6) + 10
+    found = _lists(pa.table({"rows": [rows.tobytes()]})).to_pylist()
+    assert {(r["u"], r["v"]) for r in found if r["list"] is None} == {(10, 11), (10, 12), (14, 15)}
+    assert sorted(r["u"] for r in found if r["list"] is not None) == [11, 12, 13]
+
+
+def test_small_tables_are_written_by_few_tasks(spark):
+    from docketlake.llm.common import ROWS_A_FILE, materialise
+    from docketlake.llm.components import components
+
+    rows = spark.range(200).repartition(16)
+    assert len(materialise(rows, most_rows=200).inputFiles()) == 1
+    assert len(materialise(rows, most_rows=3 * ROWS_A_FILE).inputFiles()) == 3
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60, 2)] + [(1, 2), (3, 5)], "u long, v long").repartition(16)
+    found = components(edges, 32)
+    assert len(found.inputFiles()) == 1
+    assert {r.id: r.component for r in found.where("id < 8").collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 6, 7: 6}
