@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import bound_batches, id_cell, id_cells, materialise, shuffle_partitions, with_ids, without_ids
+from docketlake.llm.common import bound_batches, id_cell, materialise, shuffle_partitions, stored_cells, with_ids, without_ids
 from docketlake.llm.repeat_index import GRAM, earlier_windows, gram_hashes, parse
 
 WINDOW = 100
@@ -211,7 +211,7 @@ def _window_hashes(window: int):
 def _keyed(docs: DataFrame, id_: str, doc: str) -> DataFrame:
     """``docs`` with a ``doc``: a hash of the text where its ``id_`` may be that of several rows, else 0."""
     again = materialise(docs.groupBy(id_).count().where("count > 1").select(id_))
-    cells = materialise(id_cells(again, id_)).withColumn("_several", F.lit(True))
+    cells = stored_cells(again, id_).withColumn("_several", F.lit(True))
     marked = docs.withColumn("_cell", id_cell(id_)).join(F.broadcast(cells), "_cell", "left")
     return marked.withColumn(doc, F.when(F.col("_several"), F.xxhash64("text")).otherwise(F.lit(0))).drop("_cell", "_several")
 
@@ -229,7 +229,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, most_contexts: int =
 
     open_ = marks.where(F.col("kind") != REMOVE)
     wanted = open_.groupBy("id", "doc").agg(F.collect_list(F.struct("start", "count", "key", "kind")).alias("wanted"))
-    cells = materialise(id_cells(open_, "id"))
+    cells = stored_cells(open_, "id")
     texts = with_ids(docs, "id", cells)
     shape = "id long, doc long, start long, count int, key long, kind int, context binary"
     contexts = materialise(texts.join(wanted, ["id", "doc"]).select("id", "doc", "text", "wanted").mapInArrow(_contexts(window), shape))
@@ -297,7 +297,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, most_contexts: int = M
     found = repeated_windows(docs.select(F.col("_id").alias("id"), F.col("_doc").alias("doc"), "text"), window, most_contexts)
     spans = found.groupBy(F.col("id").alias("_id"), F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("start", "count")).alias("_spans"))
     spans = materialise(spans)
-    cells = materialise(id_cells(spans, "_id"))
+    cells = stored_cells(spans, "_id")
     whole = without_ids(docs, "_id", cells).withColumn("_spans", F.lit(None).cast(spans.schema["_spans"].dataType))
     cut = with_ids(docs, "_id", cells).join(spans, ["_id", "_doc"], "left").select(whole.columns)
     out = whole.unionByName(cut).withColumn("_kept", _kept(window, as_text)("text", "_spans"))
