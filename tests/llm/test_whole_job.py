@@ -214,3 +214,24 @@ def test_small_tables_are_written_by_few_tasks(spark):
     found = components(edges, 32)
     assert len(found.inputFiles()) == 1
     assert {r.id: r.component for r in found.where("id < 8").collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 6, 7: 6}
+
+
+def test_articles_lose_blocks_that_their_host_repeats(spark):
+    """Blocks of an article that are boilerplate of the host outside articles go as a whole; what articles share stays."""
+    from docketlake.llm.html_extraction import extract_text
+
+    run = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    notice, shared = run("notice", 20), run("shared", 30)
+    end = f"<div class='notice'>{notice}</div>"
+    page = lambda i, more, foot="": f"<article><p>{run(f'own{i}x', 20)}</p>{more}</article>{foot}"
+    rows = [(i, f"http://h/{i}", page(i, f"<p>{shared}</p>", end)) for i in range(4)]
+    rows += [(4, "http://h/4", page(4, f"<p>{notice}</p><p>last</p>")), (5, "http://h/5", page(5, f"<p>{notice} and more</p>"))]
+    rows += [(6, "http://h/6", page(6, f"<p>{run('notice', 7)}</p>")), (7, "http://h/7", page(7, f"<p>{run('notice', 9)} {notice}</p>"))]
+    rows += [(8, "http://other/8", page(8, f"<p>{notice}</p>")), (9, "http://h/9", page(9, f"<p>{notice}</p>")), (9, "http://h/9", page(9, f"<p>{notice}</p>"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: [run(f"own{i}x", 20), shared] for i in range(4)} | {i: [run(f"own{i}x", 20)] for i in (4, 7, 9)}
+    want |= {4: [run("own4x", 20), "last"], 5: [run("own5x", 20), f"{notice} and more"]}
+    want |= {6: [run("own6x", 20), run("notice", 7)], 8: [run("own8x", 20), notice]}
+    for host_tokens in (10, 10**6):
+        got = extract_text(df, host_tokens=host_tokens).collect()
+        assert len(got) == len(rows) and {r.page_id: r.text for r in got} == {i: "\n\n".join(b) for i, b in want.items()}
