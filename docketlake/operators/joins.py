@@ -14,9 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketlake.functions.text import join_present
-from docketlake.operators.court_records import record_text
+from docketlake.operators.court_records import UNKNOWN, record_text
 from docketlake.operators.ranges import RANGE, ROWS_PER_RANGE, into_ranges
 
+#: Parts of the records without a case number.
+BLANK_PARTS = 256
+
 
 def children_of(table: DataFrame, foreign_key: str, parent_ids: DataFrame | list) -> DataFrame:
     """Rows of a child table that belong to the given parents."""
@@ -179,15 +182,23 @@ def attach_case_data(records: DataFrame, courts: DataFrame, dockets: DataFrame)
     """Records with ``court`` (by court code) and ``docket`` (by case number) structs.
 
     Several dockets may share a number; the one with the smallest id is taken.
+    Many records have no number: those are dealt to ``BLANK_PARTS`` parts, each of
+    which meets the one docket that a blank number may have.
     """
     court = courts.select(F.col("id").alias("_court"), F.struct("*").alias("court"))
     docket = dockets.groupBy(F.col("docket_number").alias("_number")).agg(
         F.min_by(F.struct("*"), "id").alias("docket")
     )
+    blank = lambda number: F.coalesce(F.trim(number), F.lit("")).isin("", UNKNOWN)
+    parts = F.when(blank("_number"), F.sequence(F.lit(0), F.lit(BLANK_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    docket = docket.withColumn("_docket_part", F.explode(parts))
+    number = F.col("case_metadata.case_number")
+    part = F.when(blank(number), F.pmod(F.xxhash64("record_id"), F.lit(BLANK_PARTS)).cast("int")).otherwise(0)
     return (
         records.join(court, F.col("court_identifier.court_code") == F.col("_court"), "left")
-        .join(docket, F.col("case_metadata.case_number") == F.col("_number"), "left")
-        .drop("_court", "_number")
+        .withColumn("_part", part)
+        .join(docket, (number == F.col("_number")) & (F.col("_part") == F.col("_docket_part")), "left")
+        .drop("_court", "_number", "_part", "_docket_part")
     )
 
 

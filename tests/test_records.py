@@ -95,6 +95,29 @@ def test_case_data_and_enhanced_text(spark, records):
     assert find("second Case") == ["r2"] and find("hidden") == ["r2"] and find("hidden", 1000) == [] and find("ninth smith") == ["r1"] and len(find("")) == 3
 
 
+def test_records_without_a_number_are_dealt_to_many_tasks(spark):
+    numbers = ["", " ", None, "Unknown", "n1"]
+    rows = [(line(id=f"r{i}", case_number=numbers[i % 5]),) for i in range(1000)]
+    records = to_records(spark.createDataFrame(rows, "columns array<string>"))
+    courts = spark.createDataFrame([("cou", "Ninth")], "id string, full_name string")
+    named = [(7, "", "blank"), (5, "", "first blank"), (1, " ", "space"), (2, "Unknown", "unknown"), (3, "n1", "n"), (4, None, "null")]
+    dockets = spark.createDataFrame(named, "id long, docket_number string, case_name string")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        attached = J.attach_case_data(records, courts, dockets)
+        assert attached.columns == [*records.columns, "court", "docket"]
+        found = attached.select("record_id", "docket.case_name", F.spark_partition_id().alias("task"), "case_metadata.case_number").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = {"": "first blank", " ": "space", None: None, "Unknown": "unknown", "n1": "n"}
+    assert len(found) == 1000 and all(r.case_name == want[r.case_number] for r in found)
+    assert len({r.task for r in found if r.case_number != "n1"}) > 8
+
+
 def test_datasets(spark):
     rows = [("a", "f1", 5, "downloaded", None), ("a", "f2", 2**30, "downloaded", None), ("b", "f", 0, "error", "boom"), ("c", "f", 1, "pending", None), ("d", "f", 1, "downloaded", None)]
     manifest = spark.createDataFrame(rows, "dataset_id string, path string, size long, status string, error_message string")
