@@ -88,11 +88,6 @@ def repeated_starts(symbols: np.ndarray, pages: np.ndarray, classes: np.ndarray,
     return order[np.repeat(several, np.diff(np.r_[starts, len(order)]))], order[starts[several]]
 
 
-def repeated_tokens(symbols: np.ndarray, pages: np.ndarray, classes: np.ndarray, length: int = MIN_TOKENS) -> np.ndarray:
-    """Tokens covered by a substring of at least ``length`` tokens that occurs on enough different pages."""
-    return _covered(len(symbols), repeated_starts(symbols, pages, classes, length)[0], length)
-
-
 def _covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, starts, 1)
