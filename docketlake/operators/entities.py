@@ -100,6 +100,25 @@ def required_errors(e: Entity, column: callable = F.col) -> list[Column]:
     return checks
 
 
+def _parsed(f: Field, source: Column, d: Dialect) -> Column:
+    return _strict(f, source) if d.strict else _lenient(f, source, d.wrapped)
+
+
+def _typed(f: Field, parsed: Column, d: Dialect) -> Column:
+    default_ok = not d.strict or f.kind == "bool" or f.name == "citation_count"
+    if f.default is not None and default_ok:
+        parsed = F.coalesce(parsed, F.lit(f.default))
+    return parsed.cast(KIND_TYPES[f.kind])
+
+
+def fixed_columns(data_type: str | Entity, available: list[str], dialect: str | Dialect = "backtick") -> dict[str, Column]:
+    """What ``project`` puts into the columns that the input lacks, one value for all rows; keys are left out."""
+    e = entity(data_type)
+    d = DIALECTS[dialect] if isinstance(dialect, str) else dialect
+    absent = [f for f in e.fields if f.name not in e.key and not {f.name, *f.aliases} & set(available)]
+    return {f.name: _typed(f, _parsed(f, _source_column(f, available), d), d).alias(f.name) for f in absent}
+
+
 def project(raw: DataFrame, data_type: str | Entity, dialect: str | Dialect = "backtick") -> DataFrame:
     """All typed columns of an entity plus ``errors``; no row is dropped.
 
@@ -112,15 +131,12 @@ def project(raw: DataFrame, data_type: str | Entity, dialect: str | Dialect = "b
     typed, conversions = {}, {}
     for f in e.fields:
         source = _source_column(f, available)
-        parsed = _strict(f, source) if d.strict else _lenient(f, source, d.wrapped)
+        parsed = _parsed(f, source, d)
         if d.strict and f.required:
             message = _conversion_error(f, source, parsed)
             if message is not None:
                 conversions[f.name] = message
-        default_ok = not d.strict or f.kind == "bool" or f.name == "citation_count"
-        if f.default is not None and default_ok:
-            parsed = F.coalesce(parsed, F.lit(f.default))
-        typed[f.name] = parsed.cast(KIND_TYPES[f.kind])
+        typed[f.name] = _typed(f, parsed, d)
     extra = [c for c in available if c.startswith("_") and c != CORRUPT]
     conversion_errors = list(conversions.values())
     if CORRUPT in available:

@@ -195,7 +195,8 @@ def cut_records(lines: DataFrame, quote: str = "`", joiner: str = "\n") -> DataF
     whole = pieces.where(F.col("kind") == RECORD).select(
         "file", place(F.col("line")).alias("record"), F.col("value").cast("string").alias("value")
     )
-    return whole.unionByName(stitched).withColumn("value", F.regexp_replace("value", r"\r\z", ""))
+    bare = F.regexp_replace("value", r"\r\z", "")
+    return whole.unionByName(stitched).withColumn("value", F.when(F.endswith("value", F.lit("\r")), bare).otherwise(F.col("value")))
 
 
 def stitch_records(

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from docketlake.operators.entities import good, project, rejected
+from docketlake.operators.entities import fixed_columns, good, project, rejected
 from docketlake.operators.tables import latest_rows, merge, read_table, upsert
 from docketlake.schemas import entity
 from docketlake.sources.bulk import DIALECTS, Dialect, drop_blank_keys, parse_records
@@ -95,12 +95,19 @@ def batch_writer(
     def write(batch: DataFrame, batch_id: int) -> None:
         raw = batch_records(batch, data_type, dialect, columns, required)
         typed = project(drop_blank_keys(raw, e), data_type, dialect)
-        typed = typed.withColumn("_seq", F.struct("_file", "_record")).drop("_file", "_record")
+        # Columns that the files lack hold one value each; they are neither kept nor shuffled, only written.
+        fixed = fixed_columns(e, raw.columns, dialect)
+        names = typed.columns
+        typed = typed.withColumn("_seq", F.struct("_file", "_record")).drop("_file", "_record", *fixed)
         typed.persist()
+
+        def whole(rows: DataFrame) -> DataFrame:
+            return rows.select(*[fixed.get(c, F.col(c)) for c in names if c in fixed or c in rows.columns])
+
         try:
             fresh = latest_rows(good(typed), key, [F.col("_seq").desc()]).drop("_seq")
-            fresh.write.mode("overwrite").parquet(f"{paths.changes(data_type)}/batch_id={batch_id}")
-            rejected(typed).drop("_seq").write.mode("overwrite").parquet(
+            whole(fresh).write.mode("overwrite").parquet(f"{paths.changes(data_type)}/batch_id={batch_id}")
+            whole(rejected(typed).drop("_seq")).write.mode("overwrite").parquet(
                 f"{paths.rejects(data_type)}/batch_id={batch_id}"
             )
             bad = F.size("errors") > 0

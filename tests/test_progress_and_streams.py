@@ -9,6 +9,7 @@ from docketlake.operators import progress as P
 from docketlake.operators.ranges import RANGE, into_ranges, with_carried
 from docketlake.operators.stats import estimated_records, import_totals, indexed_fields, volume
 from docketlake.operators.tables import read_table
+from docketlake.schemas import entity
 from docketlake.streaming import ingest as S
 
 from test_sources import dump
@@ -167,6 +168,24 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     assert spark.read.parquet(S.IngestPaths(str(tmp_path)).rejects("dockets")).count() == 1
 
 
+def test_columns_that_files_lack_are_written_but_not_kept(spark, tmp_path, monkeypatch):
+    paths, kept = S.IngestPaths(str(tmp_path)), []
+    lines = dump([("1", "c", "n", "d"), ("1", "c", "m", "d"), ("2", "c", "", "d")], HEADER).splitlines()
+    batch = spark.createDataFrame([(v, "f", 0) for v in lines], "value string, file string, block bigint").coalesce(1)
+    persist = type(batch).persist
+    monkeypatch.setattr(type(batch), "persist", lambda df, *level: kept.append(df.columns) or persist(df, *level))
+    S.batch_writer(paths, "dockets", "backtick")(batch, 0)
+    assert [set(c) for c in kept] == [{"id", "court_id", "case_name", "docket_number", "errors", "_seq"}]
+    good, bad = (spark.read.parquet(f"{p('dockets')}/batch_id=0") for p in (paths.changes, paths.rejects))
+    assert good.columns == entity("dockets").columns and bad.columns == [*entity("dockets").columns, "errors"]
+    assert dict(good.dtypes) == {f.name: f.dataType.simpleString() for f in entity("dockets").schema()}
+    blank = {f.name: "" if f.kind == "string" else f.default for f in entity("dockets").fields}
+    assert [r.asDict() for r in good.collect()] == [{**blank, "id": 1, "court_id": "c", "case_name": "m", "docket_number": "d"}]
+    assert [r.asDict() for r in bad.collect()] == [
+        {**blank, "id": 2, "court_id": "c", "docket_number": "d", "errors": ["Case name is required"]}
+    ]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from docketlake.operators.entities import project
     from docketlake.sources import read_bulk
