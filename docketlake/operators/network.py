@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketlake.operators.reach import distances
 from docketlake.session import stored
 
 CITING, CITED = "citing_opinion_id", "cited_opinion_id"
 
 
-@dataclass
-class Network:
-    """``nodes(seed_id, node, depth)`` and ``edges(seed_id, citing, cited, depth, quoted)``."""
-
-    nodes: DataFrame
-    edges: DataFrame
-    visited: DataFrame
-
-
 #: Words of a packed row, and links into a node that one task unites.
 CHUNK_WORDS = 1024
 HUB_LINKS = 1_000_000
@@ -139,8 +131,53 @@ def by_seed(masks: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def reachable(citations: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """Opinions within ``depth`` undirected hops of each seed, with the hop count."""
-    places = numbered(seeds)
-    return by_seed(seed_masks(citations, places, depth), places).select("seed_id", "node", "depth")
+    return distances(citations, seeds, depth).select("seed_id", "node", "depth")
+
+
+class Network:
+    """``nodes(seed_id, node, depth)``, ``edges(seed_id, citing, cited, depth, quoted)`` and all that is ``visited``.
+
+    Each is searched for when it is asked for: nodes and edges by bitmaps, which seeds share
+    over every edge, and the rows of ``visited`` by lists of ids.
+    """
+
+    def __init__(self, citations: DataFrame, seeds: DataFrame, depth: int, opinions: DataFrame | None):
+        self.citations, self.seeds, self.depth, self.opinions = citations, seeds, depth, opinions
+
+    @cached_property
+    def places(self) -> DataFrame:
+        return numbered(self.seeds)
+
+    @cached_property
+    def masks(self) -> DataFrame:
+        return seed_masks(self.citations, self.places, self.depth)
+
+    @cached_property
+    def visited(self) -> DataFrame:
+        return reachable(self.citations, self.seeds, self.depth)
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        if self.opinions is None:
+            return self.visited
+        kept = self.masks.join(self.opinions.select(F.col("id").alias("node")), "node", "left_semi")
+        return by_seed(kept, self.places).select("seed_id", "node", "depth")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        members = self.masks.groupBy("node", "word").agg(F.bit_or("mask").alias("mask"))
+        columns = [CITING, CITED, "depth", "quoted"]
+        touching = [
+            self.citations.select(*columns).join(members, F.col(end) == F.col("node")).select("word", "mask", *columns)
+            for end in (CITING, CITED)
+        ]
+        edges = (
+            touching[0]
+            .unionByName(touching[1])
+            .groupBy("word", CITING, CITED)
+            .agg(F.bit_or("mask").alias("mask"), F.max("depth").alias("depth"), F.bool_or("quoted").alias("quoted"))
+        )
+        return by_seed(edges, self.places).select("seed_id", *columns)
 
 
 def citation_network(
@@ -151,24 +188,4 @@ def citation_network(
     Opinions that are not in the table are walked through but not listed as
     nodes.  Edges are all citations that touch a visited opinion, once each.
     """
-    places = numbered(seeds)
-    masks = seed_masks(citations, places, depth)
-    visited = by_seed(masks, places).select("seed_id", "node", "depth")
-    nodes = visited
-    if opinions is not None:
-        kept = masks.join(opinions.select(F.col("id").alias("node")), "node", "left_semi")
-        nodes = by_seed(kept, places).select("seed_id", "node", "depth")
-    members = masks.groupBy("node", "word").agg(F.bit_or("mask").alias("mask"))
-    columns = [CITING, CITED, "depth", "quoted"]
-    touching = [
-        citations.select(*columns).join(members, F.col(end) == F.col("node")).select("word", "mask", *columns)
-        for end in (CITING, CITED)
-    ]
-    edges = (
-        touching[0]
-        .unionByName(touching[1])
-        .groupBy("word", CITING, CITED)
-        .agg(F.bit_or("mask").alias("mask"), F.max("depth").alias("depth"), F.bool_or("quoted").alias("quoted"))
-    )
-    edges = by_seed(edges, places).select("seed_id", *columns)
-    return Network(nodes, edges, visited)
+    return Network(citations, seeds, depth, opinions)

@@ -298,3 +298,67 @@ def test_a_link_carries_one_row_for_all_its_seeds(spark, monkeypatch, most):
     packed = N._packed(level)
     assert packed.count() == packed.select("chunk").distinct().count()
     assert N._unpacked(packed).select("node", "word", "mask").exceptAll(level).count() == 0
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_distances_of_mixed_surroundings(spark, monkeypatch, small):
+    """Ids of any size, hubs, repeated and missing ends, with and without tiles, rows and pieces of a few ids."""
+    import networks_plain as plain
+    from docketlake.operators import network as N
+    from docketlake.operators import reach as R
+
+    if small:
+        for name, n in {"ROW": 3, "PIECE": 50, "TILE": 40, "HELD": 60, "CHUNK": 20, "LINK_TILES": 4}.items():
+            monkeypatch.setattr(R, name, n)
+    draw = random.Random(9)
+    far = [-(2**63), 2**63 - 1, -5, 0, 2**40]
+    ids = [*range(1, 60), *far]
+    ends = [(draw.choice(ids), draw.choice(ids)) for _ in range(150)] + [(7, draw.choice(ids)) for _ in range(60)]
+    ends += [(8, 8), (9000, 9001), (9000, 9001)]
+    rows = [(a, b, 1, False) for a, b in ends] + [(None, 3, 1, False), (3, None, 1, False)]
+    cites = spark.createDataFrame(rows, "citing_opinion_id long, cited_opinion_id long, depth int, quoted boolean")
+    own = [*range(1, 40), *far, 8, 9001, 77777]
+    seeds = spark.createDataFrame([(i,) for i in [*own, 5, None]], "id long")
+    for depth in (0, 1, 2, 4):
+        want = plain.distances(ends, own, depth)
+        for got in (N.reachable(cites, seeds, depth), citation_network(cites, seeds, depth).visited):
+            got = [tuple(r) for r in got.select("seed_id", "node", "depth").collect()]
+            assert len(got) == len(want) and {(s, n): d for s, n, d in got} == want
+    nobody = [r for r in N.reachable(cites, seeds.where("id is null"), 2).collect()]
+    assert nobody == [] and N.reachable(cites.where("false"), seeds, 2).count() == len(set(own))
+
+
+def test_steps_over_links_are_no_rows(spark):
+    """A tile gets a row per piece; a list goes once to the keys of a tile that share it, and no row is made per link."""
+    from docketlake.operators import reach as R
+
+    pairs = spark.range(40_000).select((F.col("id") % 200).alias("a"), F.expr("1000000 + id * 7919 % 3001").alias("b"))
+    links = pairs.toDF("citing_opinion_id", "cited_opinion_id")
+    near = R._neighbours(links)
+    assert near.agg(F.sum("n")).head()[0] == 2 * pairs.distinct().count()
+    steps = near.join(near.select("node", F.col("ids").alias("next")), "node").coalesce(1)
+    n = near.select("node", "n").groupBy("node").agg(F.sum("n").alias("n")).agg(F.sum(F.col("n") * F.col("n"))).head()[0]
+    dealt = R._dealt(steps, "ids", "next", (16, 1), 1)
+    assert n > 1_000_000 and dealt.count() <= 16 * (1 + n // R.PIECE)
+    assert dealt.agg(F.sum(F.length("sizes")) / 4).head()[0] <= 16 * near.count()
+    found = R._by_tile(dealt).mapInArrow(R._unite(R._as_arrays), "seed_id long, depth int, nodes array<long>")
+    got = found.select("seed_id", F.explode("nodes").alias("node"))
+    ways = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    want = ways.toDF("x", "seed_id").join(ways.toDF("x", "node"), "x").select("seed_id", "node").distinct()
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+@pytest.mark.parametrize("most", [1_000_000, 3])
+def test_edges_of_hubs_in_parts(spark, monkeypatch, most):
+    from docketlake.operators import network as N
+
+    monkeypatch.setattr(N, "HUB_LINKS", most)
+    draw = random.Random(6)
+    edges = {(draw.randrange(90), 300 + draw.randrange(30)) for _ in range(150)} | {(i, 300) for i in range(40)}
+    citations = spark.createDataFrame([(a, b, 1, False) for a, b in edges], "citing_opinion_id long, cited_opinion_id long, depth int, quoted boolean")
+    net = citation_network(citations, spark.createDataFrame([(i,) for i in range(90)], "id long"), 2, spark.range(330))
+    balls = {s: naive_network(edges, s, 2) for s in range(90)}
+    nodes = [tuple(r) for r in net.nodes.select("seed_id", "node", "depth").collect()]
+    assert sorted(nodes) == sorted((s, n, d) for s, ball in balls.items() for n, d in ball.items() if n < 330)
+    got = [tuple(r)[:3] for r in net.edges.select("seed_id", "citing_opinion_id", "cited_opinion_id").collect()]
+    assert sorted(got) == sorted((s, a, b) for s, ball in balls.items() for a, b in edges if a in ball or b in ball)
