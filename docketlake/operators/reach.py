@@ -28,7 +28,7 @@ PIECE = 4_000_000  # ids that a task deals out at once
 TILE = 2_000_000  # ids of a tile, as far as its keys allow
 HELD = 8_000_000  # ids that a task keeps of a tile before it unites them
 CHUNK = 100_000  # ids that are sorted at once
-LINK_TILES = 1024
+LINK_TILES, MOST_TILES = 1024, 65_536
 _PLANES = ((0, 2), (2, 1), (3, 1), (4, 4))  # first byte and width: most numbers are small, and empty planes are left out
 _DEALT = [("tile", pa.int32()), ("depth", pa.int32()), ("heads", pa.binary()), ("sizes", pa.binary())]
 _DEALT = pa.schema([*_DEALT, *((f"{x}{i}", pa.binary()) for x in "kv" for i in range(len(_PLANES)))])
@@ -152,10 +152,10 @@ def _deal(tiles: tuple[int, int], depth: int, both_ways: bool = False) -> Callab
     def run(batches: Batches) -> Batches:
         held, cost = [], 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
             keys, n_keys = _lists(batch.column(0))
             ids, n_ids = _lists(batch.column(1))
-            if not len(n_keys):
-                continue
             if both_ways:
                 keys, ids = np.append(keys, ids), np.append(ids, keys)
                 n_keys = n_ids = np.ones(len(keys), np.int64)
@@ -335,14 +335,14 @@ def distances(citations: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
         return level.select(F.col("node").alias("seed_id"), "node", F.lit(0).alias("depth"))
     neighbours = _neighbours(citations)
     n_seeds, n_nodes = max(level.count(), 1), neighbours.count()
-    levels, known, steps = [level], 0, None
+    levels, known = [level], 0
     while True:
         hop = len(levels)
         counts = neighbours.select("node", F.col("n").alias("_n"))
         made = level.join(counts, "node").agg(F.sum(F.col("n") * F.col("_n"))).head()[0] or 0
         known += level.agg(F.sum("n")).head()[0] or 0
         last = hop == depth or not made
-        tiles = (made + known) // TILE + 1
+        tiles = min((made + known) // TILE + 1, MOST_TILES)
         sides = (n_nodes if last else n_seeds) // HELD + 1
         sides = max(sides, -(-tiles // n_seeds)) if last else sides
         shape = (max(1, tiles // sides), sides)
